@@ -93,13 +93,14 @@ def discover(
     ahead = text.orderBy("start").rangeBetween(0, Window.unboundedFollowing)
     base = F.col("kind") < OTHER
     rows = spans.withColumn("covered", F.max(F.when(base, F.col("end"))).over(seen)).withColumn(
-        "next", F.min(F.when(base, F.struct("start", "kind"))).over(ahead)
+        "next", F.min(F.when(base, F.struct("start", "kind", "value"))).over(ahead)
     )
     lead = F.length(F.regexp_extract("value", r"^[^\p{L}\p{N}+(]*", 0))
     bare = F.regexp_replace("value", r"^[^\p{L}\p{N}+(]+|[^\p{L}\p{N})]+$", "")
     rows = rows.where(~base).select(
         "id", "th", "left",
-        F.lower(bare).alias("value"),
+        # A seed stands for its whole entity, which may go on beyond the token.
+        F.lower(F.when(F.col("next.start") < F.col("end"), F.col("next.value")).otherwise(bare)).alias("value"),
         (F.col("start") + lead).alias("start"),
         (F.col("start") + lead + F.length(bare)).alias("end"),
         F.when(F.col("next.start") < F.col("end"), F.col("next.kind")).alias("seed"),
