@@ -20,7 +20,9 @@ SKETCH_WORDS = 16
 #: Standard deviations that a pair's sketch may lie beyond what the threshold leads to expect.
 SLACK = 6.0
 #: Rounds that compare the members of a bucket with one of them only.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+#: Documents that are compared as one block.
+BLOCK = 512
 #: Shingles that are hashed at once.
 CHUNK = 4096
 
@@ -149,6 +151,58 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return both.select("a", "b", "ta", "tb").mapInPandas(work, "a long, b long")
 
 
+def _rest(members: DataFrame, comp: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) between components that still share a bucket.
+
+    Members that such buckets chain together form a group, which is dealt into blocks;
+    each pair of blocks is a task of bounded size. It compares the sketches of documents in
+    different components, and full sets where sketches are close enough, and
+    returns a spanning forest of the links, never pairs.
+    """
+    now = members.select("band", "bucket", "node", "sketch").join(comp, "node")
+    mixed = now.groupBy("band", "bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("hub")).where("lo <> hi")
+    now = table(now.join(mixed.select("band", "bucket", "hub"), ["band", "bucket"]).select("node", "comp", "sketch", "hub").distinct(), "mixed")
+    groups = components(now.select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    rows = now.select("node", "comp", "sketch").distinct().join(groups, "node").withColumnRenamed("component", "part")
+    sizes = rows.groupBy("part").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    rows = rows.join(sizes, "part").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
+    rows = rows.join(texts.withColumnRenamed("id", "node"), "node").withColumn("b", F.explode(others))
+    rows = rows.select("part", "b.i", "b.j", "node", "comp", "sketch", "own", "text")
+    limit = most_bits(percent / 100)
+
+    def compare(batch: pd.DataFrame) -> pd.DataFrame:
+        sketches = np.array(batch["sketch"].tolist(), np.int64).view(np.uint64)
+        cross = batch["i"].iloc[0] != batch["j"].iloc[0]
+        own, texts_ = batch["own"].to_numpy(), batch["text"].tolist()
+        _, root = np.unique(batch["comp"].to_numpy(), return_inverse=True)
+        nodes, sets, out = batch["node"].to_numpy(), {}, []
+
+        def full(k: int) -> set:
+            if k not in sets:
+                sets[k] = shingles(texts_[k], n)
+            return sets[k]
+
+        for x in range(len(batch) - 1):
+            near = np.bitwise_count(sketches[x + 1 :] ^ sketches[x]).sum(axis=1) <= limit
+            near &= root[x + 1 :] != root[x]
+            if cross:
+                near &= own[x + 1 :] != own[x]
+            for y in (np.flatnonzero(near) + x + 1).tolist():
+                if root[x] == root[y]:
+                    continue
+                p, q = full(x), full(y)
+                if percent * max(len(p), len(q)) > 100 * min(len(p), len(q)):
+                    continue
+                both = len(p & q)
+                if 100 * both >= percent * (len(p) + len(q) - both):
+                    out.append((nodes[x], nodes[y]))
+                    root[root == root[y]] = root[x]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return table(rows.groupBy("part", "i", "j").applyInPandas(compare, "a long, b long"), "links")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", n: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept): classes of documents that similarity of shingle sets links.
 
@@ -157,10 +211,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", n: int = 5, percent
     Documents with equal sets form one class that its smallest id stands for.
     Classes that share a bucket of a band are compared with the bucket's hub, by
     odd sketch first and then on their full sets. A bucket whose members all reach one
-    component needs nothing more; in others, two further hubs are tried, and then
-    all pairs of members that are still in different components, so that no link
-    between two components goes unseen. A hot bucket of copies thus costs
-    pairs in proportion to its members.
+    component needs nothing more; in others, another hub is tried, and then members
+    that are still in different components are compared in blocks, so that no link
+    between two components goes unseen. Pairs are made in proportion to the
+    members of a bucket only.
 
     Null or empty texts have empty sets and are linked with nothing. Null ids keep
     their row, with a null component and kept true; they link nothing. Rows that repeat an id
@@ -186,19 +240,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", n: int = 5, percent
     links = table(links, "links")
     found, tried = None, None
     comp = members.select("node").distinct().withColumn("comp", F.col("node"))
-    for r in range(STAR_ROUNDS + 1):
+    for r in range(STAR_ROUNDS):
         now = members.join(comp, "node")
-        if r < STAR_ROUNDS:
-            key = F.struct(F.xxhash64("node", F.lit(r)) if r else F.lit(0).cast("long"), "node", "comp", "sketch")
-            hubs = now.groupBy("band", "bucket").agg(F.min(key).alias("hub"))
-            pairs = now.join(hubs, ["band", "bucket"]).where("comp <> hub.comp").where(xor(F.col("sketch"), F.col("hub.sketch")) <= limit)
-            pairs = pairs.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
-        else:
-            mixed = now.groupBy("band", "bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-            now = now.join(mixed.select("band", "bucket"), ["band", "bucket"])
-            x, y = now.alias("x"), now.alias("y")
-            pairs = x.join(y, ["band", "bucket"]).where("x.comp < y.comp").where(xor(F.col("x.sketch"), F.col("y.sketch")) <= limit)
-            pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+        key = F.struct(F.xxhash64("node", F.lit(r)) if r else F.lit(0).cast("long"), "node", "comp", "sketch")
+        hubs = now.groupBy("band", "bucket").agg(F.min(key).alias("hub"))
+        pairs = now.join(hubs, ["band", "bucket"]).where("comp <> hub.comp").where(xor(F.col("sketch"), F.col("hub.sketch")) <= limit)
+        pairs = pairs.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, (F.least(pairs.a, pairs.b) == tried.lo) & (F.greatest(pairs.a, pairs.b) == tried.hi), "left_anti")
         pairs = table(pairs, "pairs")
@@ -213,6 +260,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", n: int = 5, percent
         comp = members.select("node").distinct().join(whole, "node", "left").select("node", F.coalesce("component", "node").alias("comp"))
         comp = table(comp, "comp")
     edges = links if found is None else links.unionByName(found)
+    edges = edges.unionByName(_rest(members, comp, texts, n, percent))
     whole = table(components(edges), "components")
     out = marks.join(whole, marks.id == whole.node, "left").select("id", "n_shingles", F.when(F.col("n_shingles") >= 0, F.coalesce("component", "id")).alias("component_id"))
     return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))).withColumnRenamed("id", id_col)
