@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +65,16 @@ def scs(view: View, queries: DataFrame, id_col: str = "q_id", text_col: str = "t
     return total.select("q_id").join(scores, "q_id", "left").select("q_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def _feedback_view(view: View, fb: DataFrame) -> View:
+    """The view of feedback documents only: models and lengths of the rest of the collection are never aggregated."""
+    return view.documents(fb.select("doc_id").distinct())
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` kept in memory and on disk, as several parts of a score's plan read it; lost blocks are computed anew."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _weights(fb: DataFrame, terms: DataFrame, model: DataFrame, stats: DataFrame, p: Column) -> DataFrame:
     """(q_id, doc_id, w): the product of P(query term | document), scaled by the query's largest.
 
@@ -77,10 +88,11 @@ def _weights(fb: DataFrame, terms: DataFrame, model: DataFrame, stats: DataFrame
 
 def dcs_models(view: View, terms: DataFrame, fb: DataFrame, config: DcsConfig = DcsConfig()) -> DataFrame:
     """(q_id, term, q_model, c_model). Only postings of feedback documents are joined: the collection's part factors out."""
-    stats, model, lengths = view.term_stats(), view.doc_model(), view.doc_lengths()
+    own = _feedback_view(view, fb)
+    stats, model, lengths = view.term_stats(), own.doc_model(), own.doc_lengths()
     lam = config.weight
     fb = fb.select("q_id", "doc_id").join(lengths, "doc_id")
-    w = _weights(fb, terms, model, stats, lam * F.col("mtf") / F.col("dl") + (1 - lam) * F.col("rel_tf"))
+    w = _kept(_weights(fb, terms, model, stats, lam * F.col("mtf") / F.col("dl") + (1 - lam) * F.col("rel_tf")))
     total = w.groupBy("q_id").agg(F.sum("w").alias("total"))
     sums = fb.join(w, ["q_id", "doc_id"]).join(model, "doc_id").groupBy("q_id", "term").agg(F.sum(F.col("w") * F.col("mtf") / F.col("dl")).alias("s"))
     sums = sums.join(total, "q_id").join(stats.select("term", "rel_tf"), "term")
@@ -89,13 +101,14 @@ def dcs_models(view: View, terms: DataFrame, fb: DataFrame, config: DcsConfig =
 
 def ics_models(view: View, terms: DataFrame, fb: DataFrame, config: IcsConfig = IcsConfig()) -> DataFrame:
     """As :func:`dcs_models`, smoothed by document and with vocabulary terms of the band only."""
-    stats, model, lengths = view.term_stats(), view.doc_model(), view.doc_lengths()
+    own = _feedback_view(view, fb)
+    stats, model, lengths = view.term_stats(), own.doc_model(), own.doc_lengths()
     mu, beta, lam = config.smoothing, config.beta, config.weight
     fb = fb.select("q_id", "doc_id").join(lengths, "doc_id").withColumn("sd", F.col("dl") + mu * F.col("n_terms"))
     c = F.col("rel_tf")
     smooth = F.when(F.col("sd") > 0, (F.col("mtf") + mu * c) / F.col("sd")).otherwise(0.0)
     w = _weights(fb, terms, model, stats, lam * (beta * smooth + (1 - beta) * c) + (1 - lam) * c)
-    w = fb.join(w, ["q_id", "doc_id"]).select("q_id", "doc_id", "w", "sd")
+    w = _kept(fb.join(w, ["q_id", "doc_id"]).select("q_id", "doc_id", "w", "sd"))
     total = w.groupBy("q_id").agg(F.sum(F.col("w") * (lam * beta * mu / F.col("sd") + lam * (1 - beta) + 1 - lam)).alias("total"))
     band = stats.where(F.col("rel_df").between(config.band_low, config.band_high)).select("term", "rel_tf")
     sums = w.join(model, "doc_id").groupBy("q_id", "term").agg(F.sum(F.col("w") * F.col("mtf") / F.col("sd")).alias("s"))
@@ -123,14 +136,14 @@ def _result(all_q: DataFrame, terms: DataFrame, fb: DataFrame, models: DataFrame
 def dcs(view: View, queries: DataFrame, id_col: str = "q_id", text_col: str = "text", config: DcsConfig = DcsConfig(), fields=("claims", "detd")) -> DataFrame:
     """(q_id, impl, score, is_empty, empty_reason, fb_doc_count): divergence of the feedback's relevance model."""
     terms = query_terms(queries, id_col, text_col, view.postings.select("term").distinct())
-    fb = feedback(view, terms, FeedbackSpec(most=config.feedback, fixed=True), fields)
+    fb = _kept(feedback(view, terms, FeedbackSpec(most=config.feedback, fixed=True), fields))
     return _result(queries.select(F.col(id_col).alias("q_id")), terms, fb, dcs_models(view, terms, fb, config), len(fields), "DCS")
 
 
 def ics(view: View, queries: DataFrame, id_col: str = "q_id", text_col: str = "text", config: IcsConfig = IcsConfig(), fields=("claims", "detd")) -> DataFrame:
     """As :func:`dcs` with matching-based feedback, plus the range of match counts used."""
     terms = query_terms(queries, id_col, text_col, view.postings.select("term").distinct())
-    fb = ics_feedback(teq_matches(view, terms), config.least, config.most)
+    fb = _kept(ics_feedback(teq_matches(view, terms), config.least, config.most))
     rows = _result(queries.select(F.col(id_col).alias("q_id")), terms, fb, ics_models(view, terms, fb, config), len(fields), "ICS", config.least)
     span = fb.groupBy("q_id").agg(F.min("n_match").alias("fb_terms_min"), F.max("n_match").alias("fb_terms_max"))
     return rows.join(span, "q_id", "left")
