@@ -151,7 +151,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return both.select("a", "b", "ta", "tb").mapInPandas(work, "a long, b long")
 
 
-def _rest(members: DataFrame, comp: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+def _rest(members: DataFrame, comp: DataFrame, sketches: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (a, b) between components that still share a bucket.
 
     Members that such buckets chain together form a group, which is dealt into blocks;
@@ -159,15 +159,15 @@ def _rest(members: DataFrame, comp: DataFrame, texts: DataFrame, n: int, percent
     different components, and full sets where sketches are close enough, and
     returns a spanning forest of the links, never pairs.
     """
-    now = members.select("band", "bucket", "node", "sketch").join(comp, "node")
-    mixed = now.groupBy("band", "bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("hub")).where("lo <> hi")
-    now = table(now.join(mixed.select("band", "bucket", "hub"), ["band", "bucket"]).select("node", "comp", "sketch", "hub").distinct(), "mixed")
+    now = members.join(comp, "node")
+    mixed = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("hub")).where("lo <> hi")
+    now = table(now.join(mixed.select("bucket", "hub"), "bucket").select("node", "comp", "hub").distinct(), "mixed")
     groups = components(now.select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    rows = now.select("node", "comp", "sketch").distinct().join(groups, "node").withColumnRenamed("component", "part")
+    rows = now.select("node", "comp").distinct().join(groups, "node").withColumnRenamed("component", "part")
     sizes = rows.groupBy("part").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     rows = rows.join(sizes, "part").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
-    rows = rows.join(texts.withColumnRenamed("id", "node"), "node").withColumn("b", F.explode(others))
+    rows = rows.join(sketches, "node").join(texts.withColumnRenamed("id", "node"), "node").withColumn("b", F.explode(others))
     rows = rows.select("part", "b.i", "b.j", "node", "comp", "sketch", "own", "text")
     limit = most_bits(percent / 100)
 
@@ -224,28 +224,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", n: int = 5, percent
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of().alias("text"))
     marks = table(sketch(rows, n), "sketches")
     real = marks.where("id is not null and n_shingles > 0")
-    classes = real.groupBy("digest").agg(F.min("id").alias("rep"))
-    # Equal sets of one id are one row here.
-    reps = real.join(classes, "digest").where("id = rep").dropDuplicates(["id", "digest"])
-    reps = reps.select(F.col("id").alias("node"), "bands", "sketch")
-    members = reps.select("node", "sketch", F.posexplode("bands").alias("band", "bucket"))
-    shared = members.groupBy("band", "bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    members = table(members.join(shared.select("band", "bucket"), ["band", "bucket"]), "members")
-
-    texts = rows.where("id is not null")
+    # Equal digests mean equal sets, bands and sketches, so any row's stand for the class.
+    classes = table(real.groupBy("digest").agg(F.min("id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+    sketches = classes.select("node", "sketch")
+    # A bucket's hash tells its band; sketches stay behind until pairs are known.
+    members = classes.select("node", F.explode("bands").alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    members = table(members.join(shared.select("bucket"), "bucket"), "members")
+
+    # Only texts of documents that share a bucket are ever compared.
+    nodes = table(members.select("node").distinct(), "nodes")
+    texts = table(rows.where("id is not null").join(nodes, F.col("id") == F.col("node"), "left_semi"), "texts")
     limit = most_bits(percent / 100)
     xor = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     # Ids with several classes link these.
-    links = real.join(classes, "digest").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
-    links = table(links, "links")
+    links = real.select("id", "digest").join(classes.select("digest", "node"), "digest").where("id <> node")
+    links = table(links.select(F.col("id").alias("a"), F.col("node").alias("b")).distinct(), "links")
     found, tried = None, None
-    comp = members.select("node").distinct().withColumn("comp", F.col("node"))
+    comp = nodes.withColumn("comp", F.col("node"))
     for r in range(STAR_ROUNDS):
-        now = members.join(comp, "node")
-        key = F.struct(F.xxhash64("node", F.lit(r)) if r else F.lit(0).cast("long"), "node", "comp", "sketch")
-        hubs = now.groupBy("band", "bucket").agg(F.min(key).alias("hub"))
-        pairs = now.join(hubs, ["band", "bucket"]).where("comp <> hub.comp").where(xor(F.col("sketch"), F.col("hub.sketch")) <= limit)
+        now = members.join(comp, "node") if r else members.withColumn("comp", F.col("node"))
+        key = F.struct(F.xxhash64("node", F.lit(r)) if r else F.lit(0).cast("long"), "node", "comp")
+        hubs = now.groupBy("bucket").agg(F.min(key).alias("hub"))
+        pairs = now.join(hubs, "bucket").where("comp <> hub.comp")
         pairs = pairs.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
+        pairs = pairs.join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b").where(xor(F.col("sa"), F.col("sb")) <= limit)
+        pairs = pairs.select("a", "b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, (F.least(pairs.a, pairs.b) == tried.lo) & (F.greatest(pairs.a, pairs.b) == tried.hi), "left_anti")
         pairs = table(pairs, "pairs")
@@ -257,10 +261,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", n: int = 5, percent
         done = pairs.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
         tried = done if tried is None else tried.unionByName(done)
         whole = components(found)
-        comp = members.select("node").distinct().join(whole, "node", "left").select("node", F.coalesce("component", "node").alias("comp"))
+        comp = nodes.join(whole, "node", "left").select("node", F.coalesce("component", "node").alias("comp"))
         comp = table(comp, "comp")
     edges = links if found is None else links.unionByName(found)
-    edges = edges.unionByName(_rest(members, comp, texts, n, percent))
+    edges = edges.unionByName(_rest(members, comp, sketches, texts, n, percent))
     whole = table(components(edges), "components")
     out = marks.join(whole, marks.id == whole.node, "left").select("id", "n_shingles", F.when(F.col("n_shingles") >= 0, F.coalesce("component", "id")).alias("component_id"))
     return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))).withColumnRenamed("id", id_col)
