@@ -23,6 +23,8 @@ SLACK = 6.0
 STAR_ROUNDS = 2
 #: Documents that are compared as one block.
 BLOCK = 512
+#: Texts whose minima and bitmaps are in memory at once.
+TEXTS = 512
 #: Shingles that are hashed at once.
 CHUNK = 4096
 
@@ -116,17 +118,23 @@ def sketch(docs: DataFrame, n: int) -> DataFrame:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sketcher = Sketcher(n)
-        for batch in batches:
-            sets = [sketcher.distinct(t) for t in batch["text"]]
-            low = np.array([sketcher.minima(s) for s in sets]).reshape(len(sets), BANDS * ROWS)
-            out = pd.DataFrame({"id": batch["id"]})
-            out["n_shingles"] = [len(s) for s in sets]
-            out["digest"] = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            out["bands"] = list(sketcher.bands(low))
-            out["sketch"] = list(sketcher.sketches(low))
-            if out["id"].dtype.kind == "f":
-                out["id"] = out["id"].astype("Int64")
-            yield out
+        for whole in batches:
+            if whole["id"].dtype.kind == "f":
+                whole["id"] = whole["id"].astype("Int64")
+            for i in range(0, len(whole), TEXTS):
+                batch = whole.iloc[i : i + TEXTS]
+                out = pd.DataFrame({"id": batch["id"].array})
+                low = np.empty((len(batch), BANDS * ROWS), np.uint64)
+                sizes, digests = [], []
+                for k, t in enumerate(batch["text"]):
+                    s = sketcher.distinct(t)
+                    low[k] = sketcher.minima(s)
+                    sizes.append(len(s))
+                    digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                out["n_shingles"], out["digest"] = sizes, digests
+                out["bands"] = list(sketcher.bands(low))
+                out["sketch"] = list(sketcher.sketches(low))
+                yield out
 
     return docs.mapInPandas(work, "id long, n_shingles long, digest binary, bands array<long>, sketch array<long>")
 
