@@ -139,24 +139,43 @@ def sketch(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInPandas(work, "id long, n_shingles long, digest binary, bands array<long>, sketch array<long>")
 
 
+def similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets of hashes are similar enough, by whole numbers."""
+    if percent * max(len(p), len(q)) > 100 * min(len(p), len(q)):
+        return False
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough; texts come to pairs, so a hub's text goes with each."""
+    """Pairs (a, b) whose full sets are similar enough.
+
+    Members of a hub ``b`` are dealt into blocks, and the hub's text goes to each block
+    once, ahead of its members' texts: a task reads one text after the other and keeps
+    the hub's set only.
+    """
+    sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    dealt = pairs.join(sizes, "b").select("b", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("block"), F.col("a").alias("node"))
+    hubs = dealt.select("b", "block", F.col("b").alias("node")).distinct()
+    rows = dealt.unionByName(hubs).join(texts.withColumnRenamed("id", "node"), "node")
+    rows = rows.select("b", "block", (F.col("node") != F.col("b")).alias("member"), "node", "text")
+    rows = rows.repartition("b", "block").sortWithinPartitions("b", "block", "member")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: tuple[str, set] = ("", set())
+        sketcher, key, hub = Sketcher(n), None, []
         for batch in batches:
             good = []
-            for x, y in zip(batch["ta"], batch["tb"], strict=True):
-                if y != last[0]:
-                    last = (y, shingles(y, n))
-                p, q = shingles(x, n), last[1]
-                both = len(p & q)
-                good.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield batch.loc[good, ["a", "b"]]
+            for b, block, member, node, text in batch.itertuples(index=False, name=None):
+                if (b, block) != key:
+                    key, hub = (b, block), []
+                own = sketcher.distinct(text)
+                if not member:
+                    hub.append(own)
+                elif any(similar(own, h, percent) for h in hub):
+                    good.append((node, b))
+            yield pd.DataFrame(good, columns=["a", "b"], dtype="int64")
 
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInPandas(work, "a long, b long")
+    return rows.mapInPandas(work, "a long, b long")
 
 
 def _rest(members: DataFrame, comp: DataFrame, sketches: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -182,13 +201,13 @@ def _rest(members: DataFrame, comp: DataFrame, sketches: DataFrame, texts: DataF
     def compare(batch: pd.DataFrame) -> pd.DataFrame:
         sketches = np.array(batch["sketch"].tolist(), np.int64).view(np.uint64)
         cross = batch["i"].iloc[0] != batch["j"].iloc[0]
-        own, texts_ = batch["own"].to_numpy(), batch["text"].tolist()
+        own, texts_, sketcher = batch["own"].to_numpy(), batch["text"].tolist(), Sketcher(n)
         _, root = np.unique(batch["comp"].to_numpy(), return_inverse=True)
         nodes, sets, out = batch["node"].to_numpy(), {}, []
 
-        def full(k: int) -> set:
+        def full(k: int) -> np.ndarray:
             if k not in sets:
-                sets[k] = shingles(texts_[k], n)
+                sets[k] = sketcher.distinct(texts_[k])
             return sets[k]
 
         for x in range(len(batch) - 1):
@@ -199,11 +218,7 @@ def _rest(members: DataFrame, comp: DataFrame, sketches: DataFrame, texts: DataF
             for y in (np.flatnonzero(near) + x + 1).tolist():
                 if root[x] == root[y]:
                     continue
-                p, q = full(x), full(y)
-                if percent * max(len(p), len(q)) > 100 * min(len(p), len(q)):
-                    continue
-                both = len(p & q)
-                if 100 * both >= percent * (len(p) + len(q) - both):
+                if similar(full(x), full(y), percent):
                     out.append((nodes[x], nodes[y]))
                     root[root == root[y]] = root[x]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
@@ -218,7 +233,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", n: int = 5, percent
     sets of ``n``-word shingles; a component's id is its smallest document.
     Documents with equal sets form one class that its smallest id stands for.
     Classes that share a bucket of a band are compared with the bucket's hub, by
-    odd sketch first and then on their full sets. A bucket whose members all reach one
+    odd sketch first and then on their full sets of 64-bit shingle hashes. A bucket whose members all reach one
     component needs nothing more; in others, another hub is tried, and then members
     that are still in different components are compared in blocks, so that no link
     between two components goes unseen. Pairs are made in proportion to the
