@@ -8,13 +8,11 @@ from pyspark.sql import functions as F
 from termspire.llm.common import table
 
 
-def _signature(pairs: DataFrame) -> tuple:
-    row = pairs.agg(
-        F.count("*").alias("n"),
-        F.bit_xor(F.xxhash64("u", "v")).alias("x"),
-        F.bit_xor(F.xxhash64("v", "u")).alias("y"),
-    ).first()
-    return tuple(row)
+def _stars(pairs: DataFrame) -> bool:
+    """Whether every ``u`` has one ``v`` only and no ``v`` is a ``u``: then each ``v`` is the least node of its component."""
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("e"))
+    nodes = ends.groupBy("e.node").agg(F.sum("e.up").alias("ups"), F.count("*").alias("n"))
+    return nodes.where("ups > 1 or (ups > 0 and n > ups)").agg(F.count("*")).first()[0] == 0
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -23,17 +21,16 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Nodes without an edge to another node aren't returned. Every round writes
     its pairs to the shared folder; the number of rounds grows with the
     logarithm of the longest path. Minima are aggregated before they are joined,
-    so a hub isn't gathered anywhere; nothing but three numbers a round comes to
+    so a hub isn't gathered anywhere; nothing but one number a round comes to
     the driver.
     """
     pairs = table(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name
     )
-    last = _signature(pairs)
-    while last[0]:
+    while not _stars(pairs):
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(lower, "u")
@@ -43,10 +40,6 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             .distinct()
         )
         pairs = table(small, name)
-        now = _signature(pairs)
-        if now == last:
-            break
-        last = now
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         pairs.select("v", "v").distinct()
     )
