@@ -21,7 +21,7 @@ NEEDS = ("@", "[0-9]", "[0-9]", r"\+")
 #: White-space delimited tokens with a digit or an at sign: what contexts may point at.
 TOKEN = r"(?<!\S)(?=[^\s0-9@]*+[0-9@])\S++"
 OTHER = len(KINDS)
-_BYTE = "0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+_BYTE = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
 
 def _valid(kind: Column, value: Column) -> Column:

@@ -371,6 +371,13 @@ def test_pii(spark):
     assert pii.find_pii(frame(spark, [])).count() == 0
 
 
+def test_pii_zero_octets(spark):
+    good_ones = ["10.0.0.1", "127.0.0.1", "192.168.0.5", "255.255.255.0", "0.0.0.0", "00.00.00.00", "8.0255.0.000", "0010.1.01.9"]
+    rows = [(i, f"from {ip} on") for i, ip in enumerate([*good_ones, "10.0.0256.1", "0.0.0.300", "1000.0.0.1", "0.0.0.0999", "0" * 30000 + ".0.0.256"])]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.base_spans if s.kind == 1] for r in pii.find_pii(frame(spark, rows)).collect()}
+    assert got == {i: [(1, 5, 5 + len(good_ones[i]))] if i < len(good_ones) else [] for i, _ in rows}
+
+
 def test_pii_contexts(spark):
     rows = [(i, f"Please call me +1 555 010 {1000 + i} today") for i in range(9)]
     rows += [(50, "so call me 555-0199-22, or not"), (51, "invoice total 555-0199-23"), (52, "the year of 19992")]
