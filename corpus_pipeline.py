@@ -30,8 +30,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated runs of lines stay where they stand first; changed texts get their new length."""
-    out = line_dedup.dedup_lines(docs.select(*COLUMNS))
+    """Repeated passages stay where they stand first, whether or not they fill their lines; changed texts get their new length."""
+    out = line_dedup.dedup_passages(docs.select(*COLUMNS))
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", changed).select(*COLUMNS)
 

@@ -1,4 +1,4 @@
-"""Line dedup by winnowing: repeated runs of lines stay only where they stand first."""
+"""Dedup by winnowing: repeated runs of lines, or of words, stay only where they stand first."""
 
 from __future__ import annotations
 
@@ -106,3 +106,109 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", min_words: int = MIN_WO
         "id", "fresh", *(f"x{i}" for i in range(len(extra))),
         F.coalesce(F.size("lines"), F.lit(0)).cast("long"), F.coalesce(F.size("gone"), F.lit(0)).cast("long"),
     ).toDF(*names, "n_lines", "n_removed")
+
+
+#: A word with the white space before it.
+_PIECE = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
+
+
+def _hashed(docs: DataFrame, *keep: str) -> DataFrame:
+    """Texts as arrays of word hashes; the generator keeps lambdas from hashing again at each element."""
+    words = F.transform(F.regexp_extract_all("text", F.lit(f"({WORDS})"), F.lit(1)), lambda w: F.xxhash64(w))
+    return docs.select("id", "th", *keep, F.explode(F.array(words)).alias("ws"))
+
+
+def fingerprints(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, th, g, at): hashes of half-length word runs, the least in each run of ``min_words`` words, with their places from 1.
+
+    Equal runs of ``min_words`` words choose equal hashes at equal offsets.
+    """
+    k = max(min_words // 2, 1)
+    width = min_words - k + 1
+    words = _hashed(docs).where(F.size("ws") >= min_words)
+    grams = F.transform(
+        F.sequence(F.lit(1), F.size("ws") - (k - 1)), lambda i: F.struct(F.xxhash64(F.slice("ws", i, k)).alias("g"), i.alias("at"))
+    )
+    grams = words.select("id", "th", F.explode(F.array(grams)).alias("gs"))
+    least = F.transform(F.sequence(F.lit(1), F.size("gs") - (width - 1)), lambda j: F.array_min(F.slice("gs", j, width))["at"])
+    chosen = F.transform(F.array_distinct(least), lambda i: F.get("gs", i - 1))
+    return grams.select("id", "th", F.inline(chosen))
+
+
+def repeated_words(docs: DataFrame, copies: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, th, starts): the sorted places, from 1, of runs of ``min_words`` words that stand earlier.
+
+    Rows of ``copies`` (gid, gth) are left out: all that they hold stands in an earlier row.
+
+    Fingerprints only say where a repeated run may stand; every run around one that
+    occurs twice is then compared by a 128-bit hash with all others, so
+    matches grow word by word both ways, as far as they stand anywhere earlier.
+    """
+    k = max(min_words // 2, 1)
+    other = F.col("id").eqNullSafe(F.col("gid")) & (F.col("th") == F.col("gth"))
+    prints = table(fingerprints(docs, min_words).join(copies, other, "left_anti"), "fingerprints")
+    hot = prints.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g")
+    hot = prints.join(hot, "g", "left_semi").groupBy("id", "th").agg(F.collect_set("at").alias("ats")).toDF("hid", "hth", "ats")
+    near = docs.join(hot, F.col("id").eqNullSafe(F.col("hid")) & (F.col("th") == F.col("hth")))
+    near = _hashed(near, "ats")
+    last = F.size("ws") - (min_words - 1)
+    around = F.transform("ats", lambda a: F.sequence(F.greatest(a - (min_words - k), F.lit(1)), F.least(a, last)))
+    near = near.select("id", "th", "ws", F.explode(F.array_distinct(F.flatten(around))).alias("at"))
+    run = F.slice("ws", F.col("at"), min_words)
+    runs = near.select("id", "th", "at", F.xxhash64(run).alias("w1"), F.xxhash64(F.lit(1), run).alias("w2"))
+    place = F.struct(F.col("id").isNull().alias("z"), "id", "th", "at")
+    runs = runs.withColumn("place", place).withColumn("first", F.min("place").over(Window.partitionBy("w1", "w2")))
+    return runs.where("place > first").groupBy("id", "th").agg(F.sort_array(F.collect_set("at")).alias("starts"))
+
+
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with repeated passages deleted from ``text`` wherever they begin and end, plus n_words and n_removed.
+
+    A word goes if it lies in a run of ``min_words`` words that also stands earlier, in
+    the order of :func:`dedup_lines`, overlaps included; line ends and other white
+    space don't matter for it. What stood apart is joined by a line end if one was
+    in between, else by a space. Rows are kept as in :func:`dedup_lines`.
+
+    A text whose whole is an earlier row's goes at once; only one copy of it is searched.
+    """
+    extra = [c for c in docs.columns if c not in (id_col, "text", "n_words", "n_removed")]
+    names = [id_col, "text", *extra]
+    rows = docs.select(*names).toDF("id", "text", *(f"x{i}" for i in range(len(extra))))
+    rows = rows.withColumn("th", F.xxhash64("text")).withColumn("n", F.regexp_count(text_of(), F.lit(WORDS)).cast("long"))
+    # Texts go through one join, by id and hash; copies are told by hashes alone.
+    long = rows.where(F.col("n") >= min_words).select("id", "th", F.xxhash64(F.lit(1), "text").alias("th2"))
+    order = F.struct(F.col("id").isNull().alias("z"), "id")
+    first = long.groupBy("th", "th2").agg(F.min(order).alias("f"), F.max(order).alias("l")).where("f <> l").drop("l")
+    copies = long.join(first, ["th", "th2"]).where(~F.col("id").eqNullSafe(F.col("f.id")))
+    copies = table(copies.select(F.col("id").alias("gid"), F.col("th").alias("gth")).distinct(), "copies")
+    gone = repeated_words(rows.where(F.col("n") >= min_words).select("id", "th", "text"), copies, min_words).toDF("gid", "gth", "starts")
+    gone = gone.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True)
+    out = rows.join(gone, F.col("id").eqNullSafe(F.col("gid")) & (F.col("th") == F.col("gth")), "left").drop("gid", "gth")
+    out = out.withColumn("copy", F.coalesce("copy", F.lit(False)))
+    # Overlapping and adjoining runs make one; what is kept lies between.
+    begins = F.filter("starts", lambda s, i: (i == 0) | (F.get("starts", i - 1) + min_words < s))
+    ends = F.filter("starts", lambda s, i: (i == F.size("starts") - 1) | (F.get("starts", i + 1) > s + min_words))
+    out = out.withColumn("cut", F.when(F.col("starts").isNotNull() & ~F.col("copy"), F.struct(begins.alias("b"), ends.alias("e"))))
+    apart = F.zip_with(
+        F.concat(F.array(F.lit(0)), F.transform("cut.e", lambda e: e + (min_words - 1))),
+        F.concat(F.col("cut.b"), F.array(F.col("n").cast("int") + 1)),
+        lambda e, b: F.struct((e + 1).alias("a"), (b - 1).alias("z")),
+    )
+    kept = F.filter(F.transform(apart, lambda x, i: F.struct(
+        x["a"].alias("a"), x["z"].alias("z"),
+        F.when(i > 0, F.get("cut.b", i - 1)).alias("b"),
+    )), lambda x: x["a"] <= x["z"])
+    pieces = F.when(F.col("cut").isNotNull(), F.regexp_extract_all("text", F.lit(f"({_PIECE})"), F.lit(1)))
+    out = out.withColumn("kept", kept).withColumn("m", F.explode(F.array(F.struct(pieces.alias("p"), F.col("kept").alias("k")))))
+    trimmed = lambda t: F.regexp_replace(t, r"^[\x20\x09-\x0D]+", "")
+    joined = lambda a, z: F.array_join(F.slice("m.p", a, z - a + 1), "")
+    white = lambda i: F.regexp_extract(F.get("m.p", i - 1), r"^[\x20\x09-\x0D]*", 0)
+    between = lambda x: F.when(F.concat(joined(x["b"], x["a"] - 1), white(x["a"])).contains("\n"), "\n").otherwise(" ")
+    # Only the cut before a text's first kept word leaves nothing to join.
+    parts = F.transform("m.k", lambda x, i: F.when(x["b"].isNull(), joined(x["a"], x["z"])).otherwise(
+        F.concat(F.when(i == 0, "").otherwise(between(x)), trimmed(joined(x["a"], x["z"])))
+    ))
+    left = F.aggregate("m.k", F.lit(0), lambda n, x: n + x["z"] - x["a"] + 1)
+    fresh = F.when(F.col("copy"), "").when(F.col("cut").isNotNull(), F.array_join(parts, "")).otherwise(F.col("text"))
+    removed = F.when(F.col("copy"), F.col("n")).when(F.col("cut").isNotNull(), F.col("n") - left).otherwise(0)
+    return out.select("id", fresh, *(f"x{i}" for i in range(len(extra))), "n", removed.cast("long")).toDF(*names, "n_words", "n_removed")

@@ -79,6 +79,41 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_passages(spark):
+    rng = random.Random(21)
+    source = [prose(rng, 200).split() for _ in range(4)]
+    rows = []
+    for i in range(10, 60):
+        w = []
+        for _ in range(rng.randint(1, 4)):
+            a, n = rng.randint(0, 150), rng.choice((20, 49, 50, 51, 80))
+            w += prose(rng, rng.randint(0, 30)).split() + rng.choice(source)[a : a + n]
+        rows.append((i, rng.choice(("", " ", "\n")) + "".join(x + rng.choice((" ", " ", "  ", "\n", " \n\n")) for x in w)))
+    rows += odd(rng) + [(99, rows[3][1]), (5, rows[3][1]), (None, rows[4][1]), (98, " ".join(source[0] + source[0]))]
+    seen, want = set(), {}
+    for key, text in sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is None, r[0] or 0)):
+        own = [(m.start(), m.end()) for m in re.finditer(mixing.WORDS, text)]
+        words, gone = [text[a:b] for a, b in own], set()
+        for a in range(len(words) - 49):
+            run = tuple(words[a : a + 50])
+            if run in seen:
+                gone |= set(range(a, a + 50))
+            seen.add(run)
+        fresh, last = "", None
+        for i, (a, b) in enumerate(own):
+            if i not in gone:
+                white = text[(own[last][1] if last is not None else 0) : a]
+                if i and i - 1 in gone:
+                    white = "" if last is None else "\n" if "\n" in white else " "
+                fresh, last = fresh + white + text[a:b], i
+        want[key, text] = (fresh if gone else text, len(words), len(gone))
+    out = line_dedup.dedup_passages(frame(spark, rows))
+    assert out.columns == ["doc_id", "text", "source", "id", "h", "n_words", "n_removed"]
+    got = sorted(str((r.doc_id, r.text, r.n_words, r.n_removed)) for r in out.collect())
+    assert got == sorted(str((k, *want.get((k, t), (t, 0, 0)))) for k, t in rows)
+    assert sum(0 < n < m for _, m, n in want.values()) > 20 and line_dedup.dedup_passages(frame(spark, [])).count() == 0
+
+
 def test_near_duplicates(spark):
     rng = random.Random(3)
     rows = odd(rng)
