@@ -44,7 +44,7 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    taken = mixing.mix(docs).where("taken > 0").groupBy("doc_id").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("times"))
+    taken = mixing.mix(docs).where("times > 0").groupBy("doc_id").agg(F.max("times").alias("times"))
     return _marked(docs, taken).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
 
 

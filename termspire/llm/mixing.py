@@ -47,9 +47,10 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", weights=(1.0, 2.0, 3.0), most: float = 3.0, seed: int = 17) -> DataFrame:
-    """Rows of (id, source, size, source_size, target, taken).
+    """Rows of (id, source, size, source_size, target, taken, times).
 
-    ``size`` is the number of words of the whole text. A source whose target is
+    ``size`` is the number of words of the whole text; ``times`` is how often it is
+    taken, which ``taken`` can't tell of a text without words. A source whose target is
     q * source_size + r takes every document q times and, of a hash of the id,
     those below a threshold once more. The threshold comes from a histogram of
     sizes by source and the hash's first bits; only the bucket that holds the
@@ -119,8 +120,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", weights=(1.0, 2.0, 3.0), most:
         .select("d.*", (F.col("o.before") + F.col("o.n") / 2 <= F.col("d.room")).cast("long").alias("more"))
     )
     rest = joined.where("mine <> prefix").withColumn("more", (F.col("mine") < F.col("prefix")).cast("long"))
-    # A source that takes everything `most` times has no room, so nothing goes beyond it.
+    # A source that takes everything `most` times has no room, so nothing goes beyond it; one without words goes once.
+    room = (F.col("source_size") == 0) | (F.col("target") > F.col("passes") * F.col("source_size"))
+    times = F.col("passes") + F.when(room, F.col("more")).otherwise(0)
     return edge.unionByName(rest).select(
         F.col("id").alias(id_col), "source", "size", "source_size", "target",
-        (F.col("size") * (F.col("passes") + F.col("more"))).cast("long").alias("taken"),
+        (F.col("size") * times).cast("long").alias("taken"), times.cast("int").alias("times"),
     )

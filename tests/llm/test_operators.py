@@ -352,6 +352,23 @@ def test_mixing(spark):
     assert mixing.mix(frame(spark, [])).count() == 0
 
 
+def test_mixing_takes_documents_without_words(spark):
+    import corpus_pipeline
+
+    rows = [(i, "w " * 20, "a") for i in range(200)] + [(i, "w w", "c") for i in range(200, 210)]
+    empty = [(i, (None, "", " \n")[i % 3], "c") for i in range(300, 330)] + [(i, "", "e") for i in range(400, 410)]
+    docs = frame(spark, rows + empty + [(i, None, "a") for i in range(500, 530)])
+    docs = docs.select("doc_id", "text", F.lit("en").alias("lang"), "source", F.lit(0).alias("n_chars"))
+    mix = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    got = corpus_pipeline.mix_sources(spark, docs, "").groupBy("doc_id").count().collect()
+    got = {r.doc_id: r["count"] for r in got}
+    # Source a is cut, c stands at three times its size, e has no words at all.
+    assert {got[i] for i in (*range(200, 210), *range(300, 330))} == {3} and {got[i] for i in range(400, 410)} == {1}
+    q = int(mix[0].target // mix[0].source_size)
+    assert all(got.get(i, 0) in (q, q + 1) for i in (*range(200), *range(500, 530)))
+    assert got == {i: r.times for i, r in mix.items() if r.times} and all(r.taken == r.size * r.times for r in mix.values())
+
+
 def test_warc(spark):
     big = "<p>é</p>" * 300
     rows = [(1, "u", big), (9, "u\nx", big), (4, None, big), (5, "u", "small"), (6, "u", "small"), (7, "u", None), (None, "u", big), (9, "u", big)]
