@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}]+"
 #: Words with inner apostrophes, decimals and underscores kept together, as standard tokenizers do.
-STANDARD = r"[\p{L}\p{N}_]+(?:['’.,·](?=[\p{L}\p{N}])[\p{L}\p{N}_]+)*"
+STANDARD = r"[\p{L}\p{N}_]+(?:['’.,·][\p{L}\p{N}][\p{L}\p{N}_]*)*"
 #: French elisions.
 ELISIONS = "c d j l m n qu s t jusqu quoiqu lorsqu puisqu".split()
 
@@ -148,21 +148,22 @@ _FRENCH = (
 
 
 def french(token: str) -> str:
-    """Elision, plurals, feminine and derived endings, then accents folded and double letters reduced."""
+    """Elision, then plurals, feminine and derived endings, accents folded, double letters reduced, last vowels off."""
     w = re.sub(rf"^(?:{'|'.join(ELISIONS)})['’]", "", token)
-    if len(w) > 5:
-        if w.endswith("x"):
-            w = w[:-2] + "l" if w.endswith("aux") and not w.endswith("eaux") else w[:-1]
-        for end, new, least in sorted(_FRENCH, key=lambda r: -len(r[0])):
-            if len(w) >= least and w.endswith(end):
-                w = w[: -len(end)] + new
-                break
+    # Plurals go first, so that both numbers meet the same derived endings.
+    if len(w) > 5 and w.endswith("aux") and not w.endswith("eaux"):
+        w = w[:-2] + "l"
+    elif len(w) > 3 and w.endswith(("x", "s")):
+        w = w[:-1]
+    for end, new, least in sorted(_FRENCH, key=lambda r: -len(r[0])):
+        if len(w) >= least and w.endswith(end):
+            w = w[: -len(end)] + new
+            break
     w = w.translate(str.maketrans("àáâèéêëîïôùúûç", "aaaeeeeiiouuuc"))
     w = re.sub(r"([a-z])\1", r"\1", w)
-    if len(w) > 4:
-        for end in ("ie", "r", "e", "e", "s"):
-            if len(w) > 4 and w.endswith(end):
-                w = w[: -len(end)]
+    for end in ("ie", "r", "e", "e"):
+        if len(w) > 4 and w.endswith(end):
+            w = w[: -len(end)]
     return w
 
 
@@ -186,21 +187,47 @@ def stem(terms: DataFrame, lang: str, column: str = "term") -> DataFrame:
     return terms.join(found, column)
 
 
-def analyze(docs: DataFrame, column: str, lang: str, stop: Iterable[str] = ()) -> DataFrame:
-    """(doc_id, pos, term): standard tokens, stop words out, stemmed for the language."""
+def bare_tokens(lang: str, stop: Iterable[str] = ()) -> Callable[[Column], Column]:
+    """An analyzer without its stemmer: standard tokens, possessives or elisions and stop words out."""
     stop = sorted(set(stop))
-    rows = docs.select("doc_id", F.posexplode(standard_tokens(F.col(column))).alias("pos", "token"))
     bare = {"en": r"['’]s$", "fr": rf"^(?:{'|'.join(ELISIONS)})['’]"}.get(lang)
-    word = F.regexp_replace("token", bare, "") if bare else F.col("token")
-    rows = rows.withColumn("token", word).where("token <> ''")
-    rows = rows.where(~F.col("token").isin(*stop)) if stop else rows
+
+    def tokens(text: Column) -> Column:
+        words = standard_tokens(text)
+        words = F.transform(words, lambda t: F.regexp_replace(t, bare, "")) if bare else words
+        return F.filter(words, lambda t: (t != "") & ~t.isin(*stop)) if stop else F.filter(words, lambda t: t != "")
+
+    return tokens
+
+
+def language_tokens(lang: str, stop: Iterable[str] = ()) -> Callable[[Column], Column]:
+    """A language's whole analyzer for an index or a query: :func:`bare_tokens`, stemmed in Arrow batches."""
+    one, before = STEMMERS[lang], bare_tokens(lang, stop)
+
+    @F.pandas_udf("array<string>")
+    def stems(texts: pd.Series) -> pd.Series:
+        known: dict[str, str] = {}
+
+        def stemmed(t: str) -> str:
+            if t not in known:
+                known[t] = one(t)
+            return known[t]
+
+        return texts.map(lambda ts: None if ts is None else [stemmed(t) for t in ts])
+
+    return lambda text: stems(before(text))
+
+
+def analyze(docs: DataFrame, column: str, lang: str, stop: Iterable[str] = ()) -> DataFrame:
+    """(doc_id, pos, term): standard tokens, stop words out, stemmed for the language."""
+    rows = docs.select("doc_id", F.posexplode(bare_tokens(lang, stop)(F.col(column))).alias("pos", "token"))
     return stem(rows, lang, "token").select("doc_id", "pos", F.col("stem").alias("term"))
 
 
 def sentence_list(text: Column) -> Column:
-    """Sentences of white-space folded, lower-cased text: cut after a full stop, question or exclamation mark."""
-    folded = F.regexp_replace(F.lower(text), r"\s+", " ")
-    return F.filter(F.transform(F.split(folded, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    """Sentences of white-space folded, lower-cased text: cut after a full stop, question or exclamation mark and a space."""
+    folded = F.trim(F.regexp_replace(F.lower(text), r"[ \t\n\x0B\f\r]+", " "))
+    return F.filter(F.split(F.regexp_replace(folded, "([.!?]) ", "$1\n"), "\n"), lambda s: s != "")
 
 
 def word_frequency(docs: DataFrame, column: str) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -115,8 +117,22 @@ def class_match(codes: Column, code: Code, separator: str = "-") -> Column:
     return F.coalesce(F.exists(codes, lambda c: c.rlike(f"^(?:{code.regex(separator)})$")), F.lit(False))
 
 
-def sloppy(codes: Column, code: Code, separator: str = "-", single: bool = False, exact: bool = False, zero_pad: bool = False) -> Column:
-    """All codes (with ``single`` one) equal the record in its first set part; ``exact`` compares all set parts.
+def same_record(a: Column, b: Column, fields: Iterable[str] = PARTS) -> Column:
+    """Whether two records agree in these parts; unset parts agree with unset ones, letters whatever their case."""
+    upper = lambda r, p: F.upper(r[p].cast("string"))
+    return reduce(lambda x, y: x & y, [upper(a, p).eqNullSafe(upper(b, p)) for p in fields])
+
+
+def all_of(*tests: Column) -> Column:
+    """Documents that pass every test; an undecided one doesn't pass."""
+    return reduce(lambda x, y: x & y, [F.coalesce(t, F.lit(False)) for t in tests], F.lit(True))
+
+
+def sloppy(
+    codes: Column, code: Code, separator: str = "-", single: bool = False, exact: bool = False, zero_pad: bool = False,
+    fields: Iterable[str] | None = None,
+) -> Column:
+    """All codes (with ``single`` one) equal the record in its first set part; ``exact`` compares all set parts, ``fields`` those given.
 
     Malformed codes are skipped; at least one must match. With ``single`` any equal
     part is enough.
@@ -133,7 +149,9 @@ def sloppy(codes: Column, code: Code, separator: str = "-", single: bool = False
 
     if single:
         return F.coalesce(F.exists(records, lambda r: joined(r, wanted, False)), F.lit(False))
-    chosen = wanted if exact else wanted[:1]
+    if fields is not None and set(names := list(fields)) - set(PARTS):
+        raise ValueError(f"fields are some of {PARTS}")
+    chosen = [w for w in wanted if w[0] in names] if fields is not None else wanted if exact else wanted[:1]
     return F.coalesce((F.size(records) > 0) & F.forall(records, lambda r: joined(r, chosen, True)), F.lit(False))
 
 
@@ -155,7 +173,7 @@ def max_sections(codes: Column, n: int, separator: str = "-") -> Column:
 
 
 def standard_restriction(codes: Column, code: Code, separator: str = "-") -> Column:
-    return class_match(codes, code, separator) & sloppy(codes, code, separator)
+    return all_of(class_match(codes, code, separator), sloppy(codes, code, separator))
 
 
 def sort_keys(record: str) -> list[Column]:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from termspire.functions.analysis import simple_tokens
 from termspire.operators.retrieval import FeedbackSpec, feedback, ics_feedback, oversized, query_terms, teq_matches
 from termspire.operators.view import View
+from termspire.sources.store import stored
 
+#: The texts of empty results.
 REASONS = {
     "terms": "No query terms", "large": "Boolean query too large.", "documents": "No feedback documents.",
     "few": "Not enough feedback documents.", "band": "No feedback terms available after reducing by threshold.",
@@ -56,63 +58,88 @@ def check_tuples(tuples: DataFrame) -> None:
         raise ValueError("weights must be neither null nor negative")
 
 
-def scs(view: View, queries: DataFrame, id_col: str = "q_id", text_col: str = "text") -> DataFrame:
+def kl_decimal(tuples: DataFrame, by: str = "q_id", digits: int = 7) -> DataFrame:
+    """(``by``, score) of tuples (``by``, q_model, c_model): the divergence in decimal arithmetic of ``digits`` significant digits.
+
+    Sums are exact decimals; shares, their ratio and each summand are rounded to that many significant digits,
+    half up. Like the reference's default mode it differs from :func:`kl` by about the last of these digits in each step.
+    """
+
+    def cut(x: Column) -> Column:
+        scale = F.floor(F.log10(F.abs(x))) + 1
+        factor = F.pow(F.lit(10.0), F.lit(float(digits)) - scale)
+        return F.when(x == 0, F.lit(0.0)).otherwise(F.round(x * factor, 0) / factor)
+
+    exact = tuples.where((F.col("q_model") > 0) & (F.col("c_model") > 0))
+    sums = exact.groupBy(by).agg(*(F.sum(F.col(c).cast("decimal(38,18)")).cast("double").alias(f"sum_{c[0]}") for c in ("q_model", "c_model")))
+    rows = exact.join(sums, by)
+    q, c = cut(F.col("q_model") / F.col("sum_q")), cut(F.col("c_model") / F.col("sum_c"))
+    part = cut(q * cut(F.log2(cut(q / c))))
+    return rows.groupBy(by).agg(cut(F.sum(part.cast("decimal(38,18)")).cast("double")).alias("score"))
+
+
+def scs(view: View, queries: DataFrame, id_col: str = "q_id", text_col: str = "text", tokens=simple_tokens) -> DataFrame:
     """(q_id, score): the query's term shares, unknown terms counted, against the collection."""
-    terms = query_terms(queries, id_col, text_col)
+    terms = query_terms(queries, id_col, text_col, tokens=tokens)
     total = terms.groupBy("q_id").agg(F.sum("qtf").alias("n"))
     known = terms.join(view.term_stats().select("term", "rel_tf"), "term").join(total, "q_id")
     scores = known.groupBy("q_id").agg(kl(F.col("qtf") / F.col("n"), F.col("rel_tf")).alias("score"))
     return total.select("q_id").join(scores, "q_id", "left").select("q_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def _feedback_view(view: View, fb: DataFrame) -> View:
-    """The view of feedback documents only: models and lengths of the rest of the collection are never aggregated."""
-    return view.documents(fb.select("doc_id").distinct())
+@dataclass(frozen=True)
+class _Parts:
+    """What a model reads, each stored once: feedback with lengths, the feedback documents' model, all terms' statistics."""
+
+    fb: DataFrame
+    model: DataFrame
+    stats: DataFrame
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """``df`` kept in memory and on disk, as several parts of a score's plan read it; lost blocks are computed anew."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+def _parts(view: View, fb: DataFrame) -> _Parts:
+    """Models of other documents than feedback ones are never joined."""
+    docs = stored(fb.select("doc_id").distinct(), "feedback-docs")
+    model = stored(view.doc_model().join(docs, "doc_id", "left_semi"), "feedback-models")
+    lengths = model.groupBy("doc_id").agg(F.sum("mtf").alias("dl"), F.count("*").alias("n_terms"))
+    fb = stored(fb.select("q_id", "doc_id").join(lengths, "doc_id"), "feedback-lengths")
+    return _Parts(fb, model, stored(view.term_stats(), "term-stats"))
 
 
-def _weights(fb: DataFrame, terms: DataFrame, model: DataFrame, stats: DataFrame, p: Column) -> DataFrame:
-    """(q_id, doc_id, w): the product of P(query term | document), scaled by the query's largest.
+def _weights(parts: _Parts, terms: DataFrame, p: Column, *keep: str) -> DataFrame:
+    """(q_id, doc_id, w, ...): the product of P(query term | document), scaled by the query's largest; stored.
 
     ``p`` is over mtf (0 if absent), the document's columns and rel_tf.
     """
-    pairs = fb.join(terms, "q_id").join(stats.select("term", "rel_tf"), "term").join(model, ["doc_id", "term"], "left")
-    lw = pairs.withColumn("mtf", F.coalesce("mtf", F.lit(0))).groupBy("q_id", "doc_id").agg(F.sum(F.col("qtf") * F.ln(p)).alias("lw"))
-    top = lw.groupBy("q_id").agg(F.max("lw").alias("top"))
-    return lw.join(top, "q_id").select("q_id", "doc_id", F.exp(F.col("lw") - F.col("top")).alias("w"))
+    own = parts.model.join(terms.select("term").distinct(), "term", "left_semi")
+    pairs = parts.fb.join(terms.join(parts.stats.select("term", "rel_tf"), "term"), "q_id").join(own, ["doc_id", "term"], "left")
+    lw = pairs.withColumn("mtf", F.coalesce("mtf", F.lit(0))).groupBy("q_id", "doc_id", *keep).agg(F.sum(F.col("qtf") * F.ln(p)).alias("lw"))
+    top = F.max("lw").over(Window.partitionBy("q_id"))
+    return stored(lw.select("q_id", "doc_id", *keep, F.exp(F.col("lw") - top).alias("w")), "weights")
 
 
 def dcs_models(view: View, terms: DataFrame, fb: DataFrame, config: DcsConfig = DcsConfig()) -> DataFrame:
     """(q_id, term, q_model, c_model). Only postings of feedback documents are joined: the collection's part factors out."""
-    own = _feedback_view(view, fb)
-    stats, model, lengths = view.term_stats(), own.doc_model(), own.doc_lengths()
-    lam = config.weight
-    fb = fb.select("q_id", "doc_id").join(lengths, "doc_id")
-    w = _kept(_weights(fb, terms, model, stats, lam * F.col("mtf") / F.col("dl") + (1 - lam) * F.col("rel_tf")))
+    parts, lam = _parts(view, fb), config.weight
+    w = _weights(parts, terms, lam * F.col("mtf") / F.col("dl") + (1 - lam) * F.col("rel_tf"), "dl")
     total = w.groupBy("q_id").agg(F.sum("w").alias("total"))
-    sums = fb.join(w, ["q_id", "doc_id"]).join(model, "doc_id").groupBy("q_id", "term").agg(F.sum(F.col("w") * F.col("mtf") / F.col("dl")).alias("s"))
-    sums = sums.join(total, "q_id").join(stats.select("term", "rel_tf"), "term")
+    sums = w.join(parts.model, "doc_id").groupBy("q_id", "term").agg(F.sum(F.col("w") * F.col("mtf") / F.col("dl")).alias("s"))
+    sums = sums.join(total, "q_id").join(parts.stats.select("term", "rel_tf"), "term")
     return sums.select("q_id", "term", (lam * F.col("s") + (1 - lam) * F.col("rel_tf") * F.col("total")).alias("q_model"), F.col("rel_tf").alias("c_model"))
 
 
 def ics_models(view: View, terms: DataFrame, fb: DataFrame, config: IcsConfig = IcsConfig()) -> DataFrame:
     """As :func:`dcs_models`, smoothed by document and with vocabulary terms of the band only."""
-    own = _feedback_view(view, fb)
-    stats, model, lengths = view.term_stats(), own.doc_model(), own.doc_lengths()
+    parts = _parts(view, fb)
     mu, beta, lam = config.smoothing, config.beta, config.weight
-    fb = fb.select("q_id", "doc_id").join(lengths, "doc_id").withColumn("sd", F.col("dl") + mu * F.col("n_terms"))
+    parts = replace(parts, fb=parts.fb.select("q_id", "doc_id", (F.col("dl") + mu * F.col("n_terms")).alias("sd")))
     c = F.col("rel_tf")
     smooth = F.when(F.col("sd") > 0, (F.col("mtf") + mu * c) / F.col("sd")).otherwise(0.0)
-    w = _weights(fb, terms, model, stats, lam * (beta * smooth + (1 - beta) * c) + (1 - lam) * c)
-    w = _kept(fb.join(w, ["q_id", "doc_id"]).select("q_id", "doc_id", "w", "sd"))
+    w = _weights(parts, terms, lam * (beta * smooth + (1 - beta) * c) + (1 - lam) * c, "sd")
     total = w.groupBy("q_id").agg(F.sum(F.col("w") * (lam * beta * mu / F.col("sd") + lam * (1 - beta) + 1 - lam)).alias("total"))
-    band = stats.where(F.col("rel_df").between(config.band_low, config.band_high)).select("term", "rel_tf")
-    sums = w.join(model, "doc_id").groupBy("q_id", "term").agg(F.sum(F.col("w") * F.col("mtf") / F.col("sd")).alias("s"))
-    sums = sums.join(total, "q_id").join(band, "term")
+    band = parts.stats.where(F.col("rel_df").between(config.band_low, config.band_high)).select("term", "rel_tf")
+    # The band goes into the model before weights spread over its rows.
+    sums = w.join(parts.model.join(band, "term"), "doc_id").groupBy("q_id", "term", "rel_tf").agg(F.sum(F.col("w") * F.col("mtf") / F.col("sd")).alias("s"))
+    sums = sums.join(total, "q_id")
     return sums.select("q_id", "term", (lam * beta * F.col("s") + c * F.col("total")).alias("q_model"), c.alias("c_model"))
 
 
@@ -133,17 +160,25 @@ def _result(all_q: DataFrame, terms: DataFrame, fb: DataFrame, models: DataFrame
     )
 
 
-def dcs(view: View, queries: DataFrame, id_col: str = "q_id", text_col: str = "text", config: DcsConfig = DcsConfig(), fields=("claims", "detd")) -> DataFrame:
+def dcs(
+    view: View, queries: DataFrame, id_col: str = "q_id", text_col: str = "text", config: DcsConfig = DcsConfig(), fields=("claims", "detd"),
+    tokens=simple_tokens, spec: FeedbackSpec | None = None,
+) -> DataFrame:
     """(q_id, impl, score, is_empty, empty_reason, fb_doc_count): divergence of the feedback's relevance model."""
-    terms = query_terms(queries, id_col, text_col, view.postings.select("term").distinct())
-    fb = _kept(feedback(view, terms, FeedbackSpec(most=config.feedback, fixed=True), fields))
+    terms = stored(query_terms(queries, id_col, text_col, view.by_term(), tokens), "query-terms")
+    fb = stored(feedback(view, terms, spec or FeedbackSpec(most=config.feedback, fixed=True), fields), "feedback")
     return _result(queries.select(F.col(id_col).alias("q_id")), terms, fb, dcs_models(view, terms, fb, config), len(fields), "DCS")
 
 
-def ics(view: View, queries: DataFrame, id_col: str = "q_id", text_col: str = "text", config: IcsConfig = IcsConfig(), fields=("claims", "detd")) -> DataFrame:
-    """As :func:`dcs` with matching-based feedback, plus the range of match counts used."""
-    terms = query_terms(queries, id_col, text_col, view.postings.select("term").distinct())
-    fb = _kept(ics_feedback(teq_matches(view, terms), config.least, config.most))
+def ics(
+    view: View, queries: DataFrame, id_col: str = "q_id", text_col: str = "text", config: IcsConfig = IcsConfig(), fields=("claims", "detd"),
+    tokens=simple_tokens,
+) -> DataFrame:
+    """As :func:`dcs` with matching-based feedback, plus the range of match counts used. Fails if the view has fewer documents than feedback needs."""
+    if config.least > (n := view.doc_ids().count()):
+        raise ValueError(f"{config.least} feedback documents are wanted of {n}")
+    terms = stored(query_terms(queries, id_col, text_col, view.by_term(), tokens), "query-terms")
+    fb = stored(ics_feedback(teq_matches(view, terms), config.least, config.most), "feedback")
     rows = _result(queries.select(F.col(id_col).alias("q_id")), terms, fb, ics_models(view, terms, fb, config), len(fields), "ICS", config.least)
     span = fb.groupBy("q_id").agg(F.min("n_match").alias("fb_terms_min"), F.max("n_match").alias("fb_terms_max"))
     return rows.join(span, "q_id", "left")
@@ -152,9 +187,12 @@ def ics(view: View, queries: DataFrame, id_col: str = "q_id", text_col: str = "t
 def bm25plus(view: View, terms: DataFrame, docs: DataFrame, config: Bm25Config = Bm25Config()) -> DataFrame:
     """(q_id, doc_id, score) of the pairs in ``docs``: every query term counts, delta for absent ones too."""
     total = view.collection().select("n_docs", (F.col("ttf") / F.col("n_docs")).alias("avgdl"))
-    stats = view.term_stats().select("term", "df")
-    pairs = docs.select("q_id", "doc_id").join(terms, "q_id").join(stats, "term").join(view.doc_lengths().select("doc_id", "dl"), "doc_id")
-    pairs = pairs.join(view.doc_model(), ["doc_id", "term"], "left").crossJoin(F.broadcast(total)).withColumn("mtf", F.coalesce("mtf", F.lit(0)))
+    docs = stored(docs.select("q_id", "doc_id"), "ranked")
+    model = stored(view.doc_model().join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "ranked-models")
+    lengths = model.groupBy("doc_id").agg(F.sum("mtf").alias("dl"))
+    stats = terms.join(view.by_term().select("term", "df"), "term")
+    pairs = docs.join(stats, "q_id").join(lengths, "doc_id").join(model, ["doc_id", "term"], "left")
+    pairs = pairs.crossJoin(F.broadcast(total)).withColumn("mtf", F.coalesce("mtf", F.lit(0)))  # one row
     k, b = config.k, config.b
     part = F.log10((F.col("n_docs") + 1) / F.col("df")) * F.col("mtf") * (k + 1) / (F.col("mtf") + k * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return pairs.groupBy("q_id", "doc_id").agg(F.sum(F.col("qtf") * (part + config.delta)).alias("score"))
@@ -166,10 +204,23 @@ def bm25_sentinel(queries: DataFrame, terms: DataFrame, id_col: str = "q_id") ->
     return none.select("q_id", F.lit(-1).cast("long").alias("doc_id"), F.lit(-1.0).alias("score"))
 
 
-SCORERS = {"SCS": scs, "DCS": dcs, "ICS": ics}
+#: Scorers by name, with the configuration that each takes.
+SCORERS = {"SCS": (scs, None), "DCS": (dcs, DcsConfig), "ICS": (ics, IcsConfig)}
 
 
-def scorer(name: str):
+def scorer(name: str, view: View | None = None, config=None, fields: tuple[str, ...] = ("claims", "detd"), tokens=simple_tokens):
+    """The scorer with what it needs checked: a function of queries (q_id, text).
+
+    Fails on an unknown name, a missing view, another scorer's configuration, or fields that the view doesn't have.
+    """
     if name.upper() not in SCORERS:
         raise ValueError(f"no scorer named {name}")
-    return SCORERS[name.upper()]
+    run, kind = SCORERS[name.upper()]
+    if view is None:
+        raise ValueError("a scorer needs a view")
+    if config is not None and (kind is None or not isinstance(config, kind)):
+        raise ValueError(f"{name} takes {kind.__name__ if kind else 'no configuration'}")
+    view.check_fields(fields)
+    if kind is None:
+        return lambda queries: run(view, queries, tokens=tokens)
+    return lambda queries: run(view, queries, config=config or kind(), fields=fields, tokens=tokens)

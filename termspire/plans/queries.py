@@ -4,28 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termspire.functions import ipc, scalar
 from termspire.functions import termfilters as tf
-from termspire.functions.analysis import STEMMERS, analyze, simple_tokens, word_count
+from termspire.functions.analysis import STEMMERS, analyze, bare_tokens, language_tokens, simple_tokens, word_count
 from termspire.operators import retrieval as R
 from termspire.operators import scoring as S
 from termspire.operators.view import View
 from termspire.plans import tables as P
-from termspire.sources.corpus import FIELDS, counts, read_corpus
+from termspire.sources import store
+from termspire.sources.corpus import FIELDS, counts, read_corpus, write_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, base: str | None = None):
+    """Register a query with its SQL, which continues the shared part or ``base``."""
+
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = "WITH RECURSIVE " + _BASE + sql
+            ORACLE_SQL[f.__name__] = "WITH RECURSIVE " + (base or _BASE) + sql
         return f
 
     return add
@@ -37,7 +39,7 @@ _CODE = (
     "chr(cast(65 + {i} % 8 AS int)) || lpad(cast(1 + {i} % 99 AS varchar), 2, '0') || chr(cast(65 + {i} % 26 AS int)) || "
     "lpad(cast(1 + {i} % 9999 AS varchar), 4, '0') || '-' || lpad(cast({i} % 10000 AS varchar), 4, '0')"
 )
-_BASE = rf"""corpus AS (
+_INDEX = rf"""corpus AS (
   SELECT doc_id, lang, split_part(text, chr(10), 1) AS claims,
          nullif(substr(text, length(split_part(text, chr(10), 1)) + 2), '') AS detd,
          list_filter([{_CODE.format(i="doc_id")}, CASE WHEN doc_id % 3 = 0 THEN {_CODE.format(i="(doc_id + 3)")} END,
@@ -54,9 +56,10 @@ ts AS (
   FROM ft, coll GROUP BY term),
 dm AS (SELECT doc_id, term, count(*) AS mtf FROM post GROUP BY ALL),
 dl AS (SELECT doc_id, sum(mtf) AS dl, count(*) AS n_terms FROM dm GROUP BY doc_id),
-qt0 AS (
+"""
+_QUERIES = r"""qt0 AS (
   SELECT item_id AS q_id, term, count(*) AS qtf
-  FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM benchmark) GROUP BY ALL),
+  FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM <items>) GROUP BY ALL),
 qt AS (SELECT * FROM qt0 WHERE term IN (SELECT term FROM ts)),
 teq AS (
   SELECT q_id, doc_id, count(DISTINCT term) AS n_match, any_value(n_unique) AS n_unique
@@ -70,6 +73,7 @@ lev AS (SELECT q_id, doc_id, n_unique - n_match AS level, score FROM teq JOIN tf
 lsz AS (SELECT q_id, level, coalesce(sum(count(*)) OVER (PARTITION BY q_id ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above
         FROM lev GROUP BY q_id, level)
 """
+_BASE = _INDEX + _QUERIES.replace("<items>", "benchmark")
 
 
 def fb_sql(name: str, least: int, most: int) -> str:
@@ -115,22 +119,33 @@ models AS (
 """
 
 
+_BUILT: dict[tuple[str, str], tuple[str, str]] = {}
+
+
+def index_of(spark: SparkSession, sf_dir: str) -> str:
+    """The index of a folder's documents, which a session builds once: again if the documents changed or the index is gone."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    state = store.state(spark, f"{sf_dir}/documents.parquet")
+    path, built = _BUILT.get(key, ("", ""))
+    if built != state or not store.exists(spark, f"{path}/models/_SUCCESS"):
+        path = store.fresh_path(spark, "index")
+        write_index(read_corpus(spark, sf_dir), path)
+        _BUILT[key] = (path, state)
+    return path
+
+
 def view(spark: SparkSession, sf_dir: str, lang: str = "en") -> View:
-    return View(counts(read_corpus(spark, sf_dir).where(F.col("lang") == lang)))
+    """A language's view of the folder's index."""
+    return View.open(spark, index_of(spark, sf_dir), lang)
 
 
 def bench(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("q_id"), "text")
 
 
-def shared_view(spark: SparkSession, sf_dir: str) -> View:
-    """A view whose postings many parts of a plan read: kept in memory and on disk, so texts are tokenised once."""
-    return View(view(spark, sf_dir).postings.persist(StorageLevel.MEMORY_AND_DISK))
-
-
 def _q(spark: SparkSession, sf_dir: str) -> tuple[View, DataFrame, DataFrame]:
-    v, q = shared_view(spark, sf_dir), bench(spark, sf_dir)
-    return v, q, R.query_terms(q, "q_id", "text", v.postings.select("term").distinct())
+    v, q = view(spark, sf_dir), bench(spark, sf_dir)
+    return v, q, store.stored(R.query_terms(q, "q_id", "text", v.by_term()), "query-terms")
 
 
 def r6(*names: str):
@@ -161,11 +176,9 @@ def doc_model(spark, sf_dir):
     return v.doc_model().join(v.doc_lengths(), "doc_id").select("doc_id", "term", "mtf", F.round(F.col("mtf") / F.col("dl"), 9).alias("rel_mtf"))
 
 
-@query("SELECT DISTINCT field, term FROM post WHERE doc_id = (SELECT min(doc_id) FROM post)")
+@query("SELECT DISTINCT doc_id, field, term FROM post")
 def doc_terms(spark, sf_dir):
-    v = view(spark, sf_dir)
-    first = v.postings.agg(F.min("doc_id").alias("doc_id"))
-    return v.documents(first).postings.select("field", "term").distinct()
+    return view(spark, sf_dir).doc_terms(FIELDS)
 
 
 @query("""SELECT DISTINCT q_id, term FROM post JOIN (
@@ -300,6 +313,7 @@ def _claims_dump(spark, sf_dir):
 
 @query(_SAMPLE + "SELECT term, round(rel_df, 9) AS rel_df, bin, round(bin_min, 9) AS bin_min, round(bin_max, 9) AS bin_max FROM sample")
 def term_sample(spark, sf_dir):
+    """Scoring terms of the field claims: a sample is of one field."""
     return _sample(spark, sf_dir).select("term", "bin", *(F.round(c, 9).alias(c) for c in ("rel_df", "bin_min", "bin_max")))
 
 
@@ -315,10 +329,10 @@ def query_tokens(spark, sf_dir):
     return _q(spark, sf_dir)[2]
 
 
-@query("SELECT q_id, doc_id, n_match, n_unique FROM teq WHERE n_match = n_unique OR n_match >= 2")
+@query("SELECT q_id, doc_id, n_match, n_unique FROM teq")
 def teq_match(spark, sf_dir):
     v, _, terms = _q(spark, sf_dir)
-    return R.teq_matches(v, terms).where("n_match = n_unique or n_match >= 2")
+    return R.teq_matches(v, terms)
 
 
 @query(""", cl AS (SELECT q_id, term, field, coalesce(df, 0) > ceil(n_docs * 0.01) AS hi
@@ -355,7 +369,7 @@ def feedback_fixed(spark, sf_dir):
 FROM benchmark i LEFT JOIN (SELECT q_id, {_KL} AS score FROM models GROUP BY q_id) s ON s.q_id = i.item_id
 LEFT JOIN (SELECT q_id, count(*) AS n FROM fb GROUP BY q_id) f ON f.q_id = i.item_id""")
 def dcs_score(spark, sf_dir):
-    return S.dcs(shared_view(spark, sf_dir), bench(spark, sf_dir)).select("q_id", *r6("score"), "fb_doc_count")
+    return S.dcs(view(spark, sf_dir), bench(spark, sf_dir)).select("q_id", *r6("score"), "fb_doc_count")
 
 
 @query(_ICS + f"""SELECT i.item_id AS q_id, round(CASE WHEN coalesce(n, 0) < 10 THEN 0 ELSE coalesce(score, 0) END, 6) AS score, coalesce(n, 0) AS fb_doc_count,
@@ -363,14 +377,13 @@ lo AS fb_terms_min, hi AS fb_terms_max
 FROM benchmark i LEFT JOIN (SELECT q_id, {_KL} AS score FROM models GROUP BY q_id) s ON s.q_id = i.item_id
 LEFT JOIN (SELECT q_id, count(*) AS n, min(n_match) AS lo, max(n_match) AS hi FROM fb GROUP BY q_id) f ON f.q_id = i.item_id""")
 def ics_score(spark, sf_dir):
-    return S.ics(shared_view(spark, sf_dir), bench(spark, sf_dir)).select("q_id", *r6("score"), "fb_doc_count", "fb_terms_min", "fb_terms_max")
+    return S.ics(view(spark, sf_dir), bench(spark, sf_dir)).select("q_id", *r6("score"), "fb_doc_count", "fb_terms_min", "fb_terms_max")
 
 
 @query(_ICS + """SELECT q_id, term, round(q, 9) AS q_model, round(c, 9) AS c_model, df, round(rel_df, 9) AS rel_df, CAST(tf AS BIGINT) AS tf, round(rel_tf, 9) AS rel_tf
-FROM models WHERE q_id = (SELECT min(item_id) FROM benchmark)""")
+FROM models""")
 def ics_explain(spark, sf_dir):
-    v, q, terms = _q(spark, sf_dir)
-    terms = terms.join(q.agg(F.min("q_id").alias("q_id")), "q_id", "left_semi")
+    v, _, terms = _q(spark, sf_dir)
     fb = R.ics_feedback(R.teq_matches(v, terms))
     rows = P.explain(S.ics_models(v, terms, fb), v)
     return rows.select("q_id", "term", "df", "tf", *(F.round(c, 9).alias(c) for c in ("q_model", "c_model", "rel_df", "rel_tf")))
@@ -396,11 +409,11 @@ good AS (SELECT doc_id, f.* FROM codes JOIN fmt f USING (code) WHERE valid AND s
 """
 
 
-@query(_PARSE + "SELECT code, section, class, subclass, maingroup, subgroup, valid, '-' AS separator FROM valid WHERE section IS NOT NULL AND subgroup IS NOT NULL")
+@query(_PARSE + "SELECT code, section, class, subclass, maingroup, subgroup, valid, regexp_extract(code, '[^a-zA-Z0-9]') AS separator FROM valid")
 def ipc_parse(spark, sf_dir):
     codes = read_corpus(spark, sf_dir).select(F.explode("ipc").alias("code")).distinct()
     rows = codes.withColumn("r", ipc.parse(F.col("code"))).withColumn("separator", ipc.find_separator(F.col("code")))
-    return rows.select("code", "r.*", "separator").where("section is not null and subgroup is not null")
+    return rows.select("code", "r.*", "separator")
 
 
 @query(_PARSE + "SELECT code, CASE WHEN valid THEN f ELSE 'INVALID' END AS formatted, valid, regexp_matches(code, '^(?:[Aa].*)$') AS matched FROM fmt")
@@ -470,10 +483,70 @@ def sentence_terms_join(spark, sf_dir):
     return pairs.join(terms, pairs.term_ref == terms.term).select("item_id", "term_ref", "sentence", "bin")
 
 
-@query()
+# A sentence ends with a mark and a space once white space is folded.
+_SENT = r""", folded AS (
+  SELECT doc_id, field, unnest(string_split(regexp_replace(trim(regexp_replace(lower(t), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' '), '([.!?]) ', '\1' || chr(10), 'g'), chr(10))) AS sentence
+  FROM (SELECT doc_id, unnest(['claims', 'detd']) AS field, unnest([claims, detd]) AS t FROM corpus WHERE lang = 'en')),
+stok AS (SELECT DISTINCT doc_id, field, sentence, unnest(regexp_extract_all(sentence, '[\p{L}\p{N}]+')) AS token FROM folded WHERE sentence <> ''),
+inside AS (SELECT DISTINCT token, term FROM (SELECT DISTINCT token FROM stok) JOIN (SELECT DISTINCT term FROM sample) ON contains(token, term)),
+hit AS (SELECT DISTINCT field, term, doc_id, sentence FROM stok JOIN inside USING (token)),
+cand AS (SELECT * FROM (SELECT DISTINCT field, term, doc_id FROM hit)
+  QUALIFY row_number() OVER (PARTITION BY field, term ORDER BY md5('0' || doc_id::varchar), doc_id) <= 500),
+one AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY field, term ORDER BY md5('0' || term || doc_id::varchar), doc_id) = 1),
+mine AS (SELECT *, row_number() OVER (PARTITION BY field, term ORDER BY len(string_split(sentence, ' ')) DESC, sentence) AS r,
+  count(*) OVER (PARTITION BY field, term) AS n FROM hit JOIN one USING (field, term, doc_id)),
+picked AS (SELECT field, term, doc_id, sentence FROM mine WHERE r <= CASE WHEN n <= 3 THEN n ELSE floor(n / 3.5) END
+  QUALIFY row_number() OVER (PARTITION BY field, term ORDER BY md5('0' || sentence), sentence) = 1)
+"""
+
+
+@query(_SAMPLE + _SENT + "SELECT field, term, doc_id, sentence FROM picked")
 def sentences(spark, sf_dir):
     docs = read_corpus(spark, sf_dir).where("lang = 'en'")
-    return P.sentences(docs, _sample(spark, sf_dir).select("term").distinct(), "detd")
+    return P.sentences(docs, _sample(spark, sf_dir).select("term").distinct())
+
+
+_OF_SAMPLE = _INDEX.rstrip().rstrip(",") + _SAMPLE
+
+
+def _terms_table(spark, sf_dir):
+    """The sample as scoring terms (id, term, field, lang, bin, ipc)."""
+    rows = _sample(spark, sf_dir).select("term", "bin")
+    key = F.md5(F.concat_ws("|", "term", F.col("bin").cast("string")))
+    return store.stored(rows.select(key.alias("id"), "term", F.lit("claims").alias("field"), F.lit("en").alias("lang"), "bin", F.lit(None).cast("string").alias("ipc")), "scoring-terms")
+
+
+@query(
+    ", items AS (SELECT md5(term || '|' || bin) AS item_id, term AS text FROM sample), " + _QUERIES.replace("<items>", "items") + _ICS
+    + f""", scored AS (SELECT q_id, {_KL} AS score FROM models GROUP BY q_id), cnt AS (SELECT q_id, count(*) AS n FROM fb GROUP BY q_id)
+SELECT md5(term || '|' || bin) AS term_ref, term, 'claims' AS field, bin, 'ICS' AS impl, round(CASE WHEN coalesce(n, 0) < 10 THEN 0 ELSE coalesce(score, 0) END, 6) AS score
+FROM sample LEFT JOIN scored ON scored.q_id = md5(term || '|' || bin) LEFT JOIN cnt ON cnt.q_id = md5(term || '|' || bin)""",
+    _OF_SAMPLE,
+)
+def term_results(spark, sf_dir):
+    """Every sampled term scored by improved clarity, and the results joined with their terms."""
+    terms = _terms_table(spark, sf_dir)
+    results = S.ics(view(spark, sf_dir), P.scoring_terms(terms, "en").select(F.col("id").alias("q_id"), F.col("term").alias("text")))
+    return P.term_report(results.withColumnRenamed("q_id", "term_ref"), terms).withColumn("score", F.round("score", 6))
+
+
+@query(
+    _SENT + """, items AS (SELECT md5(term || '|' || bin) AS item_id, sentence AS text FROM picked JOIN sample USING (term) WHERE field = 'claims'), """
+    + _QUERIES.replace("<items>", "items")
+    + f""", scored AS (SELECT q_id, {_KL} AS score FROM (
+  SELECT q_id, qtf / n::double AS q, rel_tf AS c FROM qt JOIN (SELECT q_id, sum(qtf) AS n FROM qt0 GROUP BY q_id) USING (q_id) JOIN ts USING (term)) GROUP BY q_id)
+SELECT item_id AS sent_ref, item_id AS term_ref, 'claims' AS field, bin, 'SCS' AS impl, round(coalesce(score, 0), 6) AS score
+FROM items JOIN sample ON item_id = md5(sample.term || '|' || bin) LEFT JOIN scored ON q_id = item_id""",
+    _OF_SAMPLE,
+)
+def sentence_results(spark, sf_dir):
+    """A sentence of every sampled term scored by simplified clarity, and the results joined with sentences and terms."""
+    terms = _terms_table(spark, sf_dir)
+    found = P.sentences(read_corpus(spark, sf_dir).where("lang = 'en'"), terms, ("claims",))
+    own = store.stored(found.join(terms.select("id", "term"), "term").select("sentence", F.col("id").alias("term_ref")), "sentences")
+    queries = P.score_sentences(own, terms, "en").select(F.col("term_ref").alias("q_id"), F.col("sentence").alias("text"))
+    results = S.scs(view(spark, sf_dir), queries).select(F.col("q_id").alias("sent_ref"), F.lit("SCS").alias("impl"), F.round("score", 6).alias("score"))
+    return P.sentence_report(results, own, terms)
 
 
 @query(f""", scored AS (SELECT q_id, {_KL} AS score, q_id % 4 AS g FROM (
@@ -535,10 +608,142 @@ def _add_stemmed():
 
         def run(spark, sf_dir, lang=lang):
             docs = read_corpus(spark, sf_dir).where(F.col("lang") == lang)
-            return analyze(docs, "claims", lang).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+            parts = [analyze(docs, f, lang).withColumn("field", F.lit(f)) for f in FIELDS]
+            return parts[0].unionByName(parts[1]).groupBy("doc_id", "field", "term").agg(F.count("*").alias("tf"))
 
         run.__name__ = f"stemmed_{lang}"
         query()(run)
 
 
 _add_stemmed()
+
+_STD = r"[\p{L}\p{N}_]+(?:[''’.,·][\p{L}\p{N}][\p{L}\p{N}_]*)*"
+_BARE = r"""bare AS (
+  SELECT lang, doc_id, field, CASE lang WHEN 'en' THEN regexp_replace(t, '[''’]s$', '')
+    WHEN 'fr' THEN regexp_replace(t, '^(?:c|d|j|l|m|n|qu|s|t|jusqu|quoiqu|lorsqu|puisqu)[''’]', '') ELSE t END AS term
+  FROM (SELECT lang, doc_id, field, unnest(regexp_extract_all(lower(x), '<std>')) AS t
+    FROM (SELECT lang, doc_id, unnest(['claims', 'detd']) AS field, unnest([claims, detd]) AS x FROM corpus)))""".replace("<std>", _STD)
+
+
+@query(f", {_BARE} SELECT lang, doc_id, field, term, count(*) AS tf FROM bare WHERE term <> '' AND NOT (lang = 'en' AND term IN ({', '.join(map(repr, STOP))})) GROUP BY ALL")
+def analyzer_tokens(spark, sf_dir):
+    """What each language's analyzer gives before it stems."""
+    docs = read_corpus(spark, sf_dir)
+    parts = [counts(docs.where(F.col("lang") == lang), FIELDS, bare_tokens(lang, STOP if lang == "en" else ())) for lang in STEMMERS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(
+    f"""{_BARE}, post AS (SELECT doc_id, field, term, count(*) AS tf FROM bare WHERE lang = 'en' AND field = 'claims' AND term <> '' AND term NOT IN ({', '.join(map(repr, STOP))}) GROUP BY ALL
+UNION ALL SELECT doc_id, field, term, count(*) FROM tok WHERE field = 'detd' GROUP BY ALL),
+ts AS (SELECT term, sum(tf) / max(total)::double AS rel_tf FROM post, (SELECT sum(tf) AS total FROM post) GROUP BY term),
+q0 AS (SELECT item_id AS q_id, regexp_replace(t, '[''’]s$', '') AS term FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '{_STD}')) AS t FROM benchmark)),
+qn AS (SELECT q_id, term, count(*) AS qtf FROM q0 WHERE term <> '' AND term NOT IN ({', '.join(map(repr, STOP))}) GROUP BY ALL)
+SELECT q_id, round(coalesce(score, 0), 6) AS score FROM (SELECT DISTINCT q_id FROM qn)
+LEFT JOIN (SELECT q_id, {_KL} AS score FROM (SELECT q_id, qtf / n::double AS q, rel_tf AS c FROM qn JOIN (SELECT q_id, sum(qtf) AS n FROM qn GROUP BY q_id) USING (q_id) JOIN ts USING (term)) GROUP BY q_id) USING (q_id)""",
+    _INDEX[: _INDEX.index("post AS")],
+)
+def scs_analyzed(spark, sf_dir):
+    """Simplified clarity with an analyzer of its own for one field and for the queries."""
+    own = bare_tokens("en", STOP)
+    docs = read_corpus(spark, sf_dir).where("lang = 'en'")
+    v = View(counts(docs, FIELDS, {"claims": own})).stored("analyzed")
+    return S.scs(v, bench(spark, sf_dir), tokens=own).select("q_id", *r6("score"))
+
+
+@query()
+def scs_german(spark, sf_dir):
+    """Queries and documents both through the German analyzer."""
+    own = language_tokens("de")
+    docs = read_corpus(spark, sf_dir).where("lang = 'de'")
+    return S.scs(View(counts(docs, FIELDS, own)).stored("german"), bench(spark, sf_dir), tokens=own).select("q_id", *r6("score"))
+
+
+_CTQ = """, cl AS (SELECT q_id, term, field, coalesce(df, 0) > ceil(n_docs * 0.01) AS hi
+  FROM (SELECT q_id, term, unnest(['claims', 'detd']) AS field FROM qt) LEFT JOIN ft USING (field, term), coll),
+sz AS (SELECT q_id, count(*) FILTER (NOT hi) AS n_low, count(*) FILTER (hi) AS n_high FROM cl GROUP BY q_id),
+ctq AS (SELECT q_id, doc_id FROM (SELECT q_id, doc_id, count(*) FILTER (NOT hi) AS low, count(*) FILTER (hi) AS high
+  FROM post JOIN cl USING (field, term) GROUP BY q_id, doc_id) JOIN sz USING (q_id) WHERE CASE WHEN n_low > 0 THEN low >= 1 ELSE high = n_high END),
+fb AS (SELECT q_id, doc_id FROM ctq JOIN tfidf USING (q_id, doc_id) QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) <= <most>)"""
+
+
+@query(_CTQ.replace("<most>", "50") + "SELECT q_id, doc_id, 0 AS level FROM fb")
+def feedback_common(spark, sf_dir):
+    v, _, terms = _q(spark, sf_dir)
+    return R.feedback(v, terms, R.FeedbackSpec(10, 50, kind="CTQ"))
+
+
+@query("SELECT q_id, doc_id, CAST(n_unique - n_match AS INT) AS level FROM teq")
+def feedback_unbounded(spark, sf_dir):
+    v, _, terms = _q(spark, sf_dir)
+    return R.feedback(v, terms, R.FeedbackSpec(unbounded=True))
+
+
+@query(_FIXED.replace("(SELECT DISTINCT doc_id FROM post) d", "(SELECT DISTINCT doc_id FROM post WHERE field = 'detd') d") + " SELECT q_id, doc_id, CAST(level AS INT) AS level FROM fb")
+def feedback_fixed_field(spark, sf_dir):
+    v, _, terms = _q(spark, sf_dir)
+    return R.feedback(v, terms, R.FeedbackSpec(most=500, fixed=True, fields=("detd",)))
+
+
+@query(_CTQ.replace("<most>", "10") + """SELECT q_id, doc_id, field, count(*) AS n_terms, string_agg(term, ' ' ORDER BY encode(term)) AS terms
+FROM fb JOIN post USING (doc_id) GROUP BY ALL""")
+def feedback_inspection(spark, sf_dir):
+    v, _, terms = _q(spark, sf_dir)
+    return R.inspect_feedback(v, R.feedback(v, terms, R.FeedbackSpec(1, 10, kind="CTQ")))
+
+
+@query(_CTQ.replace("<most>", "10") + "SELECT DISTINCT q_id, term, round(rel_df, 9) AS rel_df FROM fb JOIN dm USING (doc_id) JOIN ts USING (term)")
+def feedback_inspection_terms(spark, sf_dir):
+    v, _, terms = _q(spark, sf_dir)
+    return R.inspect_vocabulary(v, R.feedback(v, terms, R.FeedbackSpec(1, 10, kind="CTQ"))).withColumn("rel_df", F.round("rel_df", 9))
+
+
+@query(_PARSE + """SELECT section, CAST(row_number() OVER (PARTITION BY section ORDER BY class NULLS FIRST, subclass NULLS FIRST, maingroup NULLS FIRST, subgroup NULLS FIRST) AS INT) AS place, code, n
+FROM (SELECT f AS code, section, class, subclass, maingroup, subgroup, count(*) AS n FROM good GROUP BY ALL)""")
+def ipc_ordered(spark, sf_dir):
+    return P.ipc_ordered(read_corpus(spark, sf_dir))
+
+
+@query(_PARSE + "SELECT count(*) FILTER (regexp_matches(code, '^(?:[Aa].*)$')) AS matched, count(*) FILTER (NOT regexp_matches(code, '^(?:[Aa].*)$')) AS excluded FROM fmt")
+def ipc_list_counts(spark, sf_dir):
+    return P.ipc_list_counts(P.ipc_list(read_corpus(spark, sf_dir), ipc.Code("A")))
+
+
+@query(_PARSE + """, ok AS (SELECT doc_id FROM good GROUP BY doc_id HAVING count(DISTINCT section) <= 1)
+SELECT doc_id FROM corpus WHERE len(list_filter(ipc, lambda c: regexp_matches(c, '^(?:[Dd].*)$'))) > 0 AND doc_id IN (SELECT doc_id FROM ok)""")
+def ipc_predicates(spark, sf_dir):
+    codes = F.col("ipc")
+    return read_corpus(spark, sf_dir).where(ipc.all_of(ipc.class_match(codes, ipc.Code("D")), ipc.max_sections(codes, 1))).select("doc_id")
+
+
+@query(_PARSE + """, rec AS (SELECT doc_id, list(section) AS s, list(subclass) AS u FROM codes JOIN fmt USING (code) WHERE valid GROUP BY doc_id)
+SELECT doc_id FROM rec WHERE len(list_filter(s, lambda x: x = 'C')) = (SELECT count(*) FROM codes JOIN fmt USING (code) WHERE valid AND codes.doc_id = rec.doc_id)
+AND len(list_filter(u, lambda x: x = 'K')) = (SELECT count(*) FROM codes JOIN fmt USING (code) WHERE valid AND codes.doc_id = rec.doc_id)""")
+def ipc_match_fields(spark, sf_dir):
+    return read_corpus(spark, sf_dir).where(ipc.sloppy(F.col("ipc"), ipc.Code("C", 3, "K"), fields=("section", "subclass"))).select("doc_id")
+
+
+@query(f"""SELECT term, CAST(sum(tf) AS BIGINT) AS tf, count(*) AS n FROM post
+WHERE term NOT IN ({', '.join(map(repr, STOP))}) AND term IN (SELECT term FROM (SELECT term, count(DISTINCT doc_id) AS d FROM post GROUP BY term), coll WHERE d / n_docs::double <= 0.2) GROUP BY term""")
+def view_without_terms(spark, sf_dir):
+    """A view without listed stop words, by anti-join, and without common terms."""
+    stop = spark.createDataFrame([(w,) for w in STOP], "term string")
+    v = view(spark, sf_dir)
+    return v.without_terms(stop).only_terms(tf.common_terms(v.postings, 0.2)).postings.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("n"))
+
+
+@query("""SELECT field, term, df, round(df / n_docs::double, 9) AS rel_df, df >= 10 AND term LIKE 'a%' AS chosen FROM ft, coll WHERE df / n_docs::double > 0.01""")
+def term_selection(spark, sf_dir):
+    """Predicates of a selection from the dump: a limit and a prefix."""
+    rows = P.term_dump(view(spark, sf_dir), 0.01).withColumn("rel_df", F.round("rel_df", 9))
+    return rows.withColumn("chosen", (F.col("df") >= 10) & F.col("term").startswith("a"))
+
+
+@query(r"""SELECT doc_id, claims = upper(claims) AS uppercase, claims = lower(claims) AS lowercase, round(log2(1 + length(claims)), 6) AS log2_n, round(ln(1 + length(claims)) / ln(3.0), 6) AS log3_n,
+strftime(make_timestamp(1700000000000000 + doc_id * 1000000), '%Y-%m-%d %H:%M:%S') AS at FROM corpus""")
+def scalar_more(spark, sf_dir):
+    c, n = F.col("claims"), F.lit(1.0) + F.length("claims")
+    return read_corpus(spark, sf_dir).select(
+        "doc_id", scalar.all_upper(c).alias("uppercase"), scalar.all_lower(c).alias("lowercase"), F.round(scalar.log_n(2.0, n), 6).alias("log2_n"),
+        F.round(scalar.log_n(3.0, n), 6).alias("log3_n"), scalar.timestamp_text(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id"))).alias("at"),
+    )

@@ -31,6 +31,8 @@ def term_sample(dump: DataFrame, bins: int = 6, size: int = 50, picks: Iterable[
     Bins divide the range of ``rel_df`` evenly; bin 1 is at the top.
     """
     picks = list(picks)
+    if dump.isEmpty():
+        raise ValueError("there are no terms to sample")
     if not picks or max(picks) > bins or min(picks) < 1:
         raise ValueError("picks are bins from 1 to the number of bins")
     span = dump.agg(F.min("rel_df").alias("lo"), F.max("rel_df").alias("hi"))
@@ -86,26 +88,59 @@ def ipc_list(docs: DataFrame, code: ipc.Code | None = None, separator: str = "-"
     return rows.select("code", F.when(r["valid"], ipc.padded(r, separator)).otherwise("INVALID").alias("formatted"), r["valid"].alias("valid"), test.alias("matched"))
 
 
-def sentences(docs: DataFrame, terms: DataFrame, field: str, seed: int = 0, most: int = 500) -> DataFrame:
-    """(term, doc_id, sentence): for each term one sentence of one of at most ``most`` documents with it.
+def ipc_list_counts(listing: DataFrame) -> DataFrame:
+    """One row: matched and excluded codes of an :func:`ipc_list`."""
+    return listing.agg(F.count_if("matched").alias("matched"), F.count_if(~F.col("matched")).alias("excluded"))
 
-    The document comes first in a seeded hash order. Of its sentences that contain the term in a token,
-    a single one is taken, of up to three any, else one of the longest n / 3.5.
+
+def ipc_ordered(docs: DataFrame, separator: str = "-") -> DataFrame:
+    """(section, place, code, n): each section's codes in the order of their parts, unset ones first."""
+    rows = ipc_all(docs, separator).withColumn("r", F.struct(*ipc.PARTS))
+    place = F.row_number().over(Window.partitionBy("section").orderBy(*ipc.sort_keys("r")))
+    return rows.select("section", place.alias("place"), "code", "n")
+
+
+def by_key(counts: DataFrame, key: str) -> DataFrame:
+    """A histogram in the numeric order of its key."""
+    return counts.orderBy(F.col(key).cast("double"), key)
+
+
+def sentences(docs: DataFrame, terms: DataFrame, fields: Iterable[str] = ("claims", "detd"), seed: str = "0", most: int = 500) -> DataFrame:
+    """(field, term, doc_id, sentence): for each term and field one sentence of one of at most ``most`` documents with it.
+
+    Of a term's documents the first ``most`` in a seeded hash order are candidates, and another hash picks one. Of its
+    sentences that contain the term in a token, a single one is taken, of up to three any, else one of the longest n / 3.5.
     """
-    rows = docs.where(F.col(field).isNotNull()).select("doc_id", F.explode(sentence_list(F.col(field))).alias("sentence"))
+    parts = [F.struct(F.lit(f).alias("field"), sentence_list(F.col(f)).alias("s")) for f in fields]
+    rows = docs.select("doc_id", F.explode(F.array(*parts)).alias("p")).select("doc_id", "p.field", F.explode("p.s").alias("sentence"))
     rows = rows.withColumn("token", F.explode(F.array_distinct(simple_tokens(F.col("sentence")))))
-    # Terms meet the distinct tokens by substring once; sentences then join on the token.
-    inside = rows.select("token").distinct().join(terms.select("term"), F.col("token").contains(F.col("term")))
-    hits = rows.join(inside, "token")
-    hits = hits.select("term", "doc_id", "sentence").distinct()
-    order = Window.partitionBy("term").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
-    first = hits.select("term", "doc_id").distinct().withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
-    own = hits.join(first, ["term", "doc_id"])
-    size = Window.partitionBy("term").orderBy(F.desc(F.size(F.split("sentence", r"\s+"))), "sentence")
-    own = own.withColumn("r", F.row_number().over(size)).withColumn("n", F.count("*").over(Window.partitionBy("term")))
+    # Distinct tokens are cut into pieces of the lengths that terms have, and pieces meet terms by equality:
+    # a token makes no more pieces than characters times lengths.
+    lengths = terms.agg(F.sort_array(F.collect_set(F.length("term"))).alias("ls"))
+    tokens = rows.select("token").distinct().crossJoin(F.broadcast(lengths))  # one row
+    tokens = tokens.select("token", F.explode("ls").alias("l")).where(F.length("token") >= F.col("l"))
+    starts = F.sequence(F.lit(1), F.length("token") - F.col("l") + 1)
+    pieces = tokens.select("token", F.explode(F.transform(starts, lambda i: F.substr("token", i, F.col("l")))).alias("term")).distinct()
+    inside = pieces.join(terms.select("term").distinct(), "term")
+    hits = rows.join(inside, "token").select("field", "term", "doc_id", "sentence").distinct()
+    group = Window.partitionBy("field", "term")
+    order = F.md5(F.concat(F.lit(seed), F.col("doc_id").cast("string")))
+    again = F.md5(F.concat(F.lit(seed), "term", F.col("doc_id").cast("string")))
+    docs_ = hits.select("field", "term", "doc_id").distinct().withColumn("r", F.row_number().over(group.orderBy(order, "doc_id"))).where(F.col("r") <= most)
+    first = docs_.withColumn("p", F.row_number().over(group.orderBy(again, "doc_id"))).where("p = 1").select("field", "term", "doc_id")
+    own = hits.join(first, ["field", "term", "doc_id"])
+    own = own.withColumn("r", F.row_number().over(group.orderBy(F.desc(F.size(F.split("sentence", " "))), "sentence")))
+    own = own.withColumn("n", F.count("*").over(group))
     own = own.where(F.col("r") <= F.when(F.col("n") <= 3, F.col("n")).otherwise(F.floor(F.col("n") / 3.5)))
-    pick = Window.partitionBy("term").orderBy(F.xxhash64(F.lit(seed), "sentence"), "sentence")
-    return own.withColumn("p", F.row_number().over(pick)).where("p = 1").select("term", "doc_id", "sentence")
+    pick = group.orderBy(F.md5(F.concat(F.lit(seed), "sentence")), "sentence")
+    return own.withColumn("p", F.row_number().over(pick)).where("p = 1").select("field", "term", "doc_id", "sentence")
+
+
+def check_sentences(found: DataFrame, terms: DataFrame) -> None:
+    """Fails unless every term has a sentence."""
+    missing = terms.select("term").distinct().join(found.select("term"), "term", "left_anti").count()
+    if missing:
+        raise ValueError(f"{missing} terms have no sentence")
 
 
 def histogram(rows: DataFrame, column: str) -> DataFrame:
@@ -136,9 +171,31 @@ def melt(rows: DataFrame, ids: list[str], values: list[str]) -> DataFrame:
     return rows.unpivot(ids, values, "variable", "value")
 
 
-def score_sentences(sentences_: DataFrame, terms: DataFrame) -> DataFrame:
-    """Sentences with their scoring term: (term_ref, sentence, term, field, lang, bin)."""
-    return sentences_.join(terms, sentences_.term_ref == terms.id).select("term_ref", "sentence", "term", "field", "lang", "bin")
+def score_sentences(sentences_: DataFrame, terms: DataFrame, lang: str | None = None, ipc_prefix: str | None = None) -> DataFrame:
+    """Sentences with their scoring term: (term_ref, sentence, term, field, lang, bin), of a language and of codes that start so."""
+    rows = scoring_terms(terms, lang, ipc_prefix)
+    return sentences_.join(rows, sentences_.term_ref == rows.id).select("term_ref", "sentence", "term", "field", "lang", "bin")
+
+
+def scoring_terms(terms: DataFrame, lang: str | None = None, ipc_prefix: str | None = None) -> DataFrame:
+    """The scoring terms to score: of a language, and with codes that start with ``ipc_prefix`` or without codes."""
+    rows = terms.where(F.col("lang") == lang) if lang else terms
+    return rows.where(F.col("ipc").startswith(ipc_prefix) if ipc_prefix else F.col("ipc").isNull())
+
+
+def term_report(results: DataFrame, terms: DataFrame) -> DataFrame:
+    """Results with their scoring term's bin: (term_ref, term, field, bin, impl, score)."""
+    return results.join(terms.withColumnRenamed("id", "term_ref").select("term_ref", "term", "field", "bin"), "term_ref").select(
+        "term_ref", "term", "field", "bin", "impl", "score"
+    )
+
+
+def sentence_report(results: DataFrame, sentences_: DataFrame, terms: DataFrame) -> DataFrame:
+    """Results with their sentence and its scoring term's bin: (sent_ref, term_ref, field, bin, impl, score)."""
+    own = sentences_.select(F.col("term_ref").alias("sent_ref"), "term_ref")
+    return results.join(own, "sent_ref").join(terms.withColumnRenamed("id", "term_ref").select("term_ref", "field", "bin"), "term_ref").select(
+        "sent_ref", "term_ref", "field", "bin", "impl", "score"
+    )
 
 
 def explain(models: DataFrame, view: View) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termspire.functions.analysis import simple_tokens
+from termspire.sources import store
 
 FIELDS = ("claims", "detd")
 #: Languages that have an analyzer; documents of others are dropped.
@@ -59,38 +61,77 @@ def read_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def postings(docs: DataFrame, fields: Iterable[str] = FIELDS, tokens: Callable[[Column], Column] = simple_tokens) -> DataFrame:
+Tokens = Callable[[Column], Column]
+
+
+def _tokens_of(docs: DataFrame, fields: Iterable[str], tokens: Tokens | Mapping[str, Tokens]) -> DataFrame:
+    """(lang, doc_id, field, t): the tokens of each field that isn't null."""
+    own = tokens.get if isinstance(tokens, Mapping) else lambda f: tokens
+    # A field without an analyzer of its own gets the simple one.
+    parts = [F.when(F.col(f).isNotNull(), F.struct(F.lit(f).alias("field"), (own(f) or simple_tokens)(F.col(f)).alias("t"))) for f in fields]
+    rows = docs.select("lang", "doc_id", F.explode(F.filter(F.array(*parts), lambda p: p.isNotNull())).alias("p"))
+    return rows.select("lang", "doc_id", "p.field", "p.t")
+
+
+def postings(docs: DataFrame, fields: Iterable[str] = FIELDS, tokens: Tokens | Mapping[str, Tokens] = simple_tokens) -> DataFrame:
     """(lang, doc_id, field, term, tf, positions): one row per distinct term of a field.
 
-    A field's tokens are grouped inside its own row, without a shuffle.
+    ``tokens`` is an analyzer for all fields or one by field. Partial aggregates group a field's tokens
+    before the shuffle.
     """
-    parts = [F.when(F.col(f).isNotNull(), F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("t"))) for f in fields]
-    rows = docs.select("lang", "doc_id", F.explode(F.filter(F.array(*parts), lambda p: p.isNotNull())).alias("p"))
-    rows = rows.select("lang", "doc_id", "p.field", F.posexplode("p.t").alias("pos", "term")).where("term <> ''")
+    rows = _tokens_of(docs, fields, tokens).select("lang", "doc_id", "field", F.posexplode("t").alias("pos", "term")).where("term <> ''")
     return rows.groupBy("lang", "doc_id", "field", "term").agg(
         F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")
     )
 
 
-def counts(docs: DataFrame, fields: Iterable[str] = FIELDS, tokens: Callable[[Column], Column] = simple_tokens) -> DataFrame:
+def counts(docs: DataFrame, fields: Iterable[str] = FIELDS, tokens: Tokens | Mapping[str, Tokens] = simple_tokens) -> DataFrame:
     """As :func:`postings` without positions, which only an index needs."""
-    parts = [F.when(F.col(f).isNotNull(), F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("t"))) for f in fields]
-    rows = docs.select("lang", "doc_id", F.explode(F.filter(F.array(*parts), lambda p: p.isNotNull())).alias("p"))
-    rows = rows.select("lang", "doc_id", "p.field", F.explode("p.t").alias("term"))
+    rows = _tokens_of(docs, fields, tokens).select("lang", "doc_id", "field", F.explode("t").alias("term")).where("term <> ''")
     return rows.groupBy("lang", "doc_id", "field", "term").agg(F.count("*").alias("tf"))
 
 
-def write_index(docs: DataFrame, path: str) -> None:
-    """Postings as Parquet, a folder a language, clustered by term for pruning."""
-    postings(docs).repartition("lang", "term").sortWithinPartitions("lang", "term").write.mode("overwrite").partitionBy("lang").parquet(path)
+def write_index(
+    docs: DataFrame, path: str, fields: Iterable[str] = FIELDS, tokens: Tokens | Mapping[str, Tokens] = simple_tokens,
+    by_language: Mapping[str, Tokens] | None = None,
+) -> None:
+    """Postings and their statistics as Parquet, a folder a language.
+
+    Postings are dealt by ranges of (lang, term, doc_id), so files hold neighbouring terms and a
+    very common term fills as many files as it needs. Beside them stand field_terms (lang, field, term, tf, df),
+    lengths (lang, doc_id, field, len) and models (lang, doc_id, term, mtf). ``by_language`` analyses
+    each language's documents with an analyzer (and stop words) of its own; documents of other languages are left out.
+    """
+    fields = tuple(fields)
+    if by_language:
+        parts = [postings(docs.where(F.col("lang") == lang), fields, t) for lang, t in by_language.items()]
+        rows = reduce(DataFrame.unionByName, parts)
+    else:
+        rows = postings(docs, fields, tokens)
+    put = lambda df, name: df.write.mode("overwrite").partitionBy("lang").parquet(f"{path}/{name}")
+    put(rows.repartitionByRange("lang", "term", "doc_id").sortWithinPartitions("lang", "term", "doc_id"), "postings")
+    kept = docs.sparkSession.read.schema(rows.schema).parquet(f"{path}/postings")
+    put(kept.groupBy("lang", "field", "term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df")), "field_terms")
+    put(kept.groupBy("lang", "doc_id", "field").agg(F.sum("tf").alias("len")), "lengths")
+    put(kept.groupBy("lang", "doc_id", "term").agg(F.count("*").alias("mtf")), "models")
+
+
+def read_index(spark: SparkSession, path: str, name: str = "postings") -> DataFrame:
+    """A table of the index; fails if there is no complete index at ``path``."""
+    if not store.exists(spark, f"{path}/models/_SUCCESS"):
+        raise FileNotFoundError(f"no index at {path}")
+    return spark.read.parquet(f"{path}/{name}")
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def stopword_path(folder: str, pattern: str, lang: str) -> str:
+    """The word list of a language: ``<pattern>_<lang>.txt``."""
+    return f"{folder.rstrip('/')}/{pattern}_{lang.lower()}.txt"
 
 
 def read_stopwords(spark: SparkSession, path: str, form: str = "plain") -> DataFrame:
     """(term) of a word list: a word a line, or ``snowball`` with comments after ``|``."""
+    if form not in ("plain", "snowball"):
+        raise ValueError("word lists are plain or snowball")
     lines = spark.read.text(path)
     if form == "snowball":
         lines = lines.where(~F.col("value").startswith("|"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termspire.sources import store
+
 _CODE = "code string, section string, class int, subclass string, maingroup int, subgroup int, count long"
 _SCORES = (
     "impl string, is_empty boolean, empty_reason string, q_fields string, q_ipc string, score double, {ref} string, "
@@ -20,6 +23,7 @@ class Table:
     unique: tuple[str, ...] = ()
 
 
+#: Result tables with their columns and what is unique.
 TABLES = {
     "terms": Table("field string, term string, lang string, docfreq_rel double, docfreq_abs long, ipc string", ("field", "term", "lang", "ipc")),
     "term_segments": Table(
@@ -66,31 +70,42 @@ def shaped(df: DataFrame, name: str) -> DataFrame:
 
 def exists(spark: SparkSession, root: str, name: str) -> bool:
     """Whether the table is there with a row or more."""
-    try:
-        return not spark.read.parquet(f"{root}/{name}").isEmpty()
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" in str(e):
-            return False
-        raise
+    return store.exists(spark, f"{root}/{name}") and not spark.read.parquet(f"{root}/{name}").isEmpty()
+
+
+def rows(spark: SparkSession, root: str, name: str) -> int:
+    """The number of rows; 0 without a table."""
+    return spark.read.parquet(f"{root}/{name}").count() if store.exists(spark, f"{root}/{name}") else 0
+
+
+def has_column(spark: SparkSession, root: str, name: str, column: str) -> bool:
+    return store.exists(spark, f"{root}/{name}") and column in spark.read.parquet(f"{root}/{name}").columns
+
+
+def read(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A table, empty if nothing was ever written to it."""
+    if store.exists(spark, f"{root}/{name}"):
+        return spark.read.parquet(f"{root}/{name}")
+    return spark.createDataFrame([], TABLES[name].columns)
 
 
 def insert(df: DataFrame, root: str, name: str, ignore: bool = False) -> DataFrame:
     """Append to a table. With ``ignore`` rows that repeat unique columns are left out, else they fail."""
     spark, unique = df.sparkSession, list(TABLES[name].unique)
-    rows = shaped(df, name)
+    new = shaped(df, name)
     if unique:
+        new = store.stored(new, name)
         if exists(spark, root, name):
             old = spark.read.parquet(f"{root}/{name}").select(*(F.col(c).alias(f"o_{c}") for c in unique))
             same = [F.col(c).eqNullSafe(F.col(f"o_{c}")) for c in unique]
-            hit = rows.join(old, same, "left_semi")
-            if not ignore and not hit.isEmpty():
+            if not ignore and not new.join(old, same, "left_semi").isEmpty():
                 raise ValueError(f"{name} has rows with the same {unique}")
-            rows = rows.join(old, same, "left_anti")
+            new = new.join(old, same, "left_anti")
         if ignore:
-            rows = rows.dropDuplicates(unique)
-        elif not rows.groupBy(*unique).count().where("count > 1").isEmpty():
+            new = new.dropDuplicates(unique)
+        elif not new.groupBy(*unique).count().where("count > 1").isEmpty():
             raise ValueError(f"rows repeat {unique}")
-    rows.write.mode("append").parquet(f"{root}/{name}")
+    new.write.mode("append").parquet(f"{root}/{name}")
     return spark.read.parquet(f"{root}/{name}")
 
 
@@ -102,14 +117,30 @@ def contains(table: DataFrame, **values) -> bool:
 
 
 def log_stage(spark: SparkSession, root: str, name: str, cmd: str) -> DataFrame:
+    """A row that says which command wrote a table."""
     row = spark.createDataFrame([(name, cmd)], "table_name string, cmd string").withColumn("timestamp", F.current_timestamp())
     return insert(row, root, "_qc_meta")
 
 
+def put_value(spark: SparkSession, root: str, key: str, value) -> DataFrame:
+    """A row of the key-value table."""
+    row = spark.createDataFrame([(key, str(value))], "key string, value string").withColumn("timestamp", F.current_timestamp())
+    return insert(row, root, "_keyval")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
 
 
-def run_id(config, fields: str, codes: str):
+def run_id(config, fields: str, codes: str | None) -> str:
     """A result's reference to its configuration: a hash of the parameters."""
-    return F.md5(F.lit(f"{config}|{fields}|{codes}"))
+    return hashlib.md5(f"{config}|{fields}|{codes}".encode()).hexdigest()
+
+
+def register_run(spark: SparkSession, root: str, config, fields: str, codes: str | None) -> str:
+    """Write the configuration of an improved-clarity run once, and return the id that its results carry."""
+    key = run_id(config, fields, codes)
+    row = (key, config.smoothing, config.most, config.band_low, config.band_high, fields, codes)
+    shape = "id string, docmod_smoothing double, fb_max long, fb_term_ts_min double, fb_term_ts_max double, q_fields string, q_ipc string"
+    insert(spark.createDataFrame([row], shape).withColumn("timestamp", F.current_timestamp()), root, "ics_conf", ignore=True)
+    return key
