@@ -2,35 +2,53 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termspire.sources.store import remove, shared_dir, stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+__all__ = ["in_order", "read", "remove", "share_bound", "shared_dir", "spread_join", "table", "text_of"]
 
-    Only where the session names none (single-machine tests) a temporary
-    folder is made and set, so that later calls find the same one.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="termspire-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+#: Keys of which :func:`spread_join` broadcasts the other side, at most.
+MOST_HEAVY = 10_000
+#: Rows of one key that are no matter.
+LIGHT = 1_000
+#: Hash values that :func:`share_bound` divides.
+SPACE = 1 << 62
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
+    """Write ``df`` to the shared folder and read it back: :func:`termspire.sources.store.stored`."""
+    return stored(df, name)
+
 
-    This cuts the lineage: what is read back survives the loss of any executor.
+def spread_join(rows: DataFrame, side: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``side``, which has a row a key, without gathering the rows of a common key.
+
+    Keys with more than 1 / MOST_HEAVY of all rows are MOST_HEAVY at most, whatever the size of the table:
+    their part of ``side`` is broadcast and their rows stay where they are. All others are shuffled; none of them has
+    more than that share of the rows. ``how`` is inner, left or left_semi. Give stored tables: both are read more than once.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    total = rows.agg(F.greatest(F.lit(LIGHT), F.count("*") / MOST_HEAVY).alias("_least"))
+    heavy = counts.crossJoin(F.broadcast(total)).where("_n > _least").select(key)  # one row
+    own = side.join(F.broadcast(heavy), key, "left_semi")
+    hot = rows.join(F.broadcast(heavy), key, "left_semi").join(F.broadcast(own), key, how)
+    return hot.unionByName(rows.join(F.broadcast(heavy), key, "left_anti").join(side, key, how))
+
+
+def in_order(rows: DataFrame, name: str, *keys: Column) -> DataFrame:
+    """``rows`` written in ranges of ``keys``, with ``_part``: the number of the range, which rises with the keys.
+
+    Running sums over all rows can then be taken range by range: those inside a range by a window over
+    (_part, keys), those before it by one row a range.
+    """
+    return table(rows.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), name)
+
+
+def share_bound(share: float) -> int:
+    """The bound below which a share of the values of a hash in SPACE lies; never 0 for a positive share above 2e-19."""
+    return min(SPACE, int(share * SPACE))
 
 
 def text_of(column: str | Column = "text") -> Column:
@@ -40,4 +58,3 @@ def text_of(column: str | Column = "text") -> Column:
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-

@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termspire.llm.common import table, text_of
+from termspire.llm.common import spread_join, table, text_of
 from termspire.llm.components import components
 
 #: 42 bands of 6 of 252 minima miss a pair of similarity 0.8 once in 300,000 times.
@@ -21,8 +21,8 @@ SKETCH_WORDS = 16
 SLACK = 6.0
 #: Rounds that compare the members of a bucket with one of them only.
 STAR_ROUNDS = 2
-#: Documents that are compared as one block.
-BLOCK = 512
+#: Documents that are compared as one block, and shingles that a block holds on average.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Texts whose minima and bitmaps are in memory at once.
 TEXTS = 512
 #: Shingles that are hashed at once.
@@ -155,7 +155,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     the hub's set only.
     """
     sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    dealt = pairs.join(sizes, "b").select("b", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("block"), F.col("a").alias("node"))
+    dealt = spread_join(pairs, sizes, "b").select("b", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("block"), F.col("a").alias("node"))
     hubs = dealt.select("b", "block", F.col("b").alias("node")).distinct()
     rows = dealt.unionByName(hubs).join(texts.withColumnRenamed("id", "node"), "node")
     rows = rows.select("b", "block", (F.col("node") != F.col("b")).alias("member"), "node", "text")
@@ -178,52 +178,106 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return rows.mapInPandas(work, "a long, b long")
 
 
+def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of each key of a stream that is sorted by them, in frames of whole groups."""
+    rest = None
+    for batch in batches:
+        whole = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        if not len(whole):
+            continue
+        k = whole[keys].to_numpy()
+        starts = np.flatnonzero(np.append(True, (k[1:] != k[:-1]).any(axis=1)))
+        for a, z in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            yield whole.iloc[a:z]
+        rest = whole.iloc[starts[-1] :].reset_index(drop=True)
+    if rest is not None:
+        yield rest
+
+
+def _near(batch: pd.DataFrame, limit: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of a pair of blocks the later rows whose sketches are close and whose components differ."""
+    sketches = np.array(batch["sketch"].tolist(), np.int64).view(np.uint64)
+    cross = batch["i"].iloc[0] != batch["j"].iloc[0]
+    own, comp = batch["own"].to_numpy(), batch["comp"].to_numpy()
+    for x in range(len(batch) - 1):
+        near = comp[x + 1 :] != comp[x]
+        if cross:
+            near &= own[x + 1 :] != own[x]
+        at = np.flatnonzero(near)
+        at = at[np.bitwise_count(sketches[x + 1 + at] ^ sketches[x]).sum(axis=1) <= limit] if len(at) else at
+        if len(at):
+            yield x, at + x + 1
+
+
+_PAIR = ["bucket", "i", "j"]
+_KEYS = "bucket long, i int, j int, own int, node long, comp long, sketch array<long>"
+
+
 def _rest(members: DataFrame, comp: DataFrame, sketches: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (a, b) between components that still share a bucket.
 
-    Members that such buckets chain together form a group, which is dealt into blocks;
-    each pair of blocks is a task of bounded size. It compares the sketches of documents in
-    different components, and full sets where sketches are close enough, and
-    returns a spanning forest of the links, never pairs.
+    Each bucket that holds several components is dealt into blocks, and each pair of its blocks is a task of bounded
+    size; of buckets with the same members one is enough. At first only keys and sketches
+    go there: documents of different components whose sketches are close stay. Texts are then fetched for
+    those alone, and full sets compared where sketches are close and nothing links the two yet. A pair of blocks returns a
+    spanning forest of its links, never pairs.
     """
-    now = members.join(comp, "node")
-    mixed = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("hub")).where("lo <> hi")
-    now = table(now.join(mixed.select("bucket", "hub"), "bucket").select("node", "comp", "hub").distinct(), "mixed")
-    groups = components(now.select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    rows = now.select("node", "comp").distinct().join(groups, "node").withColumnRenamed("component", "part")
-    sizes = rows.groupBy("part").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    rows = rows.join(sizes, "part").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    now = table(members.join(comp, "node"), "members-now")
+    marks = now.groupBy("bucket").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.sum("n_shingles").alias("size"),
+        F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(38,0)")).alias("y"),
+    ).where("lo <> hi")
+    marks = marks.groupBy("n", "x", "y").agg(F.min(F.struct("bucket", "size")).alias("m"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("m.size") / BLOCK_SHINGLES)).cast("int")
+    marks = marks.select("m.bucket", blocks.alias("blocks"))
+    rows = table(spread_join(now, marks, "bucket").join(sketches, "node"), "mixed")
+    if rows.isEmpty():
+        return rows.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
-    rows = rows.join(sketches, "node").join(texts.withColumnRenamed("id", "node"), "node").withColumn("b", F.explode(others))
-    rows = rows.select("part", "b.i", "b.j", "node", "comp", "sketch", "own", "text")
+    rows = rows.withColumn("b", F.explode(others)).select("bucket", "b.i", "b.j", "own", "node", "comp", "sketch")
     limit = most_bits(percent / 100)
 
-    def compare(batch: pd.DataFrame) -> pd.DataFrame:
-        sketches = np.array(batch["sketch"].tolist(), np.int64).view(np.uint64)
-        cross = batch["i"].iloc[0] != batch["j"].iloc[0]
-        own, texts_, sketcher = batch["own"].to_numpy(), batch["text"].tolist(), Sketcher(n)
-        _, root = np.unique(batch["comp"].to_numpy(), return_inverse=True)
-        nodes, sets, out = batch["node"].to_numpy(), {}, []
-
-        def full(k: int) -> np.ndarray:
-            if k not in sets:
-                sets[k] = sketcher.distinct(texts_[k])
-            return sets[k]
-
-        for x in range(len(batch) - 1):
-            near = np.bitwise_count(sketches[x + 1 :] ^ sketches[x]).sum(axis=1) <= limit
-            near &= root[x + 1 :] != root[x]
-            if cross:
-                near &= own[x + 1 :] != own[x]
-            for y in (np.flatnonzero(near) + x + 1).tolist():
-                if root[x] == root[y]:
-                    continue
-                if similar(full(x), full(y), percent):
-                    out.append((nodes[x], nodes[y]))
-                    root[root == root[y]] = root[x]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return table(rows.groupBy("part", "i", "j").applyInPandas(compare, "a long, b long"), "links")
+    def live(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = []
+        for batch in _groups(batches, _PAIR):
+            keep = np.zeros(len(batch), bool)
+            for x, ys in _near(batch, limit):
+                keep[x] = keep[ys] = True
+            out.append(batch[keep])
+            if sum(map(len, out)) >= 4 * BLOCK:
+                yield pd.concat(out)
+                out = []
+        if out:
+            yield pd.concat(out)
+
+    dealt = lambda r: r.repartition(*_PAIR).sortWithinPartitions(*_PAIR)
+    rows = table(dealt(rows).mapInPandas(live, _KEYS), "live")
+    if rows.isEmpty():
+        return rows.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    rows = rows.join(texts.withColumnRenamed("id", "node"), "node")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sketcher = Sketcher(n)
+        for batch in _groups(batches, _PAIR):
+            texts_, sets, out = batch["text"].tolist(), {}, []
+            _, root = np.unique(batch["comp"].to_numpy(), return_inverse=True)
+            nodes = batch["node"].to_numpy()
+
+            def full(k: int, texts_=texts_, sets=sets) -> np.ndarray:
+                if k not in sets:
+                    sets[k] = sketcher.distinct(texts_[k])
+                return sets[k]
+
+            for x, ys in _near(batch, limit):
+                for y in ys.tolist():
+                    if root[x] != root[y] and similar(full(x), full(y), percent):
+                        out.append((nodes[x], nodes[y]))
+                        root[root == root[y]] = root[x]
+            if out:
+                yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return table(dealt(rows).mapInPandas(compare, "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", n: int = 5, percent: int = 80) -> DataFrame:
@@ -236,9 +290,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", n: int = 5, percent
     odd sketch first and then on their full sets of 64-bit shingle hashes. A bucket whose members all reach one
     component needs nothing more; in others, another hub is tried, and then members
     that are still in different components are compared in blocks, so that no link
-    between two components goes unseen. Pairs are made in proportion to the
-    members of a bucket only.
+    between two components goes unseen. Pairs of texts are made in proportion to the
+    members of a bucket only; blocks compare sketches of all members of a bucket that stays mixed.
 
+    An empty table gives no rows; a very long text is one set, held whole by the task that reads it.
     Null or empty texts have empty sets and are linked with nothing. Null ids keep
     their row, with a null component and kept true; they link nothing. Rows that repeat an id
     and text get the same result; rows of one id with different texts count as one
@@ -248,10 +303,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", n: int = 5, percent
     marks = table(sketch(rows, n), "sketches")
     real = marks.where("id is not null and n_shingles > 0")
     # Equal digests mean equal sets, bands and sketches, so any row's stand for the class.
-    classes = table(real.groupBy("digest").agg(F.min("id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+    classes = table(real.groupBy("digest").agg(F.min("id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     sketches = classes.select("node", "sketch")
     # A bucket's hash tells its band; sketches stay behind until pairs are known.
-    members = classes.select("node", F.explode("bands").alias("bucket"))
+    members = classes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
     members = table(members.join(shared.select("bucket"), "bucket"), "members")
 
@@ -271,10 +326,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", n: int = 5, percent
         hubs = now.groupBy("bucket").agg(F.min(key).alias("hub"))
         pairs = now.join(hubs, "bucket").where("comp <> hub.comp")
         pairs = pairs.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
-        pairs = pairs.join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b").where(xor(F.col("sa"), F.col("sb")) <= limit)
-        pairs = pairs.select("a", "b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, (F.least(pairs.a, pairs.b) == tried.lo) & (F.greatest(pairs.a, pairs.b) == tried.hi), "left_anti")
+        # The hubs' sketches come first, to keys alone: a common hub's stay where its pairs are.
+        pairs = spread_join(table(pairs, "hub-pairs"), sketches.toDF("b", "sb"), "b").join(sketches.toDF("a", "sa"), "a")
+        pairs = pairs.where(xor(F.col("sa"), F.col("sb")) <= limit).select("a", "b")
         pairs = table(pairs, "pairs")
         if pairs.isEmpty():
             continue

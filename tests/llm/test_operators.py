@@ -44,6 +44,17 @@ def root(links, nodes):
     return {n: find(n) for n in nodes}
 
 
+def test_components_of_hubs(spark, monkeypatch):
+    from termspire.llm import common
+    from termspire.llm import components as module
+
+    monkeypatch.setattr(common, "LIGHT", 3)
+    monkeypatch.setattr(module, "LIGHT", 3)
+    edges = [(7, i) for i in range(100, 150)] + [(i, i + 1) for i in range(149, 160)] + [(5, 3), (500, 400), (500, 401), (500, 402), (500, 403)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == root(edges, {n for e in edges for n in e})
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 140)]
@@ -134,6 +145,41 @@ def test_near_duplicates(spark):
     assert len(links) > 20 and minhash.near_duplicates(frame(spark, []), n=2).count() == 0
 
 
+def test_near_duplicates_in_blocks(spark, monkeypatch):
+    """Groups of many blocks: long chains of edits, members that share bands with a hub but not its words, one common text."""
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    monkeypatch.setattr(minhash, "STAR_ROUNDS", 1)
+    rng = random.Random(31)
+    rows, base = [], prose(rng, 60).split()
+    for i in range(90):  # a chain: neighbours are close, ends are far apart
+        base[i % 60] = f"new{i}"
+        if i % 7 == 0:
+            base = [*base[1:], f"x{i}"]
+        rows.append((i, " ".join(base)))
+    half = prose(rng, 40)
+    rows += [(200 + i, half + " " + prose(rng, rng.choice((6, 9, 12, 40)))) for i in range(60)]
+    rows += [(400 + i, "the very same text in many rows of the table") for i in range(40)] + [(500, "the very same text in many rows of a table")]
+    rng.shuffle(rows)
+    sets = [(k, minhash.shingles(t, 2)) for k, t in rows]
+    links = [(a, b) for a, x in sets for b, y in sets if a < b and 100 * len(x & y) >= 80 * len(x | y)]
+    want = root(links, [k for k, _ in rows])
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows), n=2).collect()}
+    assert got == want and len(set(want.values())) > 20
+
+
+def test_spread_join(spark, monkeypatch):
+    from termspire.llm import common
+
+    monkeypatch.setattr(common, "LIGHT", 5)
+    monkeypatch.setattr(common, "MOST_HEAVY", 4)
+    rng = random.Random(32)
+    rows = spark.createDataFrame([(rng.choice([1, 1, 1, 2, 3, 4, 5, None]), i) for i in range(300)], "k long, x long")
+    side = spark.createDataFrame([(1, "a"), (3, "b"), (9, "c")], "k long, y string")
+    for how in ("inner", "left", "left_semi"):
+        assert sorted(map(str, common.spread_join(rows, side, "k", how).collect())) == sorted(map(str, rows.join(side, "k", how).collect()))
+    assert common.share_bound(3000 / 1e17) > 0 and common.share_bound(1.0) == common.share_bound(7.0) == common.SPACE
+
+
 def test_odd_sketch_estimates():
     s = minhash.Sketcher(2)
     rng = random.Random(5)
