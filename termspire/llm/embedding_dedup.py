@@ -10,17 +10,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termspire.llm.common import table
+from termspire.llm.common import SPACE, share_bound, spread_join, table
 from termspire.llm.components import components
 
-#: Vectors that the trees' thresholds are fitted to, about; every vector is indexed.
-SAMPLE = 30_000
+#: Vectors that the first splits of the trees are fitted to, about, and numbers that these hold in all; every vector is indexed.
+SAMPLE, SAMPLE_VALUES = 30_000, 1 << 23
 TREES = 4
-#: Vectors beyond a threshold by less than this go to both sides. Two unit vectors of cosine 0.98 lie 0.2 apart and, along a random
-#: direction of 64, 0.025 in the mean square: a split parts them once in some 10,000 times.
-SPILL = 0.035
-#: Rows a leaf is meant to have, and rows that are compared as one block.
-LEAF, BLOCK = 1500, 2048
+#: Vectors beyond a threshold by less than SPILL / sqrt(dimension) go to both sides. Two unit vectors of cosine 0.98 lie 0.2 apart and,
+#: along a random direction, 0.2 / sqrt(dimension) in the mean square: a split parts them once in some 10,000 times. All projections
+#: shrink with the dimension as the spill does, so the share of vectors that go both ways doesn't depend on it.
+SPILL = 0.28
+#: Rows a leaf is meant to have, rows beyond which it's split again, and rows that are compared as one block.
+LEAF, MOST, BLOCK = 1500, 8192, 2048
+#: Lengths of vectors that get trees from the sample; leaves of others come from the later splits alone.
+FITTED = 16
+#: A side that keeps more than this share of a leaf's rows ends its splits: copies of one vector can't be parted.
+STUCK = 0.9
+#: Node numbers fit below the tree's number.
+DEEPEST = 1 << 43
 
 
 @lru_cache(4096)
@@ -29,24 +36,25 @@ def _direction(dim: int, tree: int, node: int) -> np.ndarray:
     return v / np.linalg.norm(v)
 
 
-def fit(sample: np.ndarray, leaf: int, trees: int = TREES, spill: float = SPILL) -> list[dict[int, float]]:
+def fit(sample: np.ndarray, leaf: int, trees: int = TREES) -> list[dict[int, float]]:
     """For each tree, the median of the projections at each inner node; node i has the children 2i and 2i + 1.
 
-    A node stays a leaf if it is small or if both its sides would keep nearly
+    A node stays a leaf if it is small or if one of its sides would keep nearly
     everything, as with copies of one vector.
     """
+    spill = SPILL / sample.shape[1] ** 0.5
     forest = []
     for t in range(trees):
         cuts: dict[int, float] = {}
         todo = [(1, sample)]
         while todo:
             node, rows = todo.pop()
-            if len(rows) <= leaf or node >= 1 << 40:
+            if len(rows) <= leaf or node >= DEEPEST:
                 continue
             p = rows @ _direction(sample.shape[1], t, node)
             cut = float(np.median(p))
             left, right = rows[p <= cut + spill], rows[p > cut - spill]
-            if max(len(left), len(right)) > 0.9 * len(rows):
+            if max(len(left), len(right)) > STUCK * len(rows):
                 continue
             cuts[node] = cut
             todo += [(2 * node, left), (2 * node + 1, right)]
@@ -54,8 +62,9 @@ def fit(sample: np.ndarray, leaf: int, trees: int = TREES, spill: float = SPILL)
     return forest
 
 
-def assign(rows: np.ndarray, forest: list[dict[int, float]], spill: float = SPILL) -> list[np.ndarray]:
+def assign(rows: np.ndarray, forest: list[dict[int, float]]) -> list[np.ndarray]:
     """The leaves of each vector in all trees, as tree << 44 | node, sorted."""
+    spill = SPILL / rows.shape[1] ** 0.5
     out: list[list[int]] = [[] for _ in range(len(rows))]
     for t, cuts in enumerate(forest):
         todo = [(1, np.arange(len(rows)))]
@@ -72,6 +81,51 @@ def assign(rows: np.ndarray, forest: list[dict[int, float]], spill: float = SPIL
     return [np.array(sorted(x), np.int64) for x in out]
 
 
+def split_again(at: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``at`` (c, label, dim, leaf) with leaves of more than MOST rows of a label split until none is left that can be.
+
+    A round projects the rows of all such leaves on their nodes' directions, takes the approximate median of each
+    leaf as its cut, and deals rows to the two sides with spill: all of it distributed, with one row a leaf going back. A leaf
+    whose side would keep nearly everything, or whose node number is at the end of its range, stays as it is: its
+    rows are compared in blocks. So the work doesn't hang on how many leaves the sample could fit.
+    """
+    group = ["label", "dim", "leaf"]
+    done = None
+
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            p = np.empty(len(batch))
+            for (dim, leaf), part in batch.groupby(["dim", "leaf"]).indices.items():
+                own = _unit(batch["v"].iloc[part])
+                p[part] = own @ _direction(int(dim), int(leaf) >> 44, int(leaf) & ((1 << 44) - 1))
+            yield batch[["c", *group]].assign(p=p)
+
+    while True:
+        sizes = at.groupBy(*group).agg(F.count("*").alias("n"))
+        large = table(sizes.where(F.col("n") > MOST), "large-leaves")
+        if large.isEmpty():
+            return at if done is None else at.unionByName(done)
+        key = F.concat_ws("|", "label", "dim", "leaf")
+        keyed = at.withColumn("k", key)
+        mine = spread_join(keyed, large.select(key.alias("k"), "n"), "k").drop("k", "n")
+        rows = table(mine.join(vectors.select("c", "v"), "c").mapInPandas(project, "c string, label string, dim int, leaf long, p double"), "projected")
+        spill = F.lit(SPILL) / F.sqrt("dim")
+        cuts = table(rows.groupBy(*group).agg(F.percentile_approx("p", 0.5, 1000).alias("cut"), F.count("*").alias("n")).withColumn("k", key).select("k", "cut", "n"), "cuts")
+        sided = spread_join(rows.withColumn("k", key), cuts, "k")
+        left, right = F.col("p") <= F.col("cut") + spill, F.col("p") > F.col("cut") - spill
+        sided = table(sided.select("c", *group, "k", "n", left.alias("left"), right.alias("right")), "sides")
+        node = F.col("leaf").bitwiseAND(F.lit((1 << 44) - 1))
+        stuck = sided.groupBy("k").agg(F.max("n").alias("n"), F.count_if("left").alias("l"), F.count_if("right").alias("r"), F.max(node).alias("node"))
+        stuck = stuck.select("k", ((F.greatest("l", "r") > STUCK * F.col("n")) | (F.col("node") >= DEEPEST)).alias("stuck"))
+        sided = spread_join(sided, table(stuck, "stuck"), "k")
+        base = F.col("leaf") - node
+        kids = F.filter(F.array(F.when(F.col("left"), base + 2 * node), F.when(F.col("right"), base + 2 * node + 1)), lambda x: x.isNotNull())
+        ended = sided.where("stuck").select("c", *group)
+        done = ended if done is None else done.unionByName(ended)
+        rest = spread_join(keyed.withColumn("one", F.lit(1)), large.select(key.alias("k"), F.lit(True).alias("big")), "k", "left").where("big is null")
+        at = table(rest.select("c", *group).unionByName(sided.where("not stuck").select("c", "label", "dim", F.explode(kids).alias("leaf"))), "leaves-again")
+
+
 def _unit(vectors) -> np.ndarray:
     rows = np.array([np.asarray(v, np.float64) for v in vectors])
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
@@ -91,35 +145,46 @@ def link(docs: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", la
     (distinct ids). A component's id is the smallest id in it.
 
     Trees split the unit vectors at medians of random projections; what lies
-    near a threshold goes to both sides. Classes of one leaf and label are compared with
+    near a threshold goes to both sides. The first splits are fitted to a sample, leaves that are still large are split
+    further on the executors. Classes of one leaf and label are compared with
     each other in blocks of bounded size, which are tasks of their own: a leaf that can't be split,
     or a label with a third of all rows, becomes many blocks. A pair that shares several leaves is
     counted in the first of them, so blocks return sums and a spanning forest,
     never pairs.
+
+    Rows that repeat id, label and vector count once and get the same result; of an id with several vectors links add up. Columns
+    of other names are ignored; an empty table gives no rows. Splits may part a linked pair in all trees: measured
+    recall is in the README.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
-    real = rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & _valid("v")).dropDuplicates(["id", "label", "v"])
-    classes = real.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("m"))
-    # Ids may repeat with other vectors or labels, so a class has a key of its own.
-    classes = table(classes.withColumn("c", F.xxhash64("label", "v")), "classes")
-    total, dims = classes.agg(F.count("*"), F.collect_set(F.size("v"))).first()
+    # A class is known by 128 bits of its label and vector: ids may repeat with other ones.
+    hashed = lambda i: F.lpad(F.hex(F.xxhash64(F.lit(i), "label", "v")), 16, "0")
+    real = rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & _valid("v")).withColumn("c", F.concat(hashed(0), hashed(1)))
+    classes = real.groupBy("c").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.min("id").alias("rep"), F.count_distinct("id").alias("m"))
+    classes = table(classes, "classes")
+    lengths = classes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(FITTED).collect()
+    total = sum(r["n"] for r in lengths)
     forests = {}
-    for dim in sorted(dims)[:16]:  # vectors of yet other lengths have one leaf, in blocks
+    for dim, n in lengths:
+        share = min(1.0, SAMPLE / total, SAMPLE_VALUES / dim / n)
         own = classes.where(F.size("v") == dim)
-        share = min(1.0, SAMPLE / max(1, total))
-        picked = own.where(F.pmod(F.xxhash64("c", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20))).select("v").toPandas()
+        picked = own.where(F.pmod(F.xxhash64("c", F.lit(3)), F.lit(SPACE)) < share_bound(share)).select("v").toPandas()
         if len(picked):
             forests[dim] = fit(_unit(picked["v"]), max(8, int(LEAF * share)))
+    roots = np.array([t << 44 | 1 for t in range(TREES)])
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sizes = batch["v"].map(len)
             for dim, part in batch.groupby(sizes):
-                found = assign(_unit(part["v"]), forests[dim]) if dim in forests else [np.array([0])] * len(part)
+                found = assign(_unit(part["v"]), forests[dim]) if dim in forests else [roots] * len(part)
                 yield pd.DataFrame({"c": part["c"], "label": part["label"], "dim": dim, "leaves": found})
 
-    placed = table(classes.mapInPandas(place, "c long, label string, dim int, leaves array<long>"), "leaves")
-    at = placed.select("c", "label", "dim", "leaves", F.explode("leaves").alias("leaf"))
+    placed = classes.mapInPandas(place, "c string, label string, dim int, leaves array<long>")
+    first = table(placed.select("c", "label", "dim", F.explode("leaves").alias("leaf")), "leaves")
+    at = split_again(first, classes)
+    every = at.groupBy("c").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))
+    at = at.join(every, "c")
     sizes = at.groupBy("label", "dim", "leaf").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")).where("blocks > 1")
     at = at.join(sizes, ["label", "dim", "leaf"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     at = at.withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
@@ -158,10 +223,10 @@ def link(docs: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", la
         rep = batch["rep"].to_numpy()
         return pd.DataFrame({"c": batch["c"].to_numpy()[k], "n": count[k], "a": rep[k], "b": rep[root[k]]})
 
-    parts = at.groupBy("label", "dim", "leaf", "i", "j").applyInPandas(compare, "c long, n long, a long, b long")
+    parts = at.groupBy("label", "dim", "leaf", "i", "j").applyInPandas(compare, "c string, n long, a long, b long")
     parts = table(parts, "linked")
     counts = parts.groupBy("c").agg(F.sum("n").alias("n"))
-    inside = real.join(classes.select("label", "v", "rep", "c", "m"), ["label", "v"]).select("id", "rep", "c", "m")
+    inside = spread_join(table(real.select("id", "c").distinct(), "ids"), classes.select("c", "rep", "m"), "c")
     inside = table(inside, "members")
     edges = parts.select("a", "b").unionByName(inside.select(F.col("id").alias("a"), F.col("rep").alias("b")))
     whole = components(edges)

@@ -220,6 +220,50 @@ def test_embeddings(spark, monkeypatch):
     assert embedding_dedup.link(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
 
 
+def test_embedding_leaves_split_again(spark, monkeypatch):
+    """Leaves of the sample's trees stay too large, so executors split them; lengths without trees start at the root."""
+    for name, value in (("SAMPLE", 40), ("LEAF", 20), ("MOST", 60), ("BLOCK", 50), ("FITTED", 1)):
+        monkeypatch.setattr(embedding_dedup, name, value)
+    seen = []
+    monkeypatch.setattr(embedding_dedup, "split_again", lambda at, v, f=embedding_dedup.split_again: seen.append((at, f(at, v))) or seen[-1][1])
+    rng = np.random.default_rng(6)
+    rows = []
+    for dim, start, n in ((32, 0, 500), (24, 1000, 300)):
+        base = rng.standard_normal((n // 4, dim))
+        rows += [(start + i, [float(x) for x in base[rng.integers(0, len(base))] + rng.standard_normal(dim) * 0.05], 1) for i in range(n)]
+    rows += [(3000 + i, rows[0][1], 1) for i in range(80)] + [rows[7]]  # a class of copies, a repeated row
+    frame_ = spark.createDataFrame([(*r, "x", 1.0) for r in rows], "vec_id long, embedding array<double>, label int, c string, v double")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.link(frame_).collect()}
+    rows = sorted({r[0]: r for r in rows}.values())
+    links, count = [], {}
+    for i, (a, x, _) in enumerate(rows):
+        for b, y, _ in rows[i + 1 :]:
+            if len(x) == len(y) and np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y) >= 0.98:
+                links.append((a, b))
+                count[a], count[b] = count.get(a, 0) + 1, count.get(b, 0) + 1
+    want = root(links, [r[0] for r in rows])
+    assert got == {k: (count.get(k, 0), c) for k, c in want.items()}
+    before, after = seen[0]
+    most = lambda t: t.groupBy("label", "dim", "leaf").count().agg(F.max("count")).first()[0]
+    assert most(before) > 150 and most(after) <= 60
+
+
+@pytest.mark.parametrize("dim", [64, 384, 768])
+def test_embedding_recall_by_dimension(dim):
+    """Pairs just above the threshold share a leaf, and vectors have about as many leaves in any dimension."""
+    rng = np.random.default_rng(dim)
+    x = rng.standard_normal((3000, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.standard_normal((1000, dim))
+    z -= (z * x[:1000]).sum(axis=1, keepdims=True) * x[:1000]
+    y = 0.981 * x[:1000] + (1 - 0.981**2) ** 0.5 * z / np.linalg.norm(z, axis=1, keepdims=True)
+    forest = embedding_dedup.fit(x, 150)
+    a, b = embedding_dedup.assign(x, forest), embedding_dedup.assign(y, forest)
+    assert np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b, strict=False)]) > 0.998
+    print(dim, np.mean([len(p) for p in a]), np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b, strict=False)]))
+    assert 10 < np.mean([len(p) for p in a]) < 60
+
+
 def test_packing(spark):
     rng = random.Random(6)
     rows = odd(rng) + [(100 + i, prose(rng, rng.randint(0, 300))) for i in range(80)]
