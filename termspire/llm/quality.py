@@ -9,10 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termspire.llm.common import text_of
+from termspire.llm.common import SPACE, share_bound, text_of
 
 #: Labelled documents that the model is fitted to, at most about; a documented bound, every document is scored.
 SAMPLE = 3000
+#: Of each class a quarter as many are taken if there are, however rare it is. Longer texts (in bytes) are scored, but not fitted to,
+#: and lines of the fitted ones are LINES at most on average: beyond, the sample gets smaller.
+RARE, LONGEST, LINES = SAMPLE // 4, 1 << 20, 500_000
 THRESHOLD = 0.7
 #: Text bytes whose lines are described at once.
 GROUP = 2 << 20
@@ -153,10 +156,18 @@ class Model:
         return 1 / (1 + np.exp(-(self.calibration[0] + self.calibration[1] * np.log(p / (1 - p)))))
 
 
-def train(texts: list[bytes], labels: np.ndarray, rounds: int = 3) -> Model:
+class Prior:
+    """What is known without documents of both classes: the labels' smoothed share of good ones, (good + 1) / (all + 2)."""
+
+    def __init__(self, good: int, n: int):
+        self.n, self.value = n, (good + 1) / (n + 2)
+
+
+def train(base: np.ndarray, size: np.ndarray, lines: np.ndarray, labels: np.ndarray, weight: np.ndarray | None = None, rounds: int = 3) -> Model:
     """A model from document labels: all lines of a good document are good; in a bad one the lines
-    that the model thinks bad are, its worst line among them, and it's fitted again."""
-    base, size, lines = describe(texts)
+    that the model thinks bad are, its worst line among them, and it's fitted again. The documents' weights
+    make up for classes that are sampled more than others when scores are calibrated."""
+    weight = np.ones(len(labels)) if weight is None else weight
     cuts = np.quantile(base, np.arange(1, BINS) / BINS, axis=0).T
     model = Model(cuts, base.mean(axis=0), base.std(axis=0) + 1e-6)
     x = model.features(base, lines)
@@ -173,8 +184,9 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: int = 3) -> Model:
     c = model.calibration
     for _ in range(200):  # logistic regression on one value, by damped Newton steps
         q = 1 / (1 + np.exp(-(c[0] + c[1] * z)))
-        w = q * (1 - q) + 1e-6
-        g = np.array([(labels - q).sum() - 0.1 * c[0], ((labels - q) * z).sum() - 0.1 * (c[1] - 1)])
+        w = weight * q * (1 - q) + 1e-6
+        r = weight * (labels - q)
+        g = np.array([r.sum() - 0.1 * c[0], (r * z).sum() - 0.1 * (c[1] - 1)])
         h = np.array([[w.sum() + 0.1, (w * z).sum()], [(w * z).sum(), (w * z * z).sum() + 0.1]])
         c = c + 0.5 * np.linalg.solve(h, g)
     model.calibration = np.array([c[0], max(c[1], 1e-3)])
@@ -186,41 +198,66 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE) -> Model | None:
-    """The model from at most about ``sample`` labelled documents, by a hash of the id; None without labels.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE) -> Model | Prior:
+    """The model from at most about ``sample`` labelled documents, by a hash of the id, and at least RARE of each class.
 
-    The sample is bounded, and so is what comes to the driver: texts of that many
-    documents. Labels that are null or belong to held-out ids aren't used; of several labels of an id the least is.
+    Lines are described on the executors; what comes to the driver are the numbers of the sampled documents'
+    lines, never their texts. Labels that are null or belong to held-out ids aren't used; of several labels of an id the
+    least is, and rows that repeat an id count each. Documents of one class only, or none (an empty table
+    of documents or labels), give a :class:`Prior`.
     """
+    h = F.pmod(F.xxhash64("lid", F.lit(11)), F.lit(SPACE))
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    known = known.groupBy(F.col(id_col).alias("lid")).agg(F.min(label_col).cast("int").alias("y"))
-    n = known.count()
-    if not n:
-        return None
-    part = known.where(F.pmod(F.xxhash64("lid", F.lit(11)), F.lit(1 << 20)) < int(min(1.0, sample / n) * (1 << 20)))
-    rows = docs.join(part, docs[id_col] == part.lid).select(F.encode(text_of(), "UTF-8").alias("t"), "y", F.xxhash64("lid", F.lit(11)).alias("h"))
-    got = rows.toPandas().sort_values("h", kind="stable")
+    known = known.groupBy(F.col(id_col).alias("lid")).agg(F.min(label_col).cast("int").alias("y")).withColumn("h", h)
+    text = F.encode(text_of(), "UTF-8")
+    rows = docs.select(F.col(id_col).alias("did"), text.alias("t")).where(F.octet_length("t") <= LONGEST)
+    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    n = sum(counts.values())
+    if len(counts) < 2:
+        return Prior(sum(c for y, c in counts.items() if y), n)
+    share = {y: min(1.0, max(sample / n, RARE / c)) for y, c in counts.items()}
+    bound = F.lit(0)
+    for y, s in share.items():
+        bound = F.when(F.col("y") == y, F.lit(share_bound(s))).otherwise(bound)
+    picked = known.where(F.col("h") < bound)
+    chosen = rows.join(picked, rows.did == picked.lid)
+    lines = chosen.agg(F.sum(F.regexp_count(F.decode("t", "UTF-8"), F.lit("\n")) + 1)).first()[0] or 0
+    if lines > LINES:  # fewer of each class, by the same hash
+        chosen = chosen.where(F.col("h") < (bound * F.lit(LINES / lines)).cast("long"))
+
+    def lines_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(len(batch)):
+                base, size, count = describe([bytes(batch["t"].iloc[i])])
+                yield pd.DataFrame({"h": [batch["h"].iloc[i]], "y": [batch["y"].iloc[i]], "n": count, "base": [base.astype("<f4").tobytes()], "size": [size.astype("<i4").tobytes()]})
+
+    got = chosen.select("h", "y", "t").mapInPandas(lines_of, "h long, y int, n long, base binary, size binary").toPandas()
     if got["y"].nunique() < 2:
-        return None
-    return train([bytes(t) for t in got["t"]], got["y"].to_numpy())
+        return Prior(sum(c for y, c in counts.items() if y), n)
+    # Equal hashes are rows of one id: their contents decide, so that refits agree.
+    got = got.assign(b=got["base"].map(bytes), s=got["size"].map(bytes)).sort_values(["h", "b", "s"])
+    base = np.frombuffer(b"".join(got["b"]), "<f4").reshape(-1, N_BASE).astype(float)
+    size = np.frombuffer(b"".join(got["s"]), "<i4").astype(np.int64)
+    y = got["y"].to_numpy()
+    weight = np.array([1 / share[k] for k in y.tolist()])
+    return train(base, size, got["n"].to_numpy(), (y > 0).astype(int), weight / weight.mean())
 
 
-def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id") -> DataFrame:
+def score(docs: DataFrame, model: Model | Prior, id_col: str = "doc_id") -> DataFrame:
     """(id, held_out, score, predicted) of every row, from its whole text alone.
 
-    Null text is empty. Without a model (no labels, or of one kind only) scores
-    are 1: nothing is known against a document. Rows that repeat score alike; other columns
-    are ignored.
+    Null text is empty; a very long text is one chain, held whole. A :class:`Prior` gives every row the same
+    score. Rows that repeat score alike; other columns are ignored; an empty table gives no rows.
     """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             raw = batch["t"].map(bytes).tolist()
-            scores = np.ones(len(raw))
+            scores = np.full(len(raw), model.value if isinstance(model, Prior) else 0.0)
             start, size = 0, 0
             for i, t in enumerate(raw):
                 size += len(t) + 1
-                if model is not None and (size >= GROUP or i == len(raw) - 1):
+                if not isinstance(model, Prior) and (size >= GROUP or i == len(raw) - 1):
                     scores[start : i + 1] = model.score(model.share(*describe(raw[start : i + 1])))
                     start, size = i + 1, 0
             out = batch[["id", "held_out"]].assign(score=scores, predicted=(scores >= THRESHOLD).astype("int32"))

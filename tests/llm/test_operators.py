@@ -350,8 +350,83 @@ def test_quality(spark):
     truth = dict(labels)
     held = [r for r in got if r.held_out and r.doc_id in truth]
     assert len(held) > 40 and sum(r.predicted == truth[r.doc_id] for r in held) / len(held) > 0.95
-    assert quality.fit(docs, lab.limit(0)) is None
-    assert quality.score(docs.limit(0), None).count() == 0
+    assert quality.score(docs.limit(0), model).count() == 0
+    again = quality.fit(docs.repartition(5), lab.repartition(3))
+    assert np.array_equal(again.weights, model.weights) and np.array_equal(again.calibration, model.calibration)
+
+
+def test_quality_without_two_classes(spark):
+    """Without labels of both kinds scores are the labels' smoothed share, never simply good."""
+    docs = frame(spark, [(i, "some text") for i in range(40)])
+    none = quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    assert isinstance(none, quality.Prior) and none.n == 0 and {(r.score, r.predicted) for r in quality.score(docs, none).collect()} == {(0.5, 0)}
+    for y in (0, 1):
+        labels = spark.createDataFrame([(i, y) for i in range(40)], "doc_id long, quality int")
+        one = quality.fit(docs, labels)
+        used = sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(40))
+        assert one.n == used and one.value == (used * y + 1) / (used + 2)
+        assert {r.predicted for r in quality.score(docs, one).collect()} == {y}
+    both = spark.createDataFrame([(i, i % 2) for i in range(100, 200)], "doc_id long, quality int")
+    assert isinstance(quality.fit(docs, both), quality.Prior) and isinstance(quality.fit(docs.limit(0), both), quality.Prior)
+
+
+def test_quality_samples_rare_classes(spark, monkeypatch):
+    monkeypatch.setattr(quality, "RARE", 12)
+    rng = random.Random(41)
+    rows, labels = labelled(rng, 400)
+    bad = [k for k, y in labels if not y and zlib.crc32(str(k).encode()) % 4 != 2][:12]
+    keep = [(k, y) for k, y in labels if y or k in bad]
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda base, size, lines, y, w, f=quality.train: seen.append((y, w)) or f(base, size, lines, y, w))
+    model = quality.fit(frame(spark, rows), spark.createDataFrame(keep, "doc_id long, quality int"), sample=60)
+    y, w = seen[0]
+    assert (y == 0).sum() == 12 and 30 < (y == 1).sum() < 100 and w[y == 1].mean() > 2 * w[y == 0].mean()
+    monkeypatch.setattr(quality, "LINES", 100)
+    quality.fit(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert len(seen[1][0]) < 60 and isinstance(model, quality.Model)
+
+
+def plain_line(t: bytes) -> list[float]:
+    """A line's values, a byte and a word at a time."""
+    kinds = [sum(quality._LUT[c] == k for c in t) for k in range(1, len(quality._KINDS) + 1)]
+    words = [w for w in re.split(rb"[ \t\r\x0b\x0c]+", t) if w]
+    n, m = max(len(t), 1), max(len(words), 1)
+    ends = sum(quality._LUT[w[-1]] in (6, 8) for w in words)
+    again = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    first, last = (quality._LUT[t[0]], quality._LUT[t[-1]]) if t else (0, 0)
+    return [*(k / n for k in kinds), np.log1p(len(words)), np.log1p(len(t)), (len(t) - kinds[3]) / m, len(set(words)) / m, again / m, ends / m, first == 2, last == 5]
+
+
+def plain_score(model, text: str) -> float:
+    """Features by hand, marginals by enumeration of all labellings of up to eight lines."""
+    lines = text.encode().split(b"\n")
+    base = np.array([plain_line(t) for t in lines])
+    z = (base - model.mean) / model.scale
+    k, u = quality.N_BASE, []
+    for i in range(len(lines)):
+        bins = [float((base[i, f] > model.cuts[f]).sum() == b) for f in range(k) for b in range(quality.BINS)]
+        x = [*z[i], *(z[i - 1] if i else np.zeros(k)), *(z[i + 1] if i + 1 < len(lines) else np.zeros(k)), *bins, i == 0, i + 1 == len(lines), 1]
+        u.append(float(np.dot(x, model.weights)))
+    total, good = 0.0, np.zeros(len(lines))
+    for code in range(1 << len(lines)):
+        y = [(code >> i) & 1 for i in range(len(lines))]
+        p = np.exp(sum(a * b for a, b in zip(u, y, strict=True)) + sum(model.transitions[a, b] for a, b in zip(y, y[1:], strict=False)))
+        total, good = total + p, good + p * np.array(y)
+    w = np.array([len(t) + 1e-3 for t in lines])
+    share = np.clip((good / total * w).sum() / w.sum(), 1e-6, 1 - 1e-6)
+    return 1 / (1 + np.exp(-(model.calibration[0] + model.calibration[1] * np.log(share / (1 - share)))))
+
+
+def test_quality_scores_equal_brute_force(spark):
+    rng = random.Random(43)
+    rows, labels = labelled(rng, 200)
+    docs = frame(spark, rows)
+    model = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    parts = ["Word", "word", "word ", "ÉÜ", "12", "!!", "| ", "\t", "\n", " ", ".", "a$", "?"]
+    odd_ones = [(1000 + i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))) for i in range(120)]
+    every = [r for r in rows + odd_ones + [(2000, None), (2001, ""), (2002, "\n\n")] if (r[1] or "").count("\n") < 8]
+    got = {r.doc_id: r.score for r in quality.score(frame(spark, every), model).collect()}
+    assert len(every) > 250 and all(got[k] == pytest.approx(plain_score(model, t or ""), abs=2e-4) for k, t in every)
 
 
 def test_field_marginals_equal_enumeration():
