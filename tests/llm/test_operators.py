@@ -517,6 +517,35 @@ def test_mixing(spark):
     assert mixing.mix(frame(spark, [])).count() == 0
 
 
+def test_mixing_of_null_and_repeated_ids(spark, monkeypatch):
+    """Rows that share an id, or have none, are taken one by one, so their sources come near their targets."""
+    monkeypatch.setattr(mixing, "COPIES", 8)
+    rows = [(None, "a b c d e f g h i j", "n")] * 50 + [(7, f"{i} b c d e", "m") for i in range(100)] + [(8, "same words here", "o")] * 90 + [(None, None, "n")] * 3
+    docs = frame(spark, rows)
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows) and sum(r.size == 10 for r in got) == 50
+    for source in "nmo":
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 5.5 and own[0].source_size == sum(r.size for r in own)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(3)).collect()))
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(51)
+    sizes = {f"host{i:04}": rng.choice([0, 1, 5, 50, 5000]) for i in range(400)}
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(6)).collect()}
+    names = sorted(sizes)
+    weight, target, free, budget = {s: 1 + i % 3 for i, s in enumerate(names)}, {}, set(names), float(sum(sizes.values()))
+    while free:
+        level = budget / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] > 3 * sizes[s]}
+        for s in over or free:
+            target[s] = 3.0 * sizes[s] if over else level * weight[s]
+        budget -= sum(target[s] for s in over)
+        free = free - over if over else set()
+    assert got == pytest.approx(target)
+
+
 def test_mixing_takes_documents_without_words(spark):
     import corpus_pipeline
 
