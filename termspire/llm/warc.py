@@ -1,8 +1,9 @@
-"""WARC archives: monolithic gzip streams rewritten as one member a record, with an offset index."""
+"""WARC archive files: monolithic gzip streams rewritten as one member a record, with an offset index."""
 
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -10,7 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termspire.llm.common import table
+from termspire.llm import files
+from termspire.llm.common import remove, spread_join, table
+from termspire.sources.store import fresh_path
 
 #: Payloads below this size are never revisits.
 LEAST = 1000
@@ -83,18 +86,23 @@ def records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         del buf[:need]
 
 
-def inflate(data: bytes) -> Iterator[bytes]:
-    """The content of a gzip file in pieces of bounded size: of one member, or of several in a row."""
-    rest = data
-    while rest:
-        z = zlib.decompressobj(31)
-        while not z.eof:
+def inflate(data: Iterator[bytes]) -> Iterator[bytes]:
+    """The content of a gzip file that comes in pieces, in pieces of bounded size: of one member, or of several in a row."""
+    z = None
+    for rest in data:
+        while rest or (z is not None and z.unconsumed_tail):
+            z = z or zlib.decompressobj(31)
             piece = z.decompress(rest, PIECE)
-            rest = z.unconsumed_tail or (z.unused_data if z.eof else b"")
+            rest = z.unconsumed_tail or z.unused_data
             if piece:
                 yield piece
-            elif not rest and not z.eof:
-                raise ValueError("a gzip member isn't complete")
+            if z.eof:
+                z = None
+    if z is not None:
+        while piece := z.decompress(z.unconsumed_tail, PIECE):
+            yield piece
+        if not z.eof:
+            raise ValueError("a gzip member isn't complete")
 
 
 def _gzip(data: bytes) -> bytes:
@@ -102,42 +110,49 @@ def _gzip(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def normalise(data: bytes) -> tuple[bytes, list[tuple[str, int, int, int]]]:
+def normalise(data: Iterator[bytes]) -> Iterator[tuple[bytes, tuple[str, int, int, int]]]:
     """A gzip file of records, whatever its members, as one member a record.
 
-    The stream is inflated once. Returns the new file and its index: (record id,
-    offset, length, uncompressed length) of each record in order.
+    The stream is inflated once, piece by piece. Yields each member of the new file with its
+    line of the index: (record id, offset, length, uncompressed length).
     """
-    out, index, at = [], [], 0
+    at = 0
     for head, whole in records(inflate(data)):
         member = _gzip(whole)
-        out.append(member)
-        index.append((head["WARC-Record-ID"], at, len(member), len(whole)))
+        yield member, (head["WARC-Record-ID"], at, len(member), len(whole))
         at += len(member)
-    return b"".join(out), index
 
 
-def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(archive, data): whole-file gzip streams of a record per page.
+def index_line(entry: tuple[str, int, int, int]) -> str:
+    return json.dumps(dict(zip(("record", "offset", "length", "size"), entry, strict=True))) + "\n"
+
+
+def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Files ``<name>.warc.gz`` in ``folder``, each one gzip stream over a record per page; returns (archive, path, size).
 
     Of pages with equal payloads of at least LEAST bytes the one with the largest id is the
     response and the others revisit it; null ids are smaller than all others, and rows that share the
-    largest id are responses all. Null html is the empty payload. Digests are
-    aggregated before they meet the pages, so copies aren't gathered anywhere.
+    largest id are responses all. Null html is the empty payload; a very long one is one record, held whole. Only
+    digests and ids are aggregated: a common page's digest goes to its copies, which stay where they are and
+    are never gathered with their payloads. An empty table writes no file.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.encode(F.coalesce(html_col, F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     sums = rows.where(F.octet_length("payload") >= LEAST).select("page_id", "digest").groupBy("digest")
-    sums = sums.agg(F.count("*").alias("n"), F.max("page_id").alias("first")).where("n > 1").drop("n")
-    rows = rows.join(sums, "digest", "left").withColumn("kind", F.when(F.coalesce(F.col("page_id"), F.lit(-(1 << 63))) < F.col("first"), "revisit").otherwise("response"))
+    sums = table(sums.agg(F.count("*").alias("n"), F.max("page_id").alias("first")).where("n > 1").drop("n"), "digests")
+    rows = spread_join(rows, sums, "digest", "left")
+    rows = rows.withColumn("kind", F.when(F.coalesce(F.col("page_id"), F.lit(-(1 << 63))) < F.col("first"), "revisit").otherwise("response"))
     rows = rows.withColumn("first", F.when(F.col("kind") == "revisit", F.col("first")))
     # A revisit's own bytes are needed for its length only.
-    kind = dict(rows.dtypes)["page_id"]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        z, size, parts = zlib.compressobj(6, zlib.DEFLATED, 31), 0, []
-        name = hashlib.sha1()
         none = lambda v: None if pd.isna(v) else int(v)
+        z, size, parts, name = zlib.compressobj(6, zlib.DEFLATED, 31), 0, [], hashlib.sha1()
+
+        def close() -> pd.DataFrame:
+            path = f"{folder}/{name.hexdigest()}.warc.gz"
+            return pd.DataFrame({"archive": [name.hexdigest()], "path": [path], "size": [files.put(path, [*parts, z.flush()])]})
+
         for batch in batches:
             for key, url, payload, digest, first, what in zip(*(batch[c] for c in ("page_id", "url", "payload", "digest", "first", "kind")), strict=True):
                 whole = record(none(key), url, bytes(payload), digest, none(first), what)
@@ -145,52 +160,73 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
                 name.update(whole)
                 size += len(whole)
                 if size >= ARCHIVE:
-                    yield pd.DataFrame({"archive": [name.hexdigest()], "data": [b"".join([*parts, z.flush()])]})
+                    yield close()
                     z, size, parts, name = zlib.compressobj(6, zlib.DEFLATED, 31), 0, [], hashlib.sha1()
         if size:
-            yield pd.DataFrame({"archive": [name.hexdigest()], "data": [b"".join([*parts, z.flush()])]})
+            yield close()
 
     rows = rows.select(F.col("page_id").cast("string").alias("page_id"), "url", "payload", "digest", F.col("first").cast("string").alias("first"), "kind")
-    return rows.mapInPandas(work, "archive string, data binary")
+    return rows.mapInPandas(work, "archive string, path string, size long")
 
 
-def normalise_archives(archives: DataFrame) -> DataFrame:
-    """(archive, data, index): each file with a member per record, and its sidecar index."""
+def normalise_archives(archives: DataFrame, folder: str) -> DataFrame:
+    """Each file of ``archives`` again in ``folder`` with a member per record, and beside it ``<name>.idx``, its offset index.
+
+    Returns (archive, path, index_path, n_records, size). Neither the old file nor the new one is ever whole in memory.
+    """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, data in zip(batch["archive"], batch["data"], strict=True):
-                new, index = normalise(bytes(data))
-                yield pd.DataFrame({"archive": [name], "data": [new], "index": [[dict(zip(("record", "offset", "length", "size"), i, strict=True)) for i in index]]})
+            for name, old in zip(batch["archive"], batch["path"], strict=True):
+                path, lines = f"{folder}/{name}.warc.gz", []
+
+                def members(old=old, lines=lines) -> Iterator[bytes]:
+                    for member, entry in normalise(files.pieces(old)):
+                        lines.append(index_line(entry))
+                        yield member
 
-    return archives.mapInPandas(work, "archive string, data binary, index array<struct<record:string,offset:long,length:long,size:long>>")
+                size = files.put(path, members())
+                files.put(f"{folder}/{name}.idx", (line.encode() for line in lines))
+                yield pd.DataFrame({"archive": [name], "path": [path], "index_path": [f"{folder}/{name}.idx"], "n_records": [len(lines)], "size": [size]})
+
+    return archives.mapInPandas(work, "archive string, path string, index_path string, n_records long, size long")
+
+
+def read_index(index_path: str) -> list[dict]:
+    return [json.loads(line) for line in b"".join(files.pieces(index_path)).splitlines()]
+
+
+def read_record(file: files.Reader, entry: dict) -> tuple[dict[str, str], bytes]:
+    """(headers, whole record) of an index entry: one seek, one member."""
+    ((head, whole),) = records(inflate(iter([file.at(entry["offset"], entry["length"])])))
+    if head["WARC-Record-ID"] != entry["record"] or len(whole) != entry["size"]:
+        raise ValueError("the index doesn't match the archive")
+    return head, whole
 
 
 def read_archives(archives: DataFrame, id_col: str = "page_id") -> DataFrame:
     """A row per record: (id, url, record_type, payload_bytes, payload_digest, refers_to, payload).
 
-    Records are sought by the index, each inflated by itself; digests of responses
+    Records are sought in the files by the sidecar index, each inflated by itself; digests of responses
     are computed from what is read, and a wrong one fails the job. A
     revisit's payload is null.
     """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for data, index in zip(batch["data"], batch["index"], strict=True):
+            for path, index_path in zip(batch["path"], batch["index_path"], strict=True):
                 rows = []
-                for entry in index:
-                    member = bytes(data[entry["offset"] : entry["offset"] + entry["length"]])
-                    ((head, whole),) = records(inflate(member))
-                    if head["WARC-Record-ID"] != entry["record"] or len(whole) != entry["size"]:
-                        raise ValueError("the index doesn't match the archive")
-                    digest, payload = head["WARC-Payload-Digest"].removeprefix("sha1:"), None
-                    if head["WARC-Type"] == "response":
-                        n = int(head["Content-Length"])
-                        payload = whole[len(whole) - 4 - n : len(whole) - 4]
-                        if hashlib.sha1(payload).hexdigest() != digest or n != int(head["X-Payload-Length"]):
-                            raise ValueError("a payload doesn't match its digest")
-                    refers = _page(head["WARC-Refers-To"]) if "WARC-Refers-To" in head else None
-                    rows.append((_page(head["WARC-Record-ID"]), head["WARC-Target-URI"], head["WARC-Type"], int(head["X-Payload-Length"]), digest, refers, payload))
+                with files.Reader(path) as file:
+                    for entry in read_index(index_path):
+                        head, whole = read_record(file, entry)
+                        digest, payload = head["WARC-Payload-Digest"].removeprefix("sha1:"), None
+                        if head["WARC-Type"] == "response":
+                            n = int(head["Content-Length"])
+                            payload = whole[len(whole) - 4 - n : len(whole) - 4]
+                            if hashlib.sha1(payload).hexdigest() != digest or n != int(head["X-Payload-Length"]):
+                                raise ValueError("a payload doesn't match its digest")
+                        refers = _page(head["WARC-Refers-To"]) if "WARC-Refers-To" in head else None
+                        rows.append((_page(head["WARC-Record-ID"]), head["WARC-Target-URI"], head["WARC-Type"], int(head["X-Payload-Length"]), digest, refers, payload))
                 out = pd.DataFrame(rows, columns=["id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"])
                 yield out.assign(id=out["id"].astype("Int64"), refers_to=out["refers_to"].astype("Int64"))
 
@@ -199,6 +235,14 @@ def read_archives(archives: DataFrame, id_col: str = "page_id") -> DataFrame:
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """Pages written as monolithic archives, normalised, written again and read back."""
-    whole = table(write_archives(pages, id_col), "warc")
-    return read_archives(table(normalise_archives(whole), "warc-members"), id_col)
+    """Pages written as monolithic archives, normalised to archives with sidecar indexes, and read back from these.
+
+    All of them are files in the shared folder; the monolithic ones go once they're normalised.
+    """
+    spark = pages.sparkSession
+    first, second = fresh_path(spark, "warc"), fresh_path(spark, "warc-members")
+    whole = table(write_archives(pages, first, id_col), "warc-list")
+    members = table(normalise_archives(whole, second), "warc-members-list")
+    remove(spark, first)
+    # An archive is a task's work, however few bytes its row of the list has.
+    return read_archives(members.repartition(max(1, members.count())), id_col)

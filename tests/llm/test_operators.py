@@ -578,14 +578,36 @@ def test_warc(spark):
 
 def test_warc_normaliser():
     one = warc.record(1, "u", b"a" * 3000, "d", None, "response") + warc.record(2, "u", b"", "d", None, "response")
+    cut = lambda d, n: (d[i : i + n] for i in range(0, len(d), n))
     for data in (warc._gzip(one), b"".join(warc._gzip(one[i : i + 700]) for i in range(0, len(one), 700))):
-        new, index = warc.normalise(data)
-        assert b"".join(warc.inflate(new)) == one and len(index) == 2
-        assert all(b"".join(warc.inflate(new[o : o + n])).startswith(b"WARC/1.1") for _, o, n, _ in index)
-    with pytest.raises(ValueError):
-        warc.normalise(warc._gzip(one[:-9]))
-    with pytest.raises(ValueError):
-        warc.normalise(warc._gzip(one)[:-9])
+        for n in (1, 7, 100, 1 << 20):
+            found = list(warc.normalise(cut(data, n)))
+            new, index = b"".join(m for m, _ in found), [e for _, e in found]
+            assert b"".join(warc.inflate(iter([new]))) == one and len(index) == 2
+            assert all(b"".join(warc.inflate(iter([new[o : o + k]]))).startswith(b"WARC/1.1") for _, o, k, _ in index)
+    for bad in (warc._gzip(one[:-9]), warc._gzip(one)[:-9], warc._gzip(one)[:40]):
+        with pytest.raises(ValueError):
+            list(warc.normalise(iter([bad])))
+
+
+def test_warc_files(spark, tmp_path, monkeypatch):
+    """Archives and sidecars are files; a record is one seek and one member."""
+    monkeypatch.setattr(warc, "ARCHIVE", 4000)
+    pages = spark.createDataFrame([(i, f"u{i}", f"page {i} " * 150) for i in range(20)], "page_id long, url string, html string").repartition(2)
+    whole = warc.write_archives(pages, str(tmp_path / "a"))
+    made = warc.normalise_archives(whole, str(tmp_path / "b")).collect()
+    assert len(made) > 4 and sum(r.n_records for r in made) == 20
+    assert {f"{r.archive}.warc.gz" for r in made} == {p.name for p in (tmp_path / "a").iterdir()} == {p.name for p in (tmp_path / "b").glob("*.gz")}
+    for r in made:
+        entries = warc.read_index(r.index_path)
+        with warc.files.Reader(f"file://{r.path}") as file:
+            head, record = warc.read_record(file, entries[-1])
+            assert file.read_bytes == entries[-1]["length"] < r.size or len(entries) == 1
+        key = int(head["WARC-Record-ID"].split(":")[-1][:-1])
+        assert record.endswith((f"page {key} " * 150).encode() + b"\r\n\r\n")
+    wrong = [{**e, "record": "x"} for e in entries]
+    with warc.files.Reader(made[-1].path) as file, pytest.raises(ValueError):
+        warc.read_record(file, wrong[0])
 
 
 PLAIN = (
