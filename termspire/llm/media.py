@@ -12,10 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termspire.llm import flac
-from termspire.llm.common import text_of
+from termspire.llm.common import remove, table, text_of
+from termspire.sources.store import fresh_path
 
 #: Payload bytes that a worker encodes or decodes in one go.
-GROUP = 4 << 20
+GROUP = 1 << 20
+#: Parts of the documents that are in the shared folder as media and PCM at once, one after another.
+SLICES = 4
 
 
 def _groups(column: pd.Series) -> Iterator[slice]:
@@ -36,8 +39,8 @@ def _whole(ids: pd.Series) -> pd.Series:
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, media): the UTF-8 of each text, zeros up to a positive multiple of 64, as a FLAC stream.
 
-    Null text is empty: 64 zero bytes. Rows that repeat give equal streams;
-    other columns are ignored.
+    Streams are 8-bit mono without wasted bits; a very long text is one stream of many frames. Null text is empty: 64
+    zero bytes. Rows that repeat give equal streams; other columns are ignored; an empty table gives no rows.
     """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -82,24 +85,75 @@ def feature(samples: np.ndarray) -> str:
     return f"{int(x.sum() * 1000 // len(x))}:{int((x * x).sum() // len(x))}:{crossings * 10_000 // len(x)}:{int(np.abs(x).max())}"
 
 
-def digests(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``media`` read back: payload and media digests and a feature string, a row for each row with media."""
+def pcm(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, n_bytes, media_bytes, media_sha256, blocks): each stream decoded and verified, with its PCM blocks as an array of
+    (sample_offset, n_samples, pcm) in order; a row for each row with media."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part in _groups(batch["media"]):
                 own = batch.iloc[part]
-                out = []
-                for key, n, m, found in zip(own["id"].array, own["n_bytes"], own["media"], flac.decode([bytes(m) for m in own["media"]]), strict=True):
-                    p = b"".join(pcm for _, pcm in found)
-                    samples = (np.frombuffer(p, np.uint8) ^ 0x80).view(np.int8)
-                    out.append((key, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature(samples)))
-                frame = pd.DataFrame(out, columns=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-                yield frame.assign(id=_whole(frame["id"]))
+                raw = [bytes(m) for m in own["media"]]
+                found = [[{"sample_offset": at, "n_samples": len(b), "pcm": b} for at, b in x] for x in flac.decode(raw)]
+                yield pd.DataFrame({
+                    "id": _whole(own["id"]), "n_bytes": own["n_bytes"], "media_bytes": [len(m) for m in raw],
+                    "media_sha256": [hashlib.sha256(m).hexdigest() for m in raw], "blocks": found,
+                })
 
     rows = media.where("media is not null").select(F.col(id_col).alias("id"), "n_bytes", "media")
+    shape = (
+        f"id {dict(rows.dtypes)['id']}, n_bytes long, media_bytes long, media_sha256 string, "
+        "blocks array<struct<sample_offset: long, n_samples: long, pcm: binary>>"
+    )
+    return rows.mapInPandas(work, shape).withColumnRenamed("id", id_col)
+
+
+def digests(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Of PCM blocks as :func:`pcm` gives them: payload and media digests and a feature string.
+
+    The end of a payload is sought by the blocks' offsets; blocks that leave a gap fail the job.
+    """
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, n, size, sha, blocks_ in zip(batch["id"].array, batch["n_bytes"], batch["media_bytes"], batch["media_sha256"], batch["blocks"], strict=True):
+                whole, at = hashlib.sha256(), 0
+                for b in blocks_:
+                    if b["sample_offset"] != at or len(b["pcm"]) != b["n_samples"]:
+                        raise ValueError("a block isn't where its offset says")
+                    whole.update(b["pcm"])
+                    at += b["n_samples"]
+                p = b"".join(b["pcm"] for b in blocks_)
+                tail = b"".join(b["pcm"][max(0, at - 64 - b["sample_offset"]) :] for b in blocks_ if b["sample_offset"] + b["n_samples"] > at - 64)
+                samples = (np.frombuffer(p, np.uint8) ^ 0x80).view(np.int8)
+                out.append((key, n, at, whole.hexdigest(), zlib.crc32(tail), size, sha, feature(samples)))
+            frame = pd.DataFrame(out, columns=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            yield frame.assign(id=_whole(frame["id"]))
+
+    rows = stored.select(F.col(id_col).alias("id"), "n_bytes", "media_bytes", "media_sha256", "blocks")
     shape = (
         f"id {dict(rows.dtypes)['id']}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
         "media_bytes long, media_sha256 string, feature string"
     )
     return rows.mapInPandas(work, shape).withColumnRenamed("id", id_col)
+
+
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slices: int = SLICES) -> DataFrame:
+    """:func:`digests` of every row's text after it was stored as media, read back into PCM blocks, and these stored and read too.
+
+    Media and blocks of a slice of the documents (by a hash of id and text) leave the shared folder before the next slice
+    comes, so that the copies take a part of the input's room. Null text, empty and very long texts, repeated rows and empty
+    tables are as in :func:`store`.
+    """
+    spark, out = docs.sparkSession, None
+    own = F.pmod(F.xxhash64(id_col, text_col), F.lit(slices))
+    for i in range(slices):
+        paths = [fresh_path(spark, name) for name in ("media", "pcm")]
+        store(docs.where(own == i), id_col, text_col).write.parquet(paths[0])
+        pcm(spark.read.parquet(paths[0]), id_col).write.parquet(paths[1])
+        found = table(digests(spark.read.parquet(paths[1]), id_col), "digests")
+        for path in paths:
+            remove(spark, path)
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -30,7 +30,7 @@ def op4_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.digests(media.store(read(spark, sf_dir, "documents")))
+    return media.round_trip(read(spark, sf_dir, "documents"))
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

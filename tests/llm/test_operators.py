@@ -474,19 +474,61 @@ def test_flac_streams():
             flac.decode([bytes(bad)])
 
 
+def test_flac_known_answer():
+    """The mono 8-bit example stream of the public format specification (RFC 9639, appendix D.3)."""
+    stream = bytes.fromhex(
+        "664c6143800000221000100000001f00001f07d0007000000018f8f9e396f5cbcfc6dc807f9977906b32"
+        "fff868020017e944004f6f313d1047d227cb6d090831452bdc2822228057a3"
+    )
+    samples = [0, 79, 111, 78, 8, -61, -90, -68, -13, 42, 67, 53, 13, -27, -46, -38, -12, 14, 24, 19, 6, -4, -5, 0]
+    ((at, pcm),) = flac.decode([stream])[0]
+    assert at == 0 and [b - 128 for b in pcm] == samples
+    # The check strings of the public CRC definitions.
+    assert flac.crc8(b"123456789") == 0xF4 and int(flac.crc16(np.frombuffer(b"123456789", np.uint8), np.array([0]), np.array([9]))[0]) == 0xFEE8
+
+
+def test_flac_seek():
+    rng = np.random.default_rng(5)
+    p = rng.integers(60, 120, 30016, dtype=np.uint8).tobytes()
+    (m,) = flac.encode([p])
+    for start, n in ((0, 10), (4090, 20), (29990, 100), (8192, 4096), (0, 99999), (30016, 5), (12345, 0)):
+        assert flac.read(m, start, n) == p[start : start + n]
+    broken = bytearray(m)
+    broken[-20] ^= 1
+    assert flac.read(bytes(broken), 0, 4096) == p[:4096]  # frames that aren't asked for aren't touched
+    with pytest.raises(ValueError):
+        flac.read(bytes(broken), 30000, 10)
+
+
+def plain_feature(p: bytes) -> str:
+    x = [b - 128 for b in p]
+    crossings = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))
+    return f"{sum(x) * 1000 // len(x)}:{sum(v * v for v in x) // len(x)}:{crossings * 10000 // len(x)}:{max(map(abs, x))}"
+
+
 def test_media(spark):
+    from termspire.sources.store import shared_dir
+
     rng = random.Random(10)
     rows = odd(rng)
     stored = media.store(frame(spark, rows))
-    got = media.digests(stored).collect()
+    got = media.round_trip(frame(spark, rows), slices=3).collect()
+    streams = {str(r.doc_id): bytes(r.media) for r in stored.collect()}
     want = []
     for key, text in rows:
         b = (text or "").encode()
         p = b + b"\0" * (-len(b) % 64 or 64 * (not b))
-        want.append((str(key), len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])))
-    assert sorted((str(r.doc_id), *r[1:5]) for r in got) == sorted(want)
+        m = streams[str(key)]
+        want.append((str(key), len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest(), plain_feature(p)))
+        assert b"".join(x for _, x in flac.decode([m])[0]) == p
+    assert sorted((str(r.doc_id), *r[1:]) for r in got) == sorted(want)
     assert media.blocks(stored).where("doc_id = 6").agg(F.sum("n_samples")).first()[0] == 20032
-    assert media.digests(media.store(frame(spark, []))).count() == 0
+    assert media.round_trip(frame(spark, [])).count() == 0
+    left = [p for p in __import__("pathlib").Path(shared_dir(spark)).iterdir() if p.name.startswith(("media-", "pcm-"))]
+    assert not left  # media and PCM of a slice go when its digests are written
+    gap = media.pcm(stored).where("doc_id = 6").withColumn("blocks", F.slice("blocks", 2, 9))
+    with pytest.raises(Exception, match="offset"):
+        media.digests(gap).collect()
 
 
 def test_mixing(spark):
