@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termspire.llm import embedding_dedup, line_dedup, media, minhash, mixing, packing, pii, quality, token_counts, warc
-from termspire.llm.common import read, text_of
+from termspire.llm.common import read, table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,9 +47,9 @@ def op8_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with three edits that follow from its id and length: a deletion, a replacement and an insertion."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    n, key = F.length(text_of()), F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(9973))
+    """The trees of all documents, stored, then three edits of each that follow from its id and length: a deletion, a replacement and an insertion."""
+    trees = table(token_counts.build(read(spark, sf_dir, "documents")), "trees")
+    n, key = F.col("n_chars"), F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(9973))
     at = lambda k: F.pmod(key * k + 17, F.greatest(n, F.lit(1))).cast("int")
     edit = lambda start, length, new: F.struct(start.alias("start"), F.lit(length).alias("length"), new.alias("new"))
     edits = F.array(
@@ -57,7 +57,7 @@ def op9_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         edit(at(57), 3, F.concat(F.lit(" <"), key.cast("string"), F.lit("> "))),
         edit(at(83), 0, F.lit("\nedited 's text  ")),
     )
-    return token_counts.count_tokens(docs.withColumn("edits", edits))
+    return token_counts.edit(trees.withColumn("edits", edits), keep=False)
 
 
 def op10_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

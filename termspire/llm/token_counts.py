@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,27 +13,47 @@ from termspire.llm.common import text_of
 from termspire.llm.tokenizer import default_path, encoder
 
 
+#: Characters beyond which a leaf of several pre-token runs is split again after an edit.
+LEAF_CHARS = 256
+
+
+def _sums(values: list[int], base: int) -> list[int]:
+    """A heap of subtree sums: node i has the children 2i and 2i + 1, leaves start at ``base``."""
+    level = np.zeros(base, np.int64)
+    level[: len(values)] = values
+    levels = [level]
+    while len(level) > 1:
+        level = level.reshape(-1, 2).sum(axis=1)
+        levels.append(level)
+    return [0, *np.concatenate(levels[::-1]).tolist()]
+
+
 class PretokenTree:
     """A segment tree over the pre-token runs of one text.
 
     A leaf is a run of pre-tokens between two places where pre-tokens always
     end. Inner nodes hold the sums of characters and of tokens below them. An
-    edit re-encodes the leaves that it touches and their boundary context, and
-    corrects the sums above; ``encoded`` counts the characters encoded again.
+    edit re-encodes the leaves that it touches and their boundary context, deals what comes out to these leaves
+    again, and corrects the sums above; if they can't hold it in pieces of LEAF_CHARS, leaves are added and the sums made anew, by
+    additions only. ``encoded`` counts the characters encoded again.
     """
 
-    def __init__(self, text: str, enc):
-        self.enc = enc
-        parts, counts = enc.counts(text)
-        self.leaves = [parts[0], *(" " + p for p in parts[1:])]
-        n = len(parts)
-        self.base = 1 << max(0, (n - 1).bit_length())
-        self.chars = [0] * self.base + [len(x) for x in self.leaves] + [0] * (self.base - n)
-        self.tokens = [0] * self.base + counts + [0] * (self.base - n)
-        for sums in (self.chars, self.tokens):
-            for i in range(self.base - 1, 0, -1):
-                sums[i] = sums[2 * i] + sums[2 * i + 1]
-        self.encoded = 0
+    def __init__(self, leaves: list[str], counts: list[int], enc):
+        self.enc, self.encoded = enc, 0
+        self._lay(leaves, counts)
+
+    @classmethod
+    def of_text(cls, text: str, enc) -> PretokenTree:
+        return cls(*cut(text, enc), enc)
+
+    def _lay(self, leaves: list[str], counts: list[int]) -> None:
+        self.leaves = leaves
+        self.base = 1 << max(0, (len(leaves) - 1).bit_length())
+        self.chars, self.tokens = _sums(list(map(len, leaves)), self.base), _sums(counts, self.base)
+
+    def counts(self) -> list[int]:
+        """Tokens of each leaf."""
+        return self.tokens[self.base : self.base + len(self.leaves)]
 
     @property
     def n_tokens(self) -> int:
@@ -86,20 +107,117 @@ class PretokenTree:
         changed = region[:a] + new + region[a + end - start :]
         self.encoded += len(changed)
         # A region that starts inside the text starts with the space of its first run.
-        self._put(i, changed, self.enc.count(changed))
-        for k in range(i + 1, j + 1):
-            if self.leaves[k]:
-                self._put(k, "", 0)
+        parts, counts = cut(changed, self.enc)
+        slots = j - i + 1
+        each = -(-len(parts) // slots)
+        groups = [("".join(parts[k : k + each]), sum(counts[k : k + each])) for k in range(0, each * slots, each)]
+        if each > 1 and max(len(leaf) for leaf, _ in groups) > LEAF_CHARS:
+            old = self.counts()
+            self._lay(self.leaves[:i] + parts + self.leaves[j + 1 :], old[:i] + counts + old[j + 1 :])
+            return
+        for k, (leaf, count) in enumerate(groups, i):
+            if leaf or self.leaves[k]:
+                self._put(k, leaf, count)
+
+
+def cut(text: str, enc) -> tuple[list[str], list[int]]:
+    """The leaves of a text, which make it up, and the tokens of each."""
+    parts, counts = enc.counts(text)
+    leaves = [parts[0], *(" " + p for p in parts[1:])]
+    return (leaves[1:], counts[1:]) if len(leaves) > 1 and not leaves[0] else (leaves, counts)
+
+
+def build(docs: DataFrame, id_col: str = "doc_id", path: str | None = None) -> DataFrame:
+    """The trees of all texts, to be written and edited later: (id, n_tokens, n_chars, text, lengths, counts).
+
+    ``lengths`` and ``counts`` are the characters and tokens of the leaves in order; sums above them are additions
+    when a tree is loaded. Null text is empty; rows that repeat are trees of their own; a very long text is one tree, held whole by
+    the task that builds or edits it; an empty table gives none. Columns of other names are ignored.
+    """
+    path = path or default_path()
+    rows = docs.select(F.col(id_col).alias("id"), text_of().alias("text"))
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enc = encoder(path)
+        for batch in batches:
+            lengths, counts = [], []
+            for text in batch["text"]:
+                leaves, own = cut(text, enc)
+                lengths.append(np.fromiter(map(len, leaves), np.int32, len(leaves)))
+                counts.append(np.array(own, np.int32))
+            yield pd.DataFrame({
+                "id": _whole(batch["id"]), "n_tokens": [int(c.sum()) for c in counts], "n_chars": [int(x.sum()) for x in lengths],
+                "text": batch["text"], "lengths": lengths, "counts": counts,
+            })
+
+    return rows.mapInPandas(make, _shape(rows, "n_tokens long, n_chars long, " + _TREE)).withColumnRenamed("id", id_col)
+
+
+_TREE = "text string, lengths array<int>, counts array<int>"
+_COUNTS = "n_tokens long, n_tokens_edited long, n_chars_edited long, n_edits long, n_chars_encoded long"
+
+
+def _whole(ids: pd.Series) -> pd.Series:
+    return ids.astype("Int64") if ids.dtype.kind in "iuf" else ids
+
+
+def _shape(rows: DataFrame, rest: str) -> str:
+    return f"id {dict(rows.dtypes)['id']}, {rest}"
+
+
+def _applied(tree: PretokenTree, edits) -> int:
+    edits = [] if edits is None else [e for e in edits if e is not None]
+    for e in edits:
+        tree.edit(int(e["start"] or 0), int(e["length"] or 0), e["new"] or "")
+    return len(edits)
+
+
+def edit(trees: DataFrame, id_col: str = "doc_id", edits_col: str = "edits", path: str | None = None, keep: bool = True) -> DataFrame:
+    """Apply edits to stored trees: the columns of :func:`count_tokens` and, with ``keep``, the new trees' text, lengths and counts.
+
+    ``trees`` are those of :func:`build`, or of an earlier ``edit`` (whose ``n_tokens_edited`` and ``n_chars_edited`` are then
+    n_tokens and n_chars), with a column of edits as :func:`count_tokens` takes. Only leaves that edits touch are encoded.
+    Rows without edits cost no Python and, without ``keep``, aren't read beyond their sums.
+    """
+    path = path or default_path()
+    has = F.coalesce(F.size(edits_col) > 0, F.lit(False))
+    some = trees.where(has).select(F.col(id_col).alias("id"), "n_tokens", "text", "lengths", "counts", F.col(edits_col).alias("edits"))
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enc = encoder(path)
+        for batch in batches:
+            out, kept = [], []
+            for before, text, lengths, counts, edits in zip(*(batch[c] for c in ("n_tokens", "text", "lengths", "counts", "edits")), strict=True):
+                ends = np.cumsum(lengths).tolist()
+                tree = PretokenTree([text[a:z] for a, z in zip([0, *ends], ends, strict=False)], list(map(int, counts)), enc)
+                n = _applied(tree, edits)
+                out.append((before, tree.n_tokens, tree.n_chars, n, tree.encoded))
+                if keep:
+                    own = [(leaf, c) for leaf, c in zip(tree.leaves, tree.counts(), strict=True) if leaf] or [("", 0)]
+                    kept.append((tree.text(), [len(leaf) for leaf, _ in own], [c for _, c in own]))
+            frame = pd.DataFrame(out, columns=[c.split()[0] for c in _COUNTS.split(", ")])
+            frame.insert(0, "id", _whole(batch["id"]).array)
+            if keep:
+                frame[["text", "lengths", "counts"]] = pd.DataFrame(kept, columns=["text", "lengths", "counts"])
+            yield frame
+
+    done = some.mapInPandas(work, _shape(some, _COUNTS + f", {_TREE}" * keep)).withColumnRenamed("id", id_col)
+    zero = F.lit(0).cast("long")
+    same = trees.where(~has).select(
+        id_col, "n_tokens", F.col("n_tokens").alias("n_tokens_edited"), F.col("n_chars").alias("n_chars_edited"),
+        zero.alias("n_edits"), zero.alias("n_chars_encoded"), *["text", "lengths", "counts"] * keep,
+    )
+    return done.unionByName(same)
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", edits_col: str = "edits", path: str | None = None) -> DataFrame:
-    """Token counts before and after edits.
+    """Token counts before and after edits, in one pass over texts whose trees aren't kept.
 
     ``docs`` has the id, ``text`` and ``edits_col``, an array of structs
     (start int, length int, new string) that apply one after another to the
     text as it then is, in characters. Null text is empty, null edits are none,
     a null part of an edit counts as 0 or the empty string, and places beyond the
-    text are cut to it. Returns (id, n_tokens, n_tokens_edited, n_chars_edited,
+    text are cut to it. Rows that repeat count each, an empty table gives no rows. Returns (id, n_tokens, n_tokens_edited, n_chars_edited,
     n_edits, n_chars_encoded), a row for each row; other columns are ignored.
     """
     path = path or default_path()
@@ -110,15 +228,11 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", edits_col: str = "edit
         for batch in batches:
             out = []
             for key, text, edits in zip(batch["id"].array, batch["text"], batch["edits"], strict=True):
-                tree = PretokenTree(text, enc)
-                before = tree.n_tokens
-                edits = [] if edits is None else [e for e in edits if e is not None]
-                for e in edits:
-                    tree.edit(int(e["start"] or 0), int(e["length"] or 0), e["new"] or "")
-                out.append((key, before, tree.n_tokens, tree.n_chars, len(edits), tree.encoded))
+                tree = PretokenTree.of_text(text, enc)
+                before, n = tree.n_tokens, _applied(tree, edits)
+                out.append((key, before, tree.n_tokens, tree.n_chars, n, tree.encoded))
             frame = pd.DataFrame(out, columns=["id", "n_tokens", "n_tokens_edited", "n_chars_edited", "n_edits", "n_chars_encoded"])
-            frame["id"] = frame["id"].astype("Int64") if batch["id"].dtype.kind in "iuf" else frame["id"]
-            yield frame
+            yield frame.assign(id=_whole(frame["id"]) if batch["id"].dtype.kind in "iuf" else frame["id"])
 
     kind = dict(rows.dtypes)["id"]
     return rows.mapInPandas(

@@ -300,7 +300,7 @@ def test_tokenizer_equals_the_library():
     for _ in range(1500):
         t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
         assert np.frombuffer(enc.ids(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
-        tree = token_counts.PretokenTree(t, enc)
+        tree = token_counts.PretokenTree.of_text(t, enc)
         for _ in range(3):
             s, n, new = rng.randint(0, len(t) + 1), rng.randint(0, 5), "".join(rng.choice(parts) for _ in range(rng.randint(0, 4)))
             at = min(s, len(t))
@@ -322,6 +322,37 @@ def test_token_counts(spark):
         want.append((str(key), enc.count(t), enc.count(new), len(new)))
     assert sorted((str(r.doc_id), *r[1:4]) for r in got) == sorted(want)
     assert {r.doc_id: r.n_chars_encoded for r in got}[50] < 60
+    assert token_counts.count_tokens(frame(spark, []).withColumn("edits", edit)).count() == 0
+
+
+def test_stored_trees_follow_batches_of_edits(spark):
+    """Trees are written once; later batches encode little, leave other rows alone, and agree with counting from scratch."""
+    rng = random.Random(81)
+    texts = {i: t or "" for i, (_, t) in enumerate(odd(rng))} | {100 + i: prose(rng, rng.randint(0, 400)) for i in range(30)}
+    docs = frame(spark, [(k, t or None) for k, t in texts.items()])
+    enc = tokenizer.encoder(tokenizer.default_path())
+    trees = token_counts.build(docs).cache()
+    assert {r.doc_id: (r.n_tokens, r.n_chars) for r in trees.collect()} == {k: (enc.count(t), len(t)) for k, t in texts.items()}
+    encoded = 0
+    for batch in range(3):
+        chosen = rng.sample(sorted(texts), 12)
+        plan = {k: [(rng.randint(0, len(texts[k]) + 2), rng.randint(0, 30), prose(rng, rng.choice((0, 1, 90)))) for _ in range(2)] for k in chosen}
+        for k, edits in plan.items():
+            for start, n, new in edits:
+                at = min(start, len(texts[k]))
+                texts[k] = texts[k][:at] + new + texts[k][at + n :]
+        given = spark.createDataFrame(list(plan.items()), "doc_id long, edits array<struct<start:int,length:int,new:string>>")
+        after = token_counts.edit(trees.join(given, "doc_id", "left")).cache()
+        got = {r.doc_id: r for r in after.collect()}
+        assert {k: (r.n_tokens_edited, r.n_chars_edited, r.text) for k, r in got.items()} == {k: (enc.count(t), len(t), t) for k, t in texts.items()}
+        assert {k for k, r in got.items() if r.n_chars_encoded} <= set(plan) and all(sum(r.lengths) == len(texts[k]) for k, r in got.items())
+        encoded = sum(r.n_chars_encoded for r in got.values()) - sum(len(new) for edits in plan.values() for _, _, new in edits)
+        # A leaf that an insertion filled is split again: no leaf of several runs outgrows the limit.
+        assert all(n <= token_counts.LEAF_CHARS or " " not in r.text[sum(r.lengths[:i]) + 1 :][: n - 1] for r in got.values() for i, n in enumerate(r.lengths) if n > 300)
+        trees = after.select("doc_id", F.col("n_tokens_edited").alias("n_tokens"), F.col("n_chars_edited").alias("n_chars"), "text", "lengths", "counts")
+    assert encoded < 0.2 * sum(map(len, texts.values()))
+    plan = token_counts.edit(docs.select("doc_id").limit(0).join(trees, "doc_id").withColumn("edits", F.lit(None).cast("array<struct<start:int,length:int,new:string>>")), keep=False)
+    assert plan.count() == 0
 
 
 def labelled(rng, n):
