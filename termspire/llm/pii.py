@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termspire.llm.common import table, text_of
+from termspire.llm.common import spread_join, table, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: Same leftmost matches as the plain forms, in linear time: possessive loops don't back off, and a match starts where its run
@@ -41,93 +43,129 @@ def _valid(kind: Column, value: Column) -> Column:
     )
 
 
+#: The last two words of what stands before a token, and the first two of what stands behind it, with the space around them.
+_TAIL = r"(?<!\S)(?:\S++\s++)?\S*+\s*+\z"
+_HEAD = r"^\s*+(?:\S++\s++)?\S*+"
+
+
+def _words(*parts: Column) -> Column:
+    return F.filter(F.split(F.lower(F.concat_ws(" ", *parts)), r"\s+"), lambda w: w != "")
+
+
 def matches(docs: DataFrame) -> DataFrame:
     """Every leftmost non-overlapping match of each kind, and every identifier-like token.
 
-    (id, th, kind, start, end, value, left): places in code points, end
-    exclusive; ``left`` is the last two words before a token. Texts are cut at the
+    (id, th, kind, start, end, value, left, right, near): places in code points, end
+    exclusive; ``left`` and ``right`` are the two whole words on each side of a token, whatever their length and whether they hold
+    digits themselves, ``near`` whether one space parts it from the token before. Texts are cut at the
     matches by the same pattern, so a place is the running length of what
     stands before it, summed over the rows of a text.
     """
-
-    def parts(k: int) -> Column:
-        pattern, need = (PATTERNS[k], NEEDS[k]) if k < OTHER else (TOKEN, "[0-9@]")
-        cut = F.zip_with(
-            F.split("text", pattern, -1),
-            F.regexp_extract_all("text", F.lit(pattern), F.lit(0)),
-            lambda p, m: F.struct(
-                F.lit(k).alias("kind"), F.length(p).alias("skip"), m.alias("value"),
-                (F.right(p, F.lit(80)) if k == OTHER else F.lit("")).alias("before"),
-            ),
+    none = F.lit(None).cast("string")
+
+    def cut(pattern: str) -> Column:
+        pieces = F.struct(F.split("text", pattern, -1).alias("p"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("m"))
+        return F.explode(F.array(pieces)).alias("c")
+
+    def plain(k: int) -> DataFrame:
+        found = F.transform("c.m", lambda m, i: F.struct(
+            F.lit(k).alias("kind"), i.alias("i"), F.length(F.get("c.p", i)).alias("skip"), m.alias("value"),
+            none.alias("left"), none.alias("right"), F.lit(False).alias("near"),
+        ))
+        return docs.where(F.col("text").rlike(NEEDS[k])).select("id", "th", cut(PATTERNS[k])).select("id", "th", F.inline(found))
+
+    p, m = (lambda i: F.get("c.p", i)), (lambda i: F.get("c.m", i))
+    tail, head = (lambda x: F.regexp_extract(x, _TAIL, 0)), (lambda x: F.regexp_extract(x, _HEAD, 0))
+
+    def around(value: Column, i: Column) -> Column:
+        before = _words(m(i - 2), tail(p(i - 1)), m(i - 1), tail(p(i)))
+        after = _words(head(p(i + 1)), m(i + 1), head(p(i + 2)), m(i + 2))
+        return F.struct(
+            F.lit(OTHER).alias("kind"), i.alias("i"), F.length(p(i)).alias("skip"), value.alias("value"),
+            F.array_join(F.slice(before, F.greatest(F.size(before) - 1, F.lit(1)), 2), " ").alias("left"),
+            F.array_join(F.slice(after, 1, 2), " ").alias("right"), (p(i) == " ").alias("near"),
         )
-        return F.when(F.col("text").rlike(need), F.transform(cut, lambda x, i: F.struct(i.alias("i"), x.alias("x"))))
-
-    none = F.array().cast("array<struct<i:int,x:struct<kind:int,skip:int,value:string,before:string>>>")
-    rows = docs.select("id", "th", F.explode(F.array(*(F.coalesce(parts(k), none) for k in range(OTHER + 1)))).alias("m"))
-    rows = rows.select("id", "th", F.inline("m")).where("x.value is not null")
-    words = F.filter(F.split(F.lower("x.before"), r"\s+"), lambda w: w != "")
-    rows = table(
-        rows.select("id", "th", "x.kind", "i", "x.skip", "x.value", F.array_join(F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), 2), " ").alias("left")),
-        "matches",
-    ).dropDuplicates(["id", "th", "kind", "i"])
+
+    tokens = docs.where(F.col("text").rlike("[0-9@]")).select("id", "th", cut(TOKEN)).select("id", "th", F.inline(F.transform("c.m", around)))
+    rows = reduce(DataFrame.unionByName, [*map(plain, range(OTHER)), tokens])
+    rows = table(rows, "matches").dropDuplicates(["id", "th", "kind", "i"])
     upto = Window.partitionBy("id", "th", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("skip") + F.length("value")).over(upto)
     return rows.withColumn("end", end).withColumn("start", F.col("end") - F.length("value")).drop("i", "skip")
 
 
-def discover(
-    spans: DataFrame, rounds: int = 3, min_support: int = 3, min_confidence: float = 0.75
-) -> DataFrame:
-    """Further spans (id, th, kind, start, end) that contexts of seed entities point at.
-
-    ``spans`` are :func:`matches` without failing base ones. Tokens at whose place
-    a base span starts are seeds of its kind; other tokens are candidates if they touch
-    no base span and have four digits or an at sign. A lexical pattern is the two
-    words before a token. A pattern's confidence for a kind is the mean score of
-    its distinct instances, an instance's score the best confidence among patterns
-    with at least ``min_support`` distinct seeds; seeds keep 1. Scores pass between
-    patterns and instances ``rounds`` times, each a pair of aggregates.
+def instances(spans: DataFrame) -> DataFrame:
+    """(id, th, start, end, value, seed, left, right): entities and what might be some, with the words around them.
+
+    ``spans`` are :func:`matches` without failing base ones. A base span is a seed of its kind; the words before the token that
+    it starts in and behind the one that it ends in are its context. Tokens that no base span touches and that single
+    spaces join are one candidate, which needs four digits or an at sign.
     """
     text = Window.partitionBy("id", "th")
-    seen = text.orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
-    ahead = text.orderBy("start").rangeBetween(0, Window.unboundedFollowing)
     base = F.col("kind") < OTHER
-    rows = spans.withColumn("covered", F.max(F.when(base, F.col("end"))).over(seen)).withColumn(
-        "next", F.min(F.when(base, F.struct("start", "kind", "value"))).over(ahead)
-    )
-    lead = F.length(F.regexp_extract("value", r"^[^\p{L}\p{N}+(]*", 0))
-    bare = F.regexp_replace("value", r"^[^\p{L}\p{N}+(]+|[^\p{L}\p{N})]+$", "")
-    rows = rows.where(~base).select(
-        "id", "th", "left",
-        # A seed stands for its whole entity, which may go on beyond the token.
-        F.lower(F.when(F.col("next.start") < F.col("end"), F.col("next.value")).otherwise(bare)).alias("value"),
-        (F.col("start") + lead).alias("start"),
-        (F.col("start") + lead + F.length(bare)).alias("end"),
-        F.when(F.col("next.start") < F.col("end"), F.col("next.kind")).alias("seed"),
-        (F.coalesce(F.col("covered") > F.col("start"), F.lit(False)) | F.coalesce(F.col("next.start") < F.col("end"), F.lit(False))).alias("touched"),
+    token = lambda c: F.last(F.when(~base, F.col(c)), ignorenulls=True)
+    upto = lambda *order: text.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = spans.withColumn("rank", F.when(base, 1).otherwise(0)).withColumn("at", F.when(base, F.col("end") - 1).otherwise(F.col("start")))
+    rows = rows.withColumn("before", token("left").over(upto("start", "rank"))).withColumn("behind", token("right").over(upto("at", "rank")))
+    ahead = text.orderBy("start").rangeBetween(0, Window.unboundedFollowing)
+    rows = rows.withColumn("covered", F.max(F.when(base, F.col("end"))).over(text.orderBy("start").rangeBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("next", F.min(F.when(base, F.col("start"))).over(ahead))
+    seeds = rows.where(base).select("id", "th", "start", "end", F.lower("value").alias("value"), F.col("kind").alias("seed"), F.col("before").alias("left"), F.col("behind").alias("right"))
+    free = ~(F.coalesce(F.col("covered") > F.col("start"), F.lit(False)) | F.coalesce(F.col("next") < F.col("end"), F.lit(False)))
+    tokens = rows.where(~base).withColumn("free", free)
+    order = text.orderBy("start")
+    joined = F.col("free") & F.col("near") & F.coalesce(F.lag("free").over(order), F.lit(False))
+    tokens = tokens.withColumn("new", F.when(joined, 0).otherwise(1))
+    tokens = tokens.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("free")
+    runs = tokens.groupBy("id", "th", "run").agg(
+        F.min("start").alias("first"), F.min_by("left", "start").alias("left"), F.max_by("right", "start").alias("right"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "value"))), lambda x: x["value"]), " ").alias("whole"),
     )
-    like = (F.regexp_count("value", F.lit("[0-9]")) >= 4) | F.col("value").contains("@")
-    rows = table(rows.where("left <> '' and value <> ''").where(F.col("seed").isNotNull() | (~F.col("touched") & like)), "contexts")
+    lead = F.length(F.regexp_extract("whole", r"^[^\p{L}\p{N}+(]*+", 0))
+    bare = F.regexp_replace(F.regexp_replace("whole", r"^[^\p{L}\p{N}+(]++", ""), r"(?<![^\p{L}\p{N})])[^\p{L}\p{N})]++\z", "")
+    runs = runs.withColumn("bare", bare).withColumn("start", F.col("first") + lead)
+    like = (F.regexp_count("bare", F.lit("[0-9]")) >= 4) | F.col("bare").contains("@")
+    runs = runs.where(like).select(
+        "id", "th", "start", (F.col("start") + F.length("bare")).alias("end"), F.lower("bare").alias("value"), F.lit(None).cast("int").alias("seed"), "left", "right"
+    )
+    return seeds.unionByName(runs)
+
+
+def discover(
+    spans: DataFrame, rounds: int = 3, min_support: int = 3, min_confidence: float = 0.75
+) -> DataFrame:
+    """Further spans (id, th, kind, start, end) that contexts of entities point at.
+
+    A lexical pattern is the two words before an instance, or the two behind it; the graph has each distinct
+    pair of pattern and value. Seeds score 1. In each of ``rounds`` rounds a pattern's support for a kind is the number
+    of its values that score ``min_confidence`` or more, whether seeds or found in a round before, and its confidence
+    the sum of these scores over all of its values; with ``min_support`` and ``min_confidence`` it is trusted,
+    and its values score the best confidence of the patterns that they stand in. So found identifiers induce
+    patterns of the next round, which find more. Every round is a few aggregates and joins over the graph; common patterns
+    and values are joined by :func:`spread_join`. Candidates in a trusted pattern are the spans found.
+    """
+    rows = table(instances(spans), "contexts")
+    sided = F.array(F.struct(F.lit("<").alias("side"), F.col("left").alias("words")), F.struct(F.lit(">").alias("side"), F.col("right").alias("words")))
+    placed = rows.where("value <> ''").select("*", F.explode(sided).alias("c")).where("c.words <> ''").withColumn("pattern", F.concat("c.side", "c.words"))
     # Distinct pairs carry the graph; repeated text adds nothing to it.
-    graph = table(rows.groupBy("left", "value").agg(F.max("seed").alias("seed")), "graph")
+    graph = table(placed.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "graph")
     seeds = graph.groupBy("value").agg(F.max("seed").alias("kind")).where("kind is not null").withColumn("score", F.lit(1.0))
-    strong = graph.join(seeds, "value").groupBy("left", "kind").agg(F.count("*").alias("support")).where(F.col("support") >= min_support)
-    # Only patterns that seeds support can ever score; the rest of the graph stays out.
-    graph = table(graph.join(strong.select("left").distinct(), "left", "left_semi"), "graph")
-    sizes = graph.groupBy("left").agg(F.count("*").alias("size"))
-    scores = seeds
+    # A pattern of fewer values than the support can't be trusted; its pairs stay out.
+    sizes = table(graph.groupBy("pattern").agg(F.count("*").alias("size")).where(F.col("size") >= min_support), "sizes")
+    graph = table(spread_join(graph, sizes, "pattern").select("pattern", "value", "size"), "graph")
+    scores, trust = table(seeds, "scores"), None
     for _ in range(rounds):
-        trust = (
-            graph.join(scores, "value")
-            .groupBy("left", "kind").agg(F.sum("score").alias("mass"))
-            .join(sizes, "left").join(strong, ["left", "kind"])
-            .select("left", "kind", (F.col("mass") / F.col("size")).alias("confidence"))
-            .where(F.col("confidence") >= min_confidence)
-        )
-        found = graph.join(trust, "left").groupBy("value", "kind").agg(F.max("confidence").alias("score"))
-        scores = table(found.unionByName(seeds).groupBy("value", "kind").agg(F.max("score").alias("score")), "scores")
-    best = trust.groupBy("left").agg(F.max(F.struct("confidence", -F.col("kind"))).alias("b")).select("left", (-F.col("b.col2")).alias("kind"))
-    return rows.where("seed is null").join(best, "left").select("id", "th", "kind", "start", "end")
+        known = spread_join(graph, scores.where(F.col("score") >= min_confidence), "value")
+        mass = known.groupBy("pattern", "kind").agg(F.count("*").alias("support"), F.sum("score").alias("mass"), F.max("size").alias("size"))
+        mass = mass.withColumn("confidence", F.col("mass") / F.col("size")).where((F.col("support") >= min_support) & (F.col("confidence") >= min_confidence))
+        best = mass.groupBy("pattern").agg(F.max(F.struct("confidence", -F.col("kind"))).alias("b"))
+        trust = table(best.select("pattern", F.col("b.confidence").alias("confidence"), (-F.col("b.col2")).alias("kind")), "patterns")
+        found = spread_join(graph, trust, "pattern").groupBy("value").agg(F.max(F.struct(F.col("confidence").alias("score"), -F.col("kind"))).alias("b"))
+        found = found.select("value", (-F.col("b.col2")).alias("kind"), "b.score").join(seeds.select("value"), "value", "left_anti")
+        scores = table(seeds.unionByName(found.select("value", "kind", "score")), "scores")
+    open_ = table(placed.where("seed is null").select("id", "th", "start", "end", "pattern"), "candidates")
+    hits = spread_join(open_, trust, "pattern").groupBy("id", "th", "start", "end").agg(F.max(F.struct("confidence", -F.col("kind"))).alias("b"))
+    return hits.select("id", "th", (-F.col("b.col2")).alias("kind"), "start", "end")
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", min_support: int = 3, min_confidence: float = 0.75) -> DataFrame:
@@ -136,7 +174,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", min_support: int = 3, min_
     The counts and ``base_spans`` are those of the fixed patterns after validation;
     ``spans`` adds what :func:`discover` finds. Both are arrays of (kind number,
     start, end), sorted. Null text is empty and has no spans; rows that repeat id and
-    text get the same; null ids are ids like any other; other columns are ignored.
+    text get the same; null ids are ids like any other; other columns are ignored; an empty table gives no rows. A very long text is
+    searched whole, by patterns that take linear time.
     """
     rows = docs.select(F.col(id_col).alias("id"), text_of().alias("text")).withColumn("th", F.xxhash64("text"))
     found = matches(rows.where("text rlike '[0-9@+]'"))

@@ -65,6 +65,7 @@ def op10_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *(f"n_{k}" for k in pii.KINDS),
         F.sha2(pii.spans_text("base_spans"), 256).alias("base_sha256"), pii.spans_text("spans").alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 

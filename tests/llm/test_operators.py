@@ -721,12 +721,111 @@ def test_pii_zero_octets(spark):
 
 def test_pii_contexts(spark):
     rows = [(i, f"Please call me +1 555 010 {1000 + i} today") for i in range(9)]
-    rows += [(50, "so call me 555-0199-22, or not"), (51, "invoice total 555-0199-23"), (52, "the year of 19992")]
+    rows += [(50, "so call me 555-0199-22, or not"), (51, "invoice total 555-0199-23"), (52, "the year of 19992"), (53, "do call me (555) 010-2000 or 7 times")]
     got = {r.doc_id: r for r in pii.find_pii(frame(spark, rows)).collect()}
     assert [(s.kind, s.start, s.end) for s in got[50].spans] == [(3, 11, 22)] and got[50].n_phone == 0
+    assert [(s.kind, s.start, s.end) for s in got[53].spans] == [(3, 11, 25)]
     assert got[51].spans == [] and got[52].spans == [] and len(got[0].spans) == 1
 
 
+def test_pii_found_entities_induce_patterns(spark):
+    """Identifiers found by seeds' contexts stand in another context, which finds further ones in the next round."""
+    rows = [(i, f"please dial number +1 555 010 {1000 + i} soon") for i in range(20)]
+    rows += [(100 + i, f"we dial number 77-{3000 + i} soon") for i in range(4)]  # by the first pattern
+    rows += [(200 + i, f"reference of person: 77-{3000 + i} end of record") for i in range(4)]  # the same ones elsewhere
+    rows += [(300, "another, reference of person: 88-9999 end"), (301, "nothing about 88-9998 here")]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.find_pii(frame(spark, rows)).collect()}
+    assert got[100] == [(3, 15, 22)] and got[200] == [(3, 21, 28)] and got[300] == [(3, 30, 37)] and got[301] == []
+    one = pii.matches(frame(spark, rows).selectExpr("doc_id as id", "text", "xxhash64(text) as th"))
+    first = {r.id for r in pii.discover(one.where(pii._valid(F.col("kind"), F.col("value"))), rounds=1).collect()}
+    assert 100 in first and 300 not in first
+
+
+def plain_spans(rows, rounds=3, support=3, confidence=0.75):
+    """All spans of each row, by loops over texts, tokens and pairs."""
+    items = []
+    for key, text in rows:
+        text = text or ""
+        base = [(k, m.start(), m.end()) for k, p in enumerate(PLAIN) for m in re.finditer(p, text) if good(k, m.group())]
+        words = [(m.start(), m.end()) for m in re.finditer(r"[^ \t\n\x0b\f\r]+", text)]
+        marked = [w for w in words if re.search("[0-9@]", text[w[0] : w[1]])]
+        at = {w: i for i, w in enumerate(words)}
+        left = lambda w, words=words, at=at, text=text: " ".join(text[a:z].lower() for a, z in words[max(0, at[w] - 2) : at[w]])
+        right = lambda w, words=words, at=at, text=text: " ".join(text[a:z].lower() for a, z in words[at[w] + 1 : at[w] + 3])
+        for k, a, z in base:
+            first, last = max(w for w in marked if w[0] <= a), max(w for w in marked if w[0] <= z - 1)
+            items.append((key, a, z, text[a:z].lower(), k, left(first), right(last)))
+        runs = []
+        for w in marked:
+            if any(a < w[1] and z > w[0] for _, a, z in base):
+                continue
+            if runs and text[runs[-1][-1][1] : w[0]] == " ":
+                runs[-1].append(w)
+            else:
+                runs.append([w])
+        for run in runs:
+            a, whole = run[0][0], text[run[0][0] : run[-1][1]]
+            ok = lambda c, more: c.isalnum() or c in more
+            while whole and not ok(whole[0], "+("):
+                a, whole = a + 1, whole[1:]
+            while whole and not ok(whole[-1], ")"):
+                whole = whole[:-1]
+            if len(re.findall("[0-9]", whole)) >= 4 or "@" in whole:
+                items.append((key, a, a + len(whole), whole.lower(), None, left(run[0]), right(run[-1])))
+    pairs, seeds = {}, {}
+    for _, _, _, value, seed, l, r in items:
+        for pattern in ("<" + l, ">" + r):
+            if value and len(pattern) > 1:
+                pairs.setdefault(pattern, set()).add(value)
+                if seed is not None:
+                    seeds[value] = max(seed, seeds.get(value, 0))
+    scores, trust = {v: (k, 1.0) for v, k in seeds.items()}, {}
+    for _ in range(rounds):
+        trust = {}
+        for pattern, values in pairs.items():
+            best = []
+            for kind in range(4):
+                own = [scores[v][1] for v in values if v in scores and scores[v][0] == kind and scores[v][1] >= confidence]
+                if len(own) >= support and sum(own) / len(values) >= confidence:
+                    best.append((sum(own) / len(values), -kind))
+            if best:
+                trust[pattern] = max(best)
+        scores = {v: (k, 1.0) for v, k in seeds.items()}
+        for pattern, (c, k) in trust.items():
+            for v in pairs[pattern] - set(seeds):
+                old = scores.get(v)
+                scores[v] = max([(c, k)] + ([(old[1], -old[0])] if old else []))[::-1]
+                scores[v] = (-scores[v][0], scores[v][1])
+    out = {}
+    for key, a, z, _, seed, l, r in items:
+        if seed is not None:
+            out.setdefault(key, set()).add((seed, a, z))
+        elif best := [trust[p] for p in ("<" + l, ">" + r) if p in trust and len(p) > 1]:
+            out.setdefault(key, set()).add((-max(best)[1], a, z))
+    return {key: sorted(out.get(key, ())) for key, _ in rows}
+
+
+def test_pii_spans_equal_brute_force(spark):
+    rng = random.Random(91)
+    lead, trail = ["call me", "mail to", "at host", "ref no", "x " * 3 + "é", "y" * 200 + " z", "12 34"], ["now", "or later", "\n", ", please", "5 6", ""]
+    entity = [
+        lambda: f"+1 555 010 {rng.randint(1000, 1200)}", lambda: f"a{rng.randint(0, 90)}@b.example", lambda: f"10.0.{rng.randint(0, 90)}.7",
+        lambda: f"({rng.randint(200, 202)}) 010-{rng.randint(2000, 2002)},", lambda: f"77-{rng.randint(1000, 1005)}", lambda: f"id@{rng.randint(1, 9)}", lambda: str(rng.randint(1, 99)),
+    ]
+    rows = []
+    for i in range(500):
+        k = rng.randrange(7) if rng.random() < 0.25 else rng.choice([(0, 0), (1, 1), (2, 2), (0, 3), (0, 4), (3, 4), (1, 5)])
+        a, e = (k, k) if isinstance(k, int) else k
+        text = " ".join(f"{rng.choice(VOCAB)} {lead[a]} {entity[e]()} {rng.choice(trail)}" for _ in range(rng.randint(1, 3)))
+        rows.append((i, text))
+    rows += [(900, None), (901, ""), (902, "9" * 5000 + " call me"), (903, "call me " + "1 " * 3000)]
+    want = plain_spans(rows)
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.find_pii(frame(spark, rows)).collect()}
+    base = {r.doc_id: len(r.base_spans) for r in pii.find_pii(frame(spark, rows)).collect()}
+    assert sum(len(v) - base[k] for k, v in got.items()) > 40
+    assert got == want
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
