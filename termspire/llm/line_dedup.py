@@ -5,21 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termspire.llm.common import table, text_of
+from termspire.llm.common import spread_join, table, text_of
 from termspire.llm.mixing import WORDS
 
 #: A run of lines counts as repeated from this number of words.
 MIN_WORDS = 50
 
 
-def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The shortest runs of at least ``min_words`` words from each line on, and back from each line.
+def lines_of(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, th, pos, n, from, upto, h, g, anchor, anchor_at): the lines with words, their places in words, two hashes, and fingerprints.
 
-    Any run of lines that repeats and holds that many words contains, for each
-    of its lines, one of these windows around it, and the window stands in both
-    places. Its fingerprint is the least of its line hashes, so equal windows
-    have equal fingerprints wherever they stand. Returns (id, th, anchor,
-    anchor_at, w1, w2, n, start, end); w1 and w2 make a 128-bit hash of the lines.
+    Winnowing: of each shortest run of at least ``min_words`` words from a line on, the line with the least hash is its
+    fingerprint. Runs that follow each other mostly choose the same line, and the chosen places never go back, so a
+    fingerprint stands in one row, at the first run that chooses it, and other rows have none.
     """
     lines = (
         docs.select("id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
@@ -34,42 +32,62 @@ def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = lines.withColumn("upto", F.sum("n").over(text.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
     lines = lines.withColumn("from", F.col("upto") - F.col("n"))
     ahead = text.orderBy("from").rangeBetween(0, min_words - 1)
+    chosen = F.when(F.sum("n").over(ahead) >= min_words, F.min(F.struct("h", "pos")).over(ahead))
+    lines = lines.withColumn("a", chosen).withColumn("b", F.lag("a").over(text.orderBy("from")))
+    new = F.col("b").isNull() | (F.col("a.pos") != F.col("b.pos"))
+    return lines.select("id", "th", "pos", "n", "from", "upto", "h", "g", F.when(new, F.col("a.h")).alias("anchor"), F.when(new, F.col("a.pos")).alias("anchor_at"))
+
+
+def windows_around(lines: DataFrame, marks: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, th, k, start, end): the shortest runs of at least ``min_words`` words, from a line on or back from one, that hold a mark (id, th, pos).
+
+    ``k`` is a 128-bit hash of the run's lines and their words. Lines too far from a mark for such a run are left out before
+    anything of a run is hashed; a run that would have to bridge them is none.
+    """
+    text = Window.partitionBy("id", "th")
+    rows = lines.select("id", "th", "pos", "n", "from", "upto", "h", "g", F.lit(0).alias("hot"))
+    rows = rows.unionByName(marks.select("id", "th", "pos", F.lit(1).alias("hot")), allowMissingColumns=True)
+    # A mark meets its line as a peer in the order, so both tables take one shuffle.
+    rows = rows.withColumn("hot", F.max("hot").over(text.orderBy("pos").rangeBetween(0, 0))).where("n is not null")
+    near = lambda c: F.max("hot").over(text.orderBy(c).rangeBetween(1 - min_words, min_words - 1)) > 0
+    rows = rows.withColumn("close", near("from") | near("upto")).where("close")
+    ahead = text.orderBy("from").rangeBetween(0, min_words - 1)
     back = text.orderBy("upto").rangeBetween(1 - min_words, 0)
 
     def run(w):
         return F.struct(
-            F.min(F.struct("h", "pos")).over(w).alias("a"),
-            F.collect_list("h").over(w).alias("h"),
-            F.collect_list("g").over(w).alias("g"),
-            F.sum("n").over(w).alias("n"),
-            F.min("pos").over(w).alias("start"),
-            F.max("pos").over(w).alias("end"),
-        )
-
-    both = lines.select("id", "th", F.col("n").alias("own"), run(ahead).alias("f"), run(back).alias("b"))
-    # A backward window that wouldn't do without its last line is also a forward one.
-    extra = (F.col("b.n") >= min_words) & (F.col("b.n") - F.col("own") >= min_words)
-    kept = F.filter(
-        F.array(F.when(F.col("f.n") >= min_words, F.col("f")), F.when(extra, F.col("b"))), lambda x: x.isNotNull()
-    )
+            F.collect_list("h").over(w).alias("h"), F.collect_list("g").over(w).alias("g"), F.sum("n").over(w).alias("n"), F.sum("hot").over(w).alias("hot"),
+            F.min("pos").over(w).alias("start"), F.max("pos").over(w).alias("end"), F.min("from").over(w).alias("from"), F.max("upto").over(w).alias("upto"),
+        )
+
+    both = rows.select("id", "th", F.col("n").alias("own"), run(ahead).alias("f"), run(back).alias("b"))
+    whole = lambda x: (x["n"] >= min_words) & (x["hot"] > 0) & (x["upto"] - x["from"] == x["n"])
+    # A backward run that wouldn't do without its last line is also a forward one.
+    extra = F.col("b.n") - F.col("own") >= min_words
+    kept = F.filter(F.array(F.when(whole(F.col("f")), F.col("f")), F.when(whole(F.col("b")) & extra, F.col("b"))), lambda x: x.isNotNull())
     return both.select("id", "th", F.explode(kept).alias("w")).select(
-        "id", "th",
-        F.col("w.a.h").alias("anchor"), F.col("w.a.pos").alias("anchor_at"),
-        F.xxhash64("w.h").alias("w1"), F.xxhash64(F.lit(1), "w.g").alias("w2"),
-        F.col("w.n").alias("n"), F.col("w.start").alias("start"), F.col("w.end").alias("end"),
+        "id", "th", F.struct(F.xxhash64("w.h").alias("w1"), F.xxhash64(F.lit(1), "w.g").alias("w2"), F.col("w.n").alias("n")).alias("k"),
+        F.col("w.start").alias("start"), F.col("w.end").alias("end"),
     )
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, th, start, end): runs that stand earlier in the order of id, text hash and line."""
-    all_windows = table(windows(docs, min_words), "windows")
-    place = F.struct(F.col("id").isNull().alias("z"), "id", "th", F.col("anchor_at").alias("at"))
-    prints = all_windows.groupBy("anchor").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a <> z").select("anchor")
-    joined = all_windows.join(prints, "anchor", "left_semi").withColumn(
-        "place", F.struct(F.col("id").isNull().alias("z"), "id", "th", F.col("start").alias("at"))
-    )
-    first = joined.groupBy("w1", "w2", "n").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last")
-    return joined.join(first, ["w1", "w2", "n"]).where("place > first").select("id", "th", "start", "end")
+    """(id, th, start, end): runs that stand earlier in the order of id, text hash and line.
+
+    Fingerprints that stand in one place only are dropped: a run of lines that repeats and holds ``min_words`` words chooses the
+    same fingerprint, at the same line of it, wherever it stands. From the others matches are extended both ways: each
+    shortest run around a fingerprint that also stands earlier is part of the match, and each of them reaches a line
+    further than the one before, up to the first that stands nowhere earlier. Occurrences meet in aggregates and go back to their first
+    place by :func:`spread_join`, never to each other, so a common line or run is not gathered.
+    """
+    lines = table(lines_of(docs, min_words), "lines")
+    place = lambda at: F.struct(F.col("id").isNull().alias("z"), "id", "th", F.col(at).alias("at"))
+    prints = lines.where("anchor_at is not null").select("id", "th", "anchor", "anchor_at")
+    twice = prints.groupBy("anchor").agg(F.min(place("anchor_at")).alias("a"), F.max(place("anchor_at")).alias("z")).where("a <> z").select("anchor")
+    marks = table(spread_join(prints, twice, "anchor", "left_semi").select("id", "th", F.col("anchor_at").alias("pos")), "fingerprints")
+    runs = table(windows_around(lines, marks, min_words).withColumn("place", place("start")), "windows")
+    first = runs.groupBy("k").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last").select("k", "first")
+    return spread_join(runs, first, "k").where("place > first").select("id", "th", "start", "end")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
@@ -84,8 +102,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", min_words: int = MIN_WO
     one and change alike; null text stays null with 0 lines. Columns of other
     names pass through; the names n_lines and n_removed are replaced.
 
-    Windows and fingerprints are linear in the lines; occurrences meet in
-    aggregates and are joined to their first place only, never to each other.
+    Lines, fingerprints and runs are linear in the input (:func:`repeated_runs`). A very long text is as many lines; its runs are
+    short. An empty table gives no rows.
     """
     extra = [c for c in docs.columns if c not in (id_col, "text", "n_lines", "n_removed")]
     names = [id_col, "text", *extra]
@@ -148,7 +166,7 @@ def repeated_words(docs: DataFrame, copies: DataFrame, min_words: int = MIN_WORD
     other = F.col("id").eqNullSafe(F.col("gid")) & (F.col("th") == F.col("gth"))
     prints = table(fingerprints(docs, min_words).join(copies, other, "left_anti"), "fingerprints")
     hot = prints.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g")
-    hot = prints.join(hot, "g", "left_semi").groupBy("id", "th").agg(F.collect_set("at").alias("ats")).toDF("hid", "hth", "ats")
+    hot = spread_join(prints, hot, "g", "left_semi").groupBy("id", "th").agg(F.collect_set("at").alias("ats")).toDF("hid", "hth", "ats")
     near = docs.join(hot, F.col("id").eqNullSafe(F.col("hid")) & (F.col("th") == F.col("hth")))
     near = _hashed(near, "ats")
     last = F.size("ws") - (min_words - 1)

@@ -112,7 +112,8 @@ def repeats(found: list[tuple[int, ...]], counts: dict[int, int], max_len: int,
 def solve(counts: dict[int, int], max_len: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of lengths and how many sequences follow each; all of ``counts`` is used.
 
-    Fitted repeats are rounded and held to what is there; what they leave over
+    Fitted repeats are rounded and held to what is there. Patterns that don't fill ``max_len`` keep their part of the fit, so that the
+    others aren't repeated too often, but make no sequences: best fit uses the room that they would waste. What is left over
     is packed by best fit, longest first, on counts instead of single pieces.
     """
     left = {n: c for n, c in counts.items() if c > 0}
@@ -121,7 +122,7 @@ def solve(counts: dict[int, int], max_len: int) -> list[tuple[tuple[int, ...], i
     x = repeats(found, left, max_len)
     full = np.array([sum(p) for p in found]) if found else np.zeros(0)
     for i in np.lexsort((-x, -full)):
-        # Loose patterns waste room that best fit can use.
+        # Of a fit's mass on sf0.01 a third is in loose patterns; their pieces go to best fit.
         if full[i] < max_len:
             break
         need = {n: found[i].count(n) for n in found[i]}
@@ -208,6 +209,10 @@ def pack(pieces: DataFrame, max_len: int = 1024, keys: tuple[str, ...] = ("doc_i
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", path: str | None = None, max_len: int = 1024, end_id: int = 2) -> DataFrame:
-    """All documents as packed pieces; nulls, empty texts and repeated rows are documents like any other."""
+    """All documents as packed pieces; nulls, empty texts and repeated rows are documents like any other.
+
+    A very long text is many pieces; ties of equal lengths are ranked by hash and keys; an empty table gives no rows; columns of
+    other names are ignored.
+    """
     cut = tokenize(docs, id_col, path, max_len, end_id)
     return pack(cut, max_len, (id_col, "piece", "start", "ids_crc32"))

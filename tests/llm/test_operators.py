@@ -309,6 +309,19 @@ def test_tokenizer_equals_the_library():
             assert tree.text() == t and tree.n_tokens == len(lib.encode(t, add_special_tokens=False).ids)
 
 
+def test_ids_of_whole_tables_equal_the_library(spark):
+    """Every document, page and conversation turn of the smallest tables."""
+    from tokenizers import Tokenizer
+
+    enc, lib = tokenizer.encoder(tokenizer.default_path()), Tokenizer.from_file(tokenizer.default_path())
+    lib.encode_special_tokens = True
+    for name, column in (("documents", "text"), ("pages", "html"), ("conversations", "text")):
+        texts = [r[0] or "" for r in spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").select(column).collect()]
+        want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+        assert [np.frombuffer(enc.ids(t), "<u4").tolist() for t in texts] == want
+        assert [enc.count(t) for t in texts] == list(map(len, want))
+
+
 def test_token_counts(spark):
     rng = random.Random(8)
     rows = odd(rng) + [(50, prose(rng, 200))]
