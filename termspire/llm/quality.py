@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -243,6 +244,35 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
     return train(base, size, got["n"].to_numpy(), (y > 0).astype(int), weight / weight.mean())
 
 
+def _scores(raw: list[bytes], model: Model | Prior) -> np.ndarray:
+    """A score for each text, GROUP bytes at a time."""
+    scores = np.full(len(raw), model.value if isinstance(model, Prior) else 0.0)
+    if isinstance(model, Prior):
+        return scores
+    start, size = 0, 0
+    for i, t in enumerate(raw):
+        size += len(t) + 1
+        if size >= GROUP or i == len(raw) - 1:
+            scores[start : i + 1] = model.score(model.share(*describe(raw[start : i + 1])))
+            start, size = i + 1, 0
+    return scores
+
+
+def keep_good(docs: DataFrame, model: Model | Prior, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, each judged by its own text, with all of their columns as they are.
+
+    Rows go through once, in Arrow batches, without a shuffle. Null text is empty; a :class:`Prior` keeps all rows or none.
+    """
+    at = docs.columns.index(text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [(t or "").encode() for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(_scores(raw, model) >= threshold, pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def score(docs: DataFrame, model: Model | Prior, id_col: str = "doc_id") -> DataFrame:
     """(id, held_out, score, predicted) of every row, from its whole text alone.
 
@@ -253,13 +283,7 @@ def score(docs: DataFrame, model: Model | Prior, id_col: str = "doc_id") -> Data
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             raw = batch["t"].map(bytes).tolist()
-            scores = np.full(len(raw), model.value if isinstance(model, Prior) else 0.0)
-            start, size = 0, 0
-            for i, t in enumerate(raw):
-                size += len(t) + 1
-                if not isinstance(model, Prior) and (size >= GROUP or i == len(raw) - 1):
-                    scores[start : i + 1] = model.score(model.share(*describe(raw[start : i + 1])))
-                    start, size = i + 1, 0
+            scores = _scores(raw, model)
             out = batch[["id", "held_out"]].assign(score=scores, predicted=(scores >= THRESHOLD).astype("int32"))
             if out["id"].dtype.kind == "f":
                 out["id"] = out["id"].astype("Int64")

@@ -90,17 +90,8 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
-def test_passages(spark):
-    rng = random.Random(21)
-    source = [prose(rng, 200).split() for _ in range(4)]
-    rows = []
-    for i in range(10, 60):
-        w = []
-        for _ in range(rng.randint(1, 4)):
-            a, n = rng.randint(0, 150), rng.choice((20, 49, 50, 51, 80))
-            w += prose(rng, rng.randint(0, 30)).split() + rng.choice(source)[a : a + n]
-        rows.append((i, rng.choice(("", " ", "\n")) + "".join(x + rng.choice((" ", " ", "  ", "\n", " \n\n")) for x in w)))
-    rows += odd(rng) + [(99, rows[3][1]), (5, rows[3][1]), (None, rows[4][1]), (98, " ".join(source[0] + source[0]))]
+def plain_passages(rows):
+    """(text, words, removed words) of each (id, text), by a set of all runs of 50 words that were seen."""
     seen, want = set(), {}
     for key, text in sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is None, r[0] or 0)):
         own = [(m.start(), m.end()) for m in re.finditer(mixing.WORDS, text)]
@@ -118,6 +109,21 @@ def test_passages(spark):
                     white = "" if last is None else "\n" if "\n" in white else " "
                 fresh, last = fresh + white + text[a:b], i
         want[key, text] = (fresh if gone else text, len(words), len(gone))
+    return want
+
+
+def test_passages(spark):
+    rng = random.Random(21)
+    source = [prose(rng, 200).split() for _ in range(4)]
+    rows = []
+    for i in range(10, 60):
+        w = []
+        for _ in range(rng.randint(1, 4)):
+            a, n = rng.randint(0, 150), rng.choice((20, 49, 50, 51, 80))
+            w += prose(rng, rng.randint(0, 30)).split() + rng.choice(source)[a : a + n]
+        rows.append((i, rng.choice(("", " ", "\n")) + "".join(x + rng.choice((" ", " ", "  ", "\n", " \n\n")) for x in w)))
+    rows += odd(rng) + [(99, rows[3][1]), (5, rows[3][1]), (None, rows[4][1]), (98, " ".join(source[0] + source[0]))]
+    want = plain_passages(rows)
     out = line_dedup.dedup_passages(frame(spark, rows))
     assert out.columns == ["doc_id", "text", "source", "id", "h", "n_words", "n_removed"]
     got = sorted(str((r.doc_id, r.text, r.n_words, r.n_removed)) for r in out.collect())
@@ -852,7 +858,7 @@ def test_pipeline(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         now = stage(spark, now, str(tmp_path))
         seen.append(now)
-    assert all(d.columns == list(corpus_pipeline.COLUMNS) for d in seen[:-1])
+    assert all(d.columns == docs.columns for d in seen[:-1])
     truth = dict(labels)
     kept = {r.doc_id for r in seen[1].select("doc_id").collect()}
     assert sum((k in kept) == bool(y) for k, y in labels) > 0.95 * len(labels)
@@ -860,3 +866,85 @@ def test_pipeline(spark, tmp_path):
     assert not [1 for a, x in texts for b, y in texts if a < b and x and y and 5 * len(x & y) >= 4 * len(x | y)]
     assert truth and seen[5].agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 1024
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen[5].count()
+
+
+def awkward_documents(rng):
+    rows, labels = labelled(rng, 120)
+    rows = [(k, t, "en", f"src{k % 3}", len(t)) for k, t in rows]
+    rows += [(500 + i, rows[j][1] + " more words", "en", "src1", 1) for i, j in enumerate(range(0, 40, 2))]
+    run = prose(rng, 70)
+    rows += [(600 + i, f"Alpha beta {i}. {run} gamma {i}.", "fr", None, 5) for i in range(6)]
+    rows += [(700, None, None, None, None), (701, "", "en", "src0", 0), (702, " \n ", "en", "src9", 3), (703, "Alpha beta gamma.", "en", "src0", 1)]
+    rows += [rows[3]] * 2 + [(7, "Alpha beta gamma delta epsilon.", "de", "src2", 9), (None, "Alpha beta gamma zeta.", "en", "src0", 2)]
+    rows += [(None, "Alpha beta gamma zeta.", "en", "src0", 2), (None, None, "en", None, None), (704, " ".join(["Alpha beta."] * 8000), "en", "src2", 1)]
+    return [(*r, "x", 1) for r in rows], labels
+
+
+AWKWARD = "doc_id long, text string, lang string, source string, n_chars long, id string, th long"
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Each stage on what its predecessor kept, with nulls, repeated rows and ids, empty and long texts and clashing columns."""
+    import corpus_pipeline as cp
+
+    rows, labels = awkward_documents(random.Random(71))
+    spark.createDataFrame(rows, AWKWARD).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    now, tables = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    model = quality.fit(now, spark.read.parquet(str(tmp_path / "labels.parquet")))
+    for name, stage in cp.STAGES:
+        now = cp.table(stage(spark, now, str(tmp_path)), f"t-{name[:4].strip()}")
+        tables.append(now)
+    assert all(t.columns == AWKWARD.replace(" long", "").replace(" string", "").split(", ") for t in tables[:-1])
+    good, lines, near, mixed, packed = ([tuple(r) for r in t.collect()] for t in tables)
+    texts = lambda rs: sorted(str(r[:4]) for r in rs)
+    assert texts(good) == texts([r for r in rows if plain_score(model, r[1] or "") >= quality.THRESHOLD])
+    cut = plain_passages([r[:2] for r in good])
+    want = [(k, cut.get((k, t), (t,))[0], lang, s) for k, t, lang, s, *_ in good]
+    assert texts(lines) == texts(want) and any(t[2] for t in cut.values())
+    assert all(n == len(t) for (_, t, _, _, n, *_), old in zip(sorted(lines, key=str), sorted(good, key=str), strict=True) if t and t != old[1] and n not in {g[4] for g in good})
+    # Near copies: one row an id, the smallest id of each group, one row a text among rows without an id.
+    sets = [(k, minhash.shingles(t or "", 5)) for k, t, *_ in lines if k is not None]
+    links = [(a, b) for a, x in sets for b, y in sets if a < b and x and y and 5 * len(x & y) >= 4 * len(x | y)]
+    keep = set(root(links, [k for k, _ in sets]).values())
+    assert sorted(r[0] for r in near if r[0] is not None) == sorted(keep)
+    assert sorted(str(r[1]) for r in near if r[0] is None) == sorted({str(r[1]) for r in lines if r[0] is None}) and set(near) <= set(lines)
+    # The mix: as many copies of each row as the operator says, which has a test of its own.
+    times = {(r.doc_id, r.source, r.text_hash): r.times for r in mixing.mix(tables[2]).collect()}
+    hashes = {(r.doc_id, r.source, r.text): r.h for r in tables[2].select("doc_id", "source", "text", F.xxhash64("text").alias("h")).collect()}
+    assert sorted(map(str, mixed)) == sorted(str(r) for r in near for _ in range(times[r[0], r[3], hashes[r[0], r[3], r[1]]]))
+    enc = tokenizer.encoder(tokenizer.default_path())
+    assert sum(r[3] for r in packed) == sum(enc.count(r[1] or "") + 1 for r in mixed)
+    assert corpus_rows(tables[-1]) == corpus_rows(cp.run(spark, str(tmp_path)))
+
+
+def corpus_rows(packed):
+    """Pieces without the numbers of their sequences."""
+    return sorted(str((r.doc_id, r.piece, r.start, r.length, r.ids_crc32)) for r in packed.collect())
+
+
+def test_stages_take_repeated_rows_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    labels = "doc_id long, quality int"
+    spark.createDataFrame([], labels).write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame([], AWKWARD)
+    for _, stage in cp.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.count() == 0
+    same = [(9, "Alpha beta gamma.", "en", "a", 1, "x", 1)] * 30 + [(None, "Alpha delta.", "en", "a", 1, "x", 1)] * 20 + [(8, "zeta eta", "en", "b", 1, "x", 1)]
+    docs = spark.createDataFrame(same, AWKWARD)
+    assert cp.quality_classifier(spark, docs, str(tmp_path)).count() == len(same)  # no label rejects anything
+    assert sorted(str(r.doc_id) for r in cp.dedup_documents(spark, docs, "").collect()) == ["8", "9", "None"]
+    mixed = cp.mix_sources(spark, docs, "").groupBy("doc_id").count().collect()
+    taken = {r.doc_id: r.times for r in mixing.mix(docs).groupBy("doc_id").agg(F.sum("times").alias("times")).collect()}
+    assert {r.doc_id: r["count"] for r in mixed} == {k: n for k, n in taken.items() if n}
+
+
+def test_classifier_keeps_columns(spark):
+    rows, labels = labelled(random.Random(72), 80)
+    docs = frame(spark, [*rows, (None, None), (None, "x")])
+    model = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    kept = quality.keep_good(docs, model)
+    want = [r.doc_id for r in quality.score(docs, model).where("predicted = 1").collect()]
+    assert kept.columns == docs.columns and sorted(map(str, want)) == sorted(str(r.doc_id) for r in kept.collect()) and len(want) < len(rows)
