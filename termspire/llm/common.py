@@ -17,9 +17,9 @@ LIGHT = 1_000
 SPACE = 1 << 62
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+def table(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: :func:`termspire.sources.store.stored`."""
-    return stored(df, name)
+    return stored(df, name, compression)
 
 
 def spread_join(rows: DataFrame, side: DataFrame, key: str, how: str = "inner") -> DataFrame:

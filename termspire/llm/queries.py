@@ -48,7 +48,7 @@ def op8_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trees of all documents, stored, then three edits of each that follow from its id and length: a deletion, a replacement and an insertion."""
-    trees = table(token_counts.build(read(spark, sf_dir, "documents")), "trees")
+    trees = table(token_counts.build(read(spark, sf_dir, "documents")), "trees", "zstd")
     n, key = F.col("n_chars"), F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(9973))
     at = lambda k: F.pmod(key * k + 17, F.greatest(n, F.lit(1))).cast("int")
     edit = lambda start, length, new: F.struct(start.alias("start"), F.lit(length).alias("length"), new.alias("new"))
