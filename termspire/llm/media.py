@@ -17,8 +17,8 @@ from termspire.sources.store import fresh_path
 
 #: Payload bytes that a worker encodes or decodes in one go.
 GROUP = 1 << 20
-#: Parts of the documents that are in the shared folder as media and PCM at once, one after another.
-SLICES = 4
+#: Parts of the documents that are in the shared folder as media, one after another.
+SLICES = 2
 
 
 def _groups(column: pd.Series) -> Iterator[slice]:
@@ -108,30 +108,35 @@ def pcm(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return rows.mapInPandas(work, shape).withColumnRenamed("id", id_col)
 
 
-def digests(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Of PCM blocks as :func:`pcm` gives them: payload and media digests and a feature string.
+def _digest(blocks_: list[tuple[int, bytes]]) -> tuple[int, str, int, str]:
+    """(bytes, SHA-256, CRC-32 of the last 64, feature) of a payload from its PCM blocks; the end is sought by their offsets, and a gap raises."""
+    whole, at = hashlib.sha256(), 0
+    for offset, b in blocks_:
+        if offset != at:
+            raise ValueError("a block isn't where its offset says")
+        whole.update(b)
+        at += len(b)
+    tail = b"".join(b[max(0, at - 64 - offset) :] for offset, b in blocks_ if offset + len(b) > at - 64)
+    samples = (np.frombuffer(b"".join(b for _, b in blocks_), np.uint8) ^ 0x80).view(np.int8)
+    return at, whole.hexdigest(), zlib.crc32(tail), feature(samples)
 
-    The end of a payload is sought by the blocks' offsets; blocks that leave a gap fail the job.
-    """
+
+def digests(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Stored media read back into PCM blocks: payload and media digests and a feature string, a row for each row with media."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for key, n, size, sha, blocks_ in zip(batch["id"].array, batch["n_bytes"], batch["media_bytes"], batch["media_sha256"], batch["blocks"], strict=True):
-                whole, at = hashlib.sha256(), 0
-                for b in blocks_:
-                    if b["sample_offset"] != at or len(b["pcm"]) != b["n_samples"]:
-                        raise ValueError("a block isn't where its offset says")
-                    whole.update(b["pcm"])
-                    at += b["n_samples"]
-                p = b"".join(b["pcm"] for b in blocks_)
-                tail = b"".join(b["pcm"][max(0, at - 64 - b["sample_offset"]) :] for b in blocks_ if b["sample_offset"] + b["n_samples"] > at - 64)
-                samples = (np.frombuffer(p, np.uint8) ^ 0x80).view(np.int8)
-                out.append((key, n, at, whole.hexdigest(), zlib.crc32(tail), size, sha, feature(samples)))
-            frame = pd.DataFrame(out, columns=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-            yield frame.assign(id=_whole(frame["id"]))
-
-    rows = stored.select(F.col(id_col).alias("id"), "n_bytes", "media_bytes", "media_sha256", "blocks")
+            for part in _groups(batch["media"]):
+                own = batch.iloc[part]
+                raw = [bytes(m) for m in own["media"]]
+                out = []
+                for key, n, m, found in zip(own["id"].array, own["n_bytes"], raw, flac.decode(raw), strict=True):
+                    *sums, text = _digest(found)
+                    out.append((key, n, *sums, len(m), hashlib.sha256(m).hexdigest(), text))
+                frame = pd.DataFrame(out, columns=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                yield frame.assign(id=_whole(frame["id"]))
+
+    rows = media.where("media is not null").select(F.col(id_col).alias("id"), "n_bytes", "media")
     shape = (
         f"id {dict(rows.dtypes)['id']}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
         "media_bytes long, media_sha256 string, feature string"
@@ -140,20 +145,18 @@ def digests(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slices: int = SLICES) -> DataFrame:
-    """:func:`digests` of every row's text after it was stored as media, read back into PCM blocks, and these stored and read too.
+    """:func:`digests` of every row's text after it was stored as media and read back.
 
-    Media and blocks of a slice of the documents (by a hash of id and text) leave the shared folder before the next slice
-    comes, so that the copies take a part of the input's room. Null text, empty and very long texts, repeated rows and empty
+    The media of a slice of the documents (by a hash of id and text) leave the shared folder before the next slice
+    comes, so that they take a part of the input's room. Null text, empty and very long texts, repeated rows and empty
     tables are as in :func:`store`.
     """
     spark, out = docs.sparkSession, None
     own = F.pmod(F.xxhash64(id_col, text_col), F.lit(slices))
     for i in range(slices):
-        paths = [fresh_path(spark, name) for name in ("media", "pcm")]
-        store(docs.where(own == i), id_col, text_col).write.parquet(paths[0])
-        pcm(spark.read.parquet(paths[0]), id_col).write.parquet(paths[1])
-        found = table(digests(spark.read.parquet(paths[1]), id_col), "digests")
-        for path in paths:
-            remove(spark, path)
+        path = fresh_path(spark, "media")
+        store(docs.where(own == i), id_col, text_col).write.parquet(path)
+        found = table(digests(spark.read.parquet(path), id_col), "digests")
+        remove(spark, path)
         out = found if out is None else out.unionByName(found)
     return out
