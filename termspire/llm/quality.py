@@ -18,8 +18,8 @@ SAMPLE = 3000
 #: and lines of the fitted ones are LINES at most on average: beyond, the sample gets smaller.
 RARE, LONGEST, LINES = SAMPLE // 4, 1 << 20, 500_000
 THRESHOLD = 0.7
-#: Text bytes whose lines are described at once.
-GROUP = 2 << 20
+#: Text bytes whose lines are described at once (some 70 bytes of memory each), and rows of a batch whose texts are taken out at once.
+GROUP, ROWS = 1 << 19, 512
 BINS = 6
 
 _KINDS = ("lower", "upper", "digit", "space", "point", "mark", "bar", "symbol", "high")
@@ -268,8 +268,11 @@ def keep_good(docs: DataFrame, model: Model | Prior, text_col: str = "text", thr
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [(t or "").encode() for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(_scores(raw, model) >= threshold, pa.bool_()))
+            good = [np.zeros(0, bool)]
+            for i in range(0, batch.num_rows, ROWS):
+                raw = [(t or "").encode() for t in batch.column(at).slice(i, ROWS).to_pylist()]
+                good.append(_scores(raw, model) >= threshold)
+            yield batch.filter(pa.array(np.concatenate(good), pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)
 
@@ -283,8 +286,8 @@ def score(docs: DataFrame, model: Model | Prior, id_col: str = "doc_id") -> Data
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            raw = batch["t"].map(bytes).tolist()
-            scores = _scores(raw, model)
+            parts = (batch["t"].iloc[i : i + ROWS] for i in range(0, len(batch), ROWS))
+            scores = np.concatenate([np.zeros(0), *(_scores(part.map(bytes).tolist(), model) for part in parts)])
             out = batch[["id", "held_out"]].assign(score=scores, predicted=(scores >= THRESHOLD).astype("int32"))
             if out["id"].dtype.kind == "f":
                 out["id"] = out["id"].astype("Int64")
