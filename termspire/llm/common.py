@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termspire.sources.store import remove, shared_dir, stored
 
-__all__ = ["in_order", "read", "remove", "share_bound", "shared_dir", "spread_join", "table", "text_of"]
+__all__ = ["in_order", "read", "remove", "share_bound", "shared_dir", "spread_join", "table", "text_of", "trimmed"]
 
 #: Keys of which :func:`spread_join` broadcasts the other side, at most.
 MOST_HEAVY = 10_000
@@ -51,6 +55,19 @@ def share_bound(share: float) -> int:
     return min(SPACE, int(share * SPACE))
 
 
+def trimmed(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A worker's function that, when its task ends, gives freed memory back to the system: workers live on to the next stage."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return run
+
+
 def text_of(column: str | Column = "text") -> Column:
     """The text, with null as the empty string."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

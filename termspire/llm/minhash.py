@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termspire.llm.common import spread_join, table, text_of
+from termspire.llm.common import spread_join, table, text_of, trimmed
 from termspire.llm.components import components
 
 #: 42 bands of 6 of 252 minima miss a pair of similarity 0.8 once in 300,000 times.
@@ -136,7 +136,7 @@ def sketch(docs: DataFrame, n: int) -> DataFrame:
                 out["sketch"] = list(sketcher.sketches(low))
                 yield out
 
-    return docs.mapInPandas(work, "id long, n_shingles long, digest binary, bands array<long>, sketch array<long>")
+    return docs.mapInPandas(trimmed(work), "id long, n_shingles long, digest binary, bands array<long>, sketch array<long>")
 
 
 def similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
@@ -175,7 +175,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
                     good.append((node, b))
             yield pd.DataFrame(good, columns=["a", "b"], dtype="int64")
 
-    return rows.mapInPandas(work, "a long, b long")
+    return rows.mapInPandas(trimmed(work), "a long, b long")
 
 
 def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -252,7 +252,7 @@ def _rest(members: DataFrame, comp: DataFrame, sketches: DataFrame, texts: DataF
             yield pd.concat(out)
 
     dealt = lambda r: r.repartition(*_PAIR).sortWithinPartitions(*_PAIR)
-    rows = table(dealt(rows).mapInPandas(live, _KEYS), "live")
+    rows = table(dealt(rows).mapInPandas(trimmed(live), _KEYS), "live")
     if rows.isEmpty():
         return rows.select(F.col("node").alias("a"), F.col("node").alias("b"))
     rows = rows.join(texts.withColumnRenamed("id", "node"), "node")
@@ -277,7 +277,7 @@ def _rest(members: DataFrame, comp: DataFrame, sketches: DataFrame, texts: DataF
             if out:
                 yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return table(dealt(rows).mapInPandas(compare, "a long, b long"), "links")
+    return table(dealt(rows).mapInPandas(trimmed(compare), "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", n: int = 5, percent: int = 80) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termspire.llm.common import table, text_of
+from termspire.llm.common import table, text_of, trimmed
 from termspire.llm.tokenizer import default_path, encoder
 
 #: Rows of one length that are ranked together.
@@ -52,7 +52,7 @@ def tokenize(
     source = docs.select(F.col(id_col).alias("id"), text_of().alias("text"))
     kind = dict(source.dtypes)["id"]
     shape = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return source.mapInPandas(cut, shape).withColumnRenamed("id", id_col)
+    return source.mapInPandas(trimmed(cut), shape).withColumnRenamed("id", id_col)
 
 
 def patterns(counts: dict[int, int], max_len: int, spread: int = 8) -> list[tuple[int, ...]]:
@@ -205,7 +205,7 @@ def pack(pieces: DataFrame, max_len: int = 1024, keys: tuple[str, ...] = ("doc_i
             yield batch[[*names, "sequence_id", "offset"]]
 
     shape = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes)
-    return ranked.mapInPandas(place, f"{shape}, sequence_id long, offset long")
+    return ranked.mapInPandas(trimmed(place), f"{shape}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", path: str | None = None, max_len: int = 1024, end_id: int = 2) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termspire.llm.common import SPACE, share_bound, text_of
+from termspire.llm.common import SPACE, share_bound, text_of, trimmed
 
 #: Labelled documents that the model is fitted to, at most about; a documented bound, every document is scored.
 SAMPLE = 3000
@@ -233,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
                 base, size, count = describe([bytes(batch["t"].iloc[i])])
                 yield pd.DataFrame({"h": [batch["h"].iloc[i]], "y": [batch["y"].iloc[i]], "n": count, "base": [base.astype("<f4").tobytes()], "size": [size.astype("<i4").tobytes()]})
 
-    got = chosen.select("h", "y", "t").mapInPandas(lines_of, "h long, y int, n long, base binary, size binary").toPandas()
+    got = chosen.select("h", "y", "t").mapInPandas(trimmed(lines_of), "h long, y int, n long, base binary, size binary").toPandas()
     if got["y"].nunique() < 2:
         return Prior(sum(c for y, c in counts.items() if y), n)
     # Equal hashes are rows of one id: their contents decide, so that refits agree.
@@ -274,7 +274,7 @@ def keep_good(docs: DataFrame, model: Model | Prior, text_col: str = "text", thr
                 good.append(_scores(raw, model) >= threshold)
             yield batch.filter(pa.array(np.concatenate(good), pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(trimmed(work), docs.schema)
 
 
 def score(docs: DataFrame, model: Model | Prior, id_col: str = "doc_id") -> DataFrame:
@@ -294,4 +294,4 @@ def score(docs: DataFrame, model: Model | Prior, id_col: str = "doc_id") -> Data
             yield out
 
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.encode(text_of(), "UTF-8").alias("t"))
-    return rows.mapInPandas(work, f"id {dict(rows.dtypes)['id']}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+    return rows.mapInPandas(trimmed(work), f"id {dict(rows.dtypes)['id']}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
