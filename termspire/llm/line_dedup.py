@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termspire.llm.common import spread_join, table, text_of
@@ -136,6 +138,33 @@ def _hashed(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select("id", "th", *keep, F.explode(F.array(words)).alias("ws"))
 
 
+def _let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``x``, which is worked out once however often ``body`` names it."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
+def _over(values: Column, width: int, both: Callable[[Column, Column], Column]) -> Column:
+    """``values`` combined over each run of ``width`` elements, in the order of their first ones; there are ``width`` at least.
+
+    Runs of doubled length are put together from two of half the length, so an element costs the logarithm of ``width``. The rest
+    of ``width`` is one more run that ends where the whole ends; it overlaps the others, so equal runs give equal results,
+    which is all that is asked of ``both`` (a minimum, or a hash of what it is given).
+    """
+
+    def joined(by: int) -> Callable[[Column], Column]:
+        def work(v: Column) -> Column:
+            n = F.size(v) - by
+            return F.zip_with(F.slice(v, 1, n), F.slice(v, by + 1, n), both)
+
+        return work
+
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        values, done = _let(values, joined(step)), done + step
+    return values
+
+
 def fingerprints(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(id, th, g, at): hashes of half-length word runs, the least in each run of ``min_words`` words, with their places from 1.
 
@@ -144,13 +173,12 @@ def fingerprints(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     k = max(min_words // 2, 1)
     width = min_words - k + 1
     words = _hashed(docs).where(F.size("ws") >= min_words)
-    grams = F.transform(
-        F.sequence(F.lit(1), F.size("ws") - (k - 1)), lambda i: F.struct(F.xxhash64(F.slice("ws", i, k)).alias("g"), i.alias("at"))
-    )
-    grams = words.select("id", "th", F.explode(F.array(grams)).alias("gs"))
-    least = F.transform(F.sequence(F.lit(1), F.size("gs") - (width - 1)), lambda j: F.array_min(F.slice("gs", j, width))["at"])
-    chosen = F.transform(F.array_distinct(least), lambda i: F.get("gs", i - 1))
-    return grams.select("id", "th", F.inline(chosen))
+    runs = _over(F.col("ws"), k, lambda x, y: F.xxhash64(x, y))
+    grams = words.select("id", "th", F.explode(F.array(F.transform(runs, lambda g, i: F.struct(g.alias("g"), i.alias("at"))))).alias("gs"))
+    least = F.transform(_over(F.col("gs"), width, lambda x, y: F.least(x, y)), lambda m: m["at"])
+    chosen = F.transform(F.array_distinct(least), lambda i: F.get("gs", i))
+    out = grams.select("id", "th", F.inline(chosen))
+    return out.withColumn("at", F.col("at") + 1)
 
 
 def repeated_words(docs: DataFrame, copies: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
