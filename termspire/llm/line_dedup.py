@@ -12,6 +12,8 @@ from termspire.llm.mixing import WORDS
 
 #: A run of lines counts as repeated from this number of words.
 MIN_WORDS = 50
+#: Places of a fingerprint up to which the runs around it are compared in one go.
+COMMON = 1_000
 
 
 def lines_of(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -189,22 +191,37 @@ def repeated_words(docs: DataFrame, copies: DataFrame, min_words: int = MIN_WORD
     Fingerprints only say where a repeated run may stand; every run around one that
     occurs twice is then compared by a 128-bit hash with all others, so
     matches grow word by word both ways, as far as they stand anywhere earlier.
+    Runs around a fingerprint with more than COMMON places are first compared within shares, as many as the root of
+    its places; only the first of each share meets those of the others, so the places of a common run are never gathered.
     """
     k = max(min_words // 2, 1)
     other = F.col("id").eqNullSafe(F.col("gid")) & (F.col("th") == F.col("gth"))
     prints = table(fingerprints(docs, min_words).join(copies, other, "left_anti"), "fingerprints")
-    hot = prints.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g")
-    hot = spread_join(prints, hot, "g", "left_semi").groupBy("id", "th").agg(F.collect_set("at").alias("ats")).toDF("hid", "hth", "ats")
+    hot = prints.groupBy("g").agg(F.count("*").alias("c")).where("c > 1")
+    hot = spread_join(prints, hot, "g").withColumn("common", F.col("c") > COMMON).groupBy("id", "th").agg(
+        F.collect_set(F.when(~F.col("common"), F.col("at"))).alias("rare"), F.collect_set(F.when(F.col("common"), F.col("at"))).alias("common"),
+        F.ceil(F.sqrt(F.max("c"))).alias("salts"),
+    ).withColumnsRenamed({"id": "hid", "th": "hth"})
     near = docs.join(hot, F.col("id").eqNullSafe(F.col("hid")) & (F.col("th") == F.col("hth")))
-    near = _hashed(near, "ats")
+    near = _hashed(near, "rare", "common", "salts")
     last = F.size("ws") - (min_words - 1)
-    around = F.transform("ats", lambda a: F.sequence(F.greatest(a - (min_words - k), F.lit(1)), F.least(a, last)))
-    near = near.select("id", "th", "ws", F.explode(F.array_distinct(F.flatten(around))).alias("at"))
+    around = lambda ats: F.flatten(F.transform(ats, lambda a: F.sequence(F.greatest(a - (min_words - k), F.lit(1)), F.least(a, last))))
     run = F.slice("ws", F.col("at"), min_words)
-    runs = near.select("id", "th", "at", F.xxhash64(run).alias("w1"), F.xxhash64(F.lit(1), run).alias("w2"))
     place = F.struct(F.col("id").isNull().alias("z"), "id", "th", "at")
-    runs = runs.withColumn("place", place).withColumn("first", F.min("place").over(Window.partitionBy("w1", "w2")))
-    return runs.where("place > first").groupBy("id", "th").agg(F.sort_array(F.collect_set("at")).alias("starts"))
+
+    def runs(ats: Column) -> DataFrame:
+        rows = near.select("id", "th", "ws", "salts", F.explode(ats).alias("at"))
+        return rows.select(place.alias("place"), F.xxhash64(run).alias("w1"), F.xxhash64(F.lit(1), run).alias("w2"), "salts")
+
+    # Equal runs choose equal fingerprints, so all places of a common run are among these.
+    dealt = runs(F.array_distinct(around("common"))).withColumn("salt", F.pmod(F.xxhash64("place"), F.col("salts")))
+    dealt = dealt.withColumn("again", F.col("place") > F.min("place").over(Window.partitionBy("w1", "w2", "salt")))
+    # What stands earlier in its share is settled; the first of each share meets those of the others.
+    every = runs(F.array_except(around("rare"), around("common"))).select("place", "w1", "w2")
+    every = every.unionByName(dealt.where(~F.col("again")).select("place", "w1", "w2"))
+    every = every.withColumn("first", F.min("place").over(Window.partitionBy("w1", "w2"))).where("place > first")
+    every = every.select("place").unionByName(dealt.where("again").select("place"))
+    return every.groupBy("place.id", "place.th").agg(F.sort_array(F.collect_set("place.at")).alias("starts"))
 
 
 def dedup_passages(docs: DataFrame, id_col: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:

@@ -112,7 +112,9 @@ def plain_passages(rows):
     return want
 
 
-def test_passages(spark):
+@pytest.mark.parametrize("common", [1, 8, 1_000])
+def test_passages(spark, monkeypatch, common):
+    monkeypatch.setattr(line_dedup, "COMMON", common)
     rng = random.Random(21)
     source = [prose(rng, 200).split() for _ in range(4)]
     rows = []
