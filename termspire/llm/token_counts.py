@@ -6,15 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termspire.llm.common import text_of
+from termspire.llm.common import text_of, trimmed
 from termspire.llm.tokenizer import default_path, encoder
 
 
 #: Characters beyond which a leaf of several pre-token runs is split again after an edit.
 LEAF_CHARS = 256
+#: Rows, and bytes of text but for a single row, whose trees a worker holds at once.
+ROWS, BYTES = 512, 1 << 22
 
 
 def _sums(values: list[int], base: int) -> list[int]:
@@ -132,25 +136,46 @@ def build(docs: DataFrame, id_col: str = "doc_id", path: str | None = None) -> D
 
     ``lengths`` and ``counts`` are the characters and tokens of the leaves in order; sums above them are additions
     when a tree is loaded. Null text is empty; rows that repeat are trees of their own; a very long text is one tree, held whole by
-    the task that builds or edits it; an empty table gives none. Columns of other names are ignored.
+    the task that builds or edits it, while of others it holds some at a time; an empty table gives none. Columns of other names are ignored.
     """
     path = path or default_path()
     rows = docs.select(F.col(id_col).alias("id"), text_of().alias("text"))
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in batches:
-            lengths, counts = [], []
-            for text in batch["text"]:
+        for batch in _slices(batches):
+            sums, lengths, counts = [], [], []
+            for text in batch["text"].to_pylist():
                 leaves, own = cut(text, enc)
                 lengths.append(np.fromiter(map(len, leaves), np.int32, len(leaves)))
                 counts.append(np.array(own, np.int32))
-            yield pd.DataFrame({
-                "id": _whole(batch["id"]), "n_tokens": [int(c.sum()) for c in counts], "n_chars": [int(x.sum()) for x in lengths],
-                "text": batch["text"], "lengths": lengths, "counts": counts,
-            })
+                sums.append((sum(own), len(text)))
+            yield _batch(batch["id"], ["n_tokens", "n_chars"], sums, batch["text"], lengths, counts)
+
+    return rows.mapInArrow(trimmed(make), _shape(rows, "n_tokens long, n_chars long, " + _TREE)).withColumnRenamed("id", id_col)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in runs of at most ROWS rows and, but for single rows, BYTES of text."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = before = 0
+        while start < batch.num_rows:
+            stop = min(start + ROWS, max(start + 1, int(np.searchsorted(ends, before + BYTES, "right"))))
+            yield batch.slice(start, stop - start)
+            start, before = stop, int(ends[stop - 1])
+
 
-    return rows.mapInPandas(make, _shape(rows, "n_tokens long, n_chars long, " + _TREE)).withColumnRenamed("id", id_col)
+def _batch(ids: pa.Array, names: list[str], numbers: list[tuple[int, ...]], text: pa.Array | None = None, *lists: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows of an id, long columns and, with ``text``, a tree: the text, lengths and counts."""
+    columns = [ids, *(pa.array(c, pa.int64()) for c in zip(*numbers, strict=True))]
+    if text is None:
+        return pa.RecordBatch.from_arrays(columns, ["id", *names])
+    for rows in lists:
+        starts = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+        columns.append(pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(rows))))
+    columns.insert(-2, text)
+    return pa.RecordBatch.from_arrays(columns, ["id", *names, "text", "lengths", "counts"])
 
 
 _TREE = "text string, lengths array<int>, counts array<int>"
@@ -161,6 +186,12 @@ def _whole(ids: pd.Series) -> pd.Series:
     return ids.astype("Int64") if ids.dtype.kind in "iuf" else ids
 
 
+def _rows(lists: pa.ListArray) -> Iterator[np.ndarray]:
+    """Each row's values."""
+    values, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_pylist()
+    return (values[a:z] for a, z in zip(at, at[1:], strict=False))
+
+
 def _shape(rows: DataFrame, rest: str) -> str:
     return f"id {dict(rows.dtypes)['id']}, {rest}"
 
@@ -183,25 +214,25 @@ def edit(trees: DataFrame, id_col: str = "doc_id", edits_col: str = "edits", pat
     has = F.coalesce(F.size(edits_col) > 0, F.lit(False))
     some = trees.where(has).select(F.col(id_col).alias("id"), "n_tokens", "text", "lengths", "counts", F.col(edits_col).alias("edits"))
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(path)
-        for batch in batches:
-            out, kept = [], []
-            for before, text, lengths, counts, edits in zip(*(batch[c] for c in ("n_tokens", "text", "lengths", "counts", "edits")), strict=True):
-                ends = np.cumsum(lengths).tolist()
-                tree = PretokenTree([text[a:z] for a, z in zip([0, *ends], ends, strict=False)], list(map(int, counts)), enc)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, names = encoder(path), [c.split()[0] for c in _COUNTS.split(", ")]
+        for batch in _slices(batches):
+            out, texts, lengths, counts = [], [], [], []
+            own = zip(*(batch[c].to_pylist() for c in ("n_tokens", "text", "edits")), *(_rows(batch[c]) for c in ("lengths", "counts")), strict=True)
+            for before, text, edits, sizes, tokens in own:
+                ends = np.cumsum(sizes).tolist()
+                tree = PretokenTree([text[a:z] for a, z in zip([0, *ends], ends, strict=False)], tokens.tolist(), enc)
                 n = _applied(tree, edits)
                 out.append((before, tree.n_tokens, tree.n_chars, n, tree.encoded))
                 if keep:
-                    own = [(leaf, c) for leaf, c in zip(tree.leaves, tree.counts(), strict=True) if leaf] or [("", 0)]
-                    kept.append((tree.text(), [len(leaf) for leaf, _ in own], [c for _, c in own]))
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in _COUNTS.split(", ")])
-            frame.insert(0, "id", _whole(batch["id"]).array)
-            if keep:
-                frame[["text", "lengths", "counts"]] = pd.DataFrame(kept, columns=["text", "lengths", "counts"])
-            yield frame
-
-    done = some.mapInPandas(work, _shape(some, _COUNTS + f", {_TREE}" * keep)).withColumnRenamed("id", id_col)
+                    left = [(len(leaf), c) for leaf, c in zip(tree.leaves, tree.counts(), strict=True) if leaf] or [(0, 0)]
+                    texts.append(tree.text())
+                    for column, values in zip((lengths, counts), zip(*left, strict=True), strict=True):
+                        column.append(np.array(values, np.int32))
+            tree_columns = (pa.array(texts, batch["text"].type), lengths, counts) if keep else ()
+            yield _batch(batch["id"], names, out, *tree_columns)
+
+    done = some.mapInArrow(trimmed(work), _shape(some, _COUNTS + f", {_TREE}" * keep)).withColumnRenamed("id", id_col)
     zero = F.lit(0).cast("long")
     same = trees.where(~has).select(
         id_col, "n_tokens", F.col("n_tokens").alias("n_tokens_edited"), F.col("n_chars").alias("n_chars_edited"),

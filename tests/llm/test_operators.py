@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -376,6 +377,42 @@ def test_stored_trees_follow_batches_of_edits(spark):
     assert plan.count() == 0
 
 
+def test_trees_of_a_large_batch_are_held_some_at_a_time(spark, monkeypatch):
+    """What a worker allocates to build and edit trees doesn't grow with the rows of its batch; all rows come out, right, in small batches."""
+    rng = random.Random(82)
+    texts = [prose(rng, rng.randint(0, 60)) for _ in range(3000)] + ["", "é" * 9, prose(rng, 3000)]
+    frames, works = type(spark.range(0)), []
+    for name in ("mapInArrow", "mapInPandas"):
+        real = getattr(frames, name)
+        monkeypatch.setattr(frames, name, lambda df, work, shape, real=real, name=name: works.append((df, work, name)) or real(df, work, shape))
+    edits = F.expr("array(named_struct('start', 3, 'length', 4, 'new', ' new '), null)").cast("array<struct<start:int,length:int,new:string>>")
+    trees = token_counts.build(frame(spark, list(enumerate(texts)))).withColumn("edits", edits).cache()
+    token_counts.edit(trees)
+    assert len(works) == 2
+
+    def run(df, work, name, n):
+        table = df.orderBy("id").limit(n).toArrow().combine_chunks()
+        given = table.to_pandas() if name == "mapInPandas" else table.to_batches()[0]
+        assert len(given) == n
+        tracemalloc.start()
+        sizes = [len(out) for out in work(iter([given]))]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert sum(sizes) == n and max(sizes) <= 512
+        return peak
+
+    for one in works:
+        run(*one, 3000)  # fills the encoder's cache
+        assert run(*one, 3000) < 2 * run(*one, 512)
+    monkeypatch.setattr(token_counts, "BYTES", 1000)
+    assert min(len(out) for out in works[0][1](iter(works[0][0].toArrow().combine_chunks().to_batches()))) == 1
+    enc = tokenizer.encoder(tokenizer.default_path())
+    got = {r.doc_id: r for r in token_counts.edit(trees).collect()}
+    for i, t in enumerate(texts):
+        new = t[:3] + " new " + t[7:]
+        assert (got[i].n_tokens, got[i].n_tokens_edited, got[i].text, sum(got[i].counts)) == (enc.count(t), enc.count(new), new, enc.count(new))
+
+
 def labelled(rng, n):
     rows, labels = [], []
     for i in range(n):
