@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termspire.llm import embedding_dedup, line_dedup, media, minhash, mixing, packing, pii, quality, token_counts, warc
+from termspire.llm import embedding_dedup, line_dedup, maxscore, media, minhash, mixing, packing, pii, prefix_trie, quality, spelling, token_counts, warc
 from termspire.llm.common import read, table
 
 
@@ -69,6 +69,19 @@ def op10_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(read(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.build(read(spark, sf_dir, "conversations"))
+
+
+def op13_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return maxscore.search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,10 +92,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_embedding_dedup, op3_pattern_packing, op4_quality_crf, op5_flac_media,
-        op6_source_mix, op7_warc_normaliser, op8_odd_sketch_dedup, op9_edit_token_counts, op10_contextual_pii, pipeline,
+        op6_source_mix, op7_warc_normaliser, op8_odd_sketch_dedup, op9_edit_token_counts, op10_contextual_pii,
+        op11_spelling_halves, op12_prefix_trie, op13_maxscore_topk, pipeline,
     )
 }
 
+#: The table of the check sum that zip files have, and the sum of a list of bytes by it.
+_CRC_TABLE = """
+crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+_CRC = "xor(list_reduce([4294967295] || {}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
 ORACLE_SQL: dict[str, str] = {
@@ -154,4 +174,66 @@ low AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(l.m, d.doc_id)) AS component_id,
        d.doc_id = least(d.doc_id, coalesce(l.m, d.doc_id)) AS kept
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN low l ON l.a = d.doc_id""",
+    # Two words are one replacement apart if they agree without the character at one place, one insertion if one is the other without it.
+    "op11_spelling_halves": f"""
+WITH RECURSIVE {_CRC_TABLE},
+low AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d,
+         unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS r FROM documents),
+runs AS (SELECT d, r, count(*) AS k FROM low WHERE length(r) >= 7 GROUP BY d, r),
+hashed AS (
+  SELECT r, k, {_CRC.format("flatten(list_transform(string_split(d || ':' || r, ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)] ELSE [195, ord(x) - 64] END))")} AS h
+  FROM runs, crc),
+words AS (
+  SELECT w AS word, CAST(sum(k) AS BIGINT) AS n
+  FROM (SELECT k, CASE WHEN h % 31 = 0 THEN substr(r, 1, CAST(h % length(r) AS BIGINT)) || substr(r, CAST(h % length(r) AS BIGINT) + 2) ELSE r END AS w FROM hashed)
+  WHERE length(w) >= 7 GROUP BY w HAVING sum(k) >= 2),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS s FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word AS a, b.word AS b, b.n AS m FROM cut a JOIN cut b ON a.i = b.i AND a.s = b.s AND a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM cut c JOIN words w ON w.word = c.s
+  UNION SELECT w.word, c.word, c.n FROM cut c JOIN words w ON w.word = c.s),
+best AS (SELECT a, count(*) AS k, arg_min(struct_pack(f := b, m := m), struct_pack(m := -m, f := b)) AS f FROM near GROUP BY a),
+forms AS (
+  SELECT word, n, CAST(coalesce(k, 0) AS BIGINT) AS n_near, CASE WHEN f.m >= 10 * n THEN f.f END AS form, CASE WHEN f.m >= 10 * n THEN f.m END AS form_n
+  FROM words LEFT JOIN best ON a = word),
+walk(word, last) AS (SELECT word, word FROM forms UNION ALL SELECT w.word, f.form FROM walk w JOIN forms f ON f.word = w.last WHERE f.form IS NOT NULL),
+roots AS (SELECT w.word, w.last AS root FROM walk w JOIN forms f ON f.word = w.last WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)""",
+    "op12_prefix_trie": f"""
+WITH {_CRC_TABLE},
+turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, {_CRC.format("list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: ord(x))")} % 9 AS h FROM (SELECT DISTINCT c FROM turns), crc),
+built AS (
+  SELECT v.c, t.i, t.role, t.text FROM convs v JOIN turns t ON t.c = v.c - v.c % 5 AND t.i <= v.h
+  UNION ALL SELECT v.c, t.i, t.role, t.text FROM convs v JOIN turns t ON t.c = v.c AND t.i > v.h),
+lists AS (SELECT c, list(md5(len(role) || ':' || role || text) ORDER BY i) AS l, list(strlen(text) ORDER BY i) AS b FROM built GROUP BY c),
+whole AS (SELECT v.c, coalesce(l, []) AS l, coalesce(b, []) AS b FROM convs v LEFT JOIN lists USING (c)),
+p AS (
+  SELECT c, d, len(l) AS n, md5(array_to_string(l[1:d], ',')) AS k, CASE WHEN d > 0 THEN md5(array_to_string(l[1:d - 1], ',')) END AS up, CASE WHEN d > 0 THEN b[d] ELSE 0 END AS size
+  FROM (SELECT c, l, b, unnest(range(0, len(l) + 1)) AS d FROM whole)),
+nodes AS (
+  SELECT d, k, any_value(up) AS up, min(c) AS c, count(*) AS n, any_value(size) AS size,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE d = n), '')) AS ends
+  FROM p GROUP BY d, k),
+kids AS (SELECT up, count(*) AS n FROM nodes WHERE up IS NOT NULL GROUP BY up),
+own AS (SELECT nodes.*, coalesce(kids.n, 0) AS k_n FROM nodes LEFT JOIN kids ON kids.up = nodes.k),
+sums AS (
+  SELECT p.k, sum(CASE WHEN o.k_n = 0 THEN 1 ELSE 0 END) AS leaves, sum((o.n - 1) * o.size) AS saved
+  FROM own o JOIN p ON p.c = o.c AND p.d <= o.d GROUP BY p.k)
+SELECT o.c AS conv_id, CAST(o.d AS BIGINT) AS depth, u.c AS parent_conv_id, o.n AS n_convs, CAST(o.k_n AS BIGINT) AS n_children,
+       CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, o.ends AS ends_sha256
+FROM own o JOIN sums USING (k) LEFT JOIN nodes u ON u.k = o.up""",
+    "op13_maxscore_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id IS DISTINCT FROM q.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
 }
