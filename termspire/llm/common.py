@@ -5,13 +5,16 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from termspire.sources.store import remove, shared_dir, stored
 
-__all__ = ["in_order", "read", "remove", "share_bound", "shared_dir", "spread_join", "table", "text_of", "trimmed"]
+__all__ = ["in_frames", "in_order", "read", "remove", "share_bound", "shared_dir", "spread_join", "table", "text_of", "trimmed"]
 
 #: Keys of which :func:`spread_join` broadcasts the other side, at most.
 MOST_HEAVY = 10_000
@@ -68,6 +71,27 @@ def trimmed(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
     return run
 
 
+def in_frames(rows: DataFrame, work: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], shape: str) -> DataFrame:
+    """``rows.mapInPandas(work, shape)`` in which whole numbers beside nulls stay whole: they come and go as pandas' Int64.
+
+    Pandas would make them doubles, which round what lies beyond 2 ** 53.
+    """
+    schema = to_arrow_schema(StructType.fromDDL(shape))
+
+    def frame(batch: pa.RecordBatch) -> pd.DataFrame:
+        out = batch.to_pandas()
+        for name, column in zip(batch.schema.names, batch.columns, strict=True):
+            if column.null_count and pa.types.is_integer(column.type):
+                out[name] = pd.Series(pd.Int64Dtype().__from_arrow__(column.cast(pa.int64())), index=out.index)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in work(map(frame, batches)):
+            yield from pa.Table.from_pandas(out, schema=schema, preserve_index=False).to_batches()
+
+    return rows.mapInArrow(trimmed(run), shape)
+
+
 def text_of(column: str | Column = "text") -> Column:
     """The text, with null as the empty string."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termspire.llm import flac
-from termspire.llm.common import remove, table, text_of
+from termspire.llm.common import in_frames, remove, table, text_of
 from termspire.sources.store import fresh_path
 
 #: Payload bytes that a worker encodes or decodes in one go.
@@ -32,10 +32,6 @@ def _groups(column: pd.Series) -> Iterator[slice]:
         yield slice(start, len(column))
 
 
-def _whole(ids: pd.Series) -> pd.Series:
-    return ids.astype("Int64") if ids.dtype.kind == "f" else ids
-
-
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, media): the UTF-8 of each text, zeros up to a positive multiple of 64, as a FLAC stream.
 
@@ -49,10 +45,10 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             for part in _groups(raw):
                 own = raw.iloc[part]
                 media = flac.encode([b + b"\0" * (-len(b) % 64 or 64 * (not b)) for b in own])
-                yield pd.DataFrame({"id": _whole(batch["id"].iloc[part]), "n_bytes": own.map(len), "media": media})
+                yield pd.DataFrame({"id": batch["id"].iloc[part], "n_bytes": own.map(len), "media": media})
 
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    return rows.mapInPandas(work, f"id {dict(rows.dtypes)['id']}, n_bytes long, media binary").withColumnRenamed("id", id_col)
+    return in_frames(rows, work, f"id {dict(rows.dtypes)['id']}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
 def blocks(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -70,12 +66,11 @@ def blocks(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
                     for key, found in zip(own["id"].array, flac.decode([bytes(m) for m in own["media"]]), strict=True)
                     for at, pcm in found
                 ]
-                out = pd.DataFrame(rows, columns=["id", "sample_offset", "n_samples", "pcm"])
-                yield out.assign(id=_whole(out["id"]))
+                yield pd.DataFrame(rows, columns=["id", "sample_offset", "n_samples", "pcm"])
 
     rows = media.where("media is not null").select(F.col(id_col).alias("id"), "media")
     shape = f"id {dict(rows.dtypes)['id']}, sample_offset long, n_samples long, pcm binary"
-    return rows.mapInPandas(work, shape).withColumnRenamed("id", id_col)
+    return in_frames(rows, work, shape).withColumnRenamed("id", id_col)
 
 
 def feature(samples: np.ndarray) -> str:
@@ -96,7 +91,7 @@ def pcm(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 raw = [bytes(m) for m in own["media"]]
                 found = [[{"sample_offset": at, "n_samples": len(b), "pcm": b} for at, b in x] for x in flac.decode(raw)]
                 yield pd.DataFrame({
-                    "id": _whole(own["id"]), "n_bytes": own["n_bytes"], "media_bytes": [len(m) for m in raw],
+                    "id": own["id"], "n_bytes": own["n_bytes"], "media_bytes": [len(m) for m in raw],
                     "media_sha256": [hashlib.sha256(m).hexdigest() for m in raw], "blocks": found,
                 })
 
@@ -105,7 +100,7 @@ def pcm(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
         f"id {dict(rows.dtypes)['id']}, n_bytes long, media_bytes long, media_sha256 string, "
         "blocks array<struct<sample_offset: long, n_samples: long, pcm: binary>>"
     )
-    return rows.mapInPandas(work, shape).withColumnRenamed("id", id_col)
+    return in_frames(rows, work, shape).withColumnRenamed("id", id_col)
 
 
 def _digest(blocks_: list[tuple[int, bytes]]) -> tuple[int, str, int, str]:
@@ -133,15 +128,14 @@ def digests(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 for key, n, m, found in zip(own["id"].array, own["n_bytes"], raw, flac.decode(raw), strict=True):
                     *sums, text = _digest(found)
                     out.append((key, n, *sums, len(m), hashlib.sha256(m).hexdigest(), text))
-                frame = pd.DataFrame(out, columns=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-                yield frame.assign(id=_whole(frame["id"]))
+                yield pd.DataFrame(out, columns=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     rows = media.where("media is not null").select(F.col(id_col).alias("id"), "n_bytes", "media")
     shape = (
         f"id {dict(rows.dtypes)['id']}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
         "media_bytes long, media_sha256 string, feature string"
     )
-    return rows.mapInPandas(work, shape).withColumnRenamed("id", id_col)
+    return in_frames(rows, work, shape).withColumnRenamed("id", id_col)
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slices: int = SLICES) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termspire.llm.common import spread_join, table, text_of, trimmed
+from termspire.llm.common import in_frames, spread_join, table, text_of, trimmed
 from termspire.llm.components import components
 
 #: 42 bands of 6 of 252 minima miss a pair of similarity 0.8 once in 300,000 times.
@@ -119,8 +119,6 @@ def sketch(docs: DataFrame, n: int) -> DataFrame:
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sketcher = Sketcher(n)
         for whole in batches:
-            if whole["id"].dtype.kind == "f":
-                whole["id"] = whole["id"].astype("Int64")
             for i in range(0, len(whole), TEXTS):
                 batch = whole.iloc[i : i + TEXTS]
                 out = pd.DataFrame({"id": batch["id"].array})
@@ -136,7 +134,7 @@ def sketch(docs: DataFrame, n: int) -> DataFrame:
                 out["sketch"] = list(sketcher.sketches(low))
                 yield out
 
-    return docs.mapInPandas(trimmed(work), "id long, n_shingles long, digest binary, bands array<long>, sketch array<long>")
+    return in_frames(docs, work, "id long, n_shingles long, digest binary, bands array<long>, sketch array<long>")
 
 
 def similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:

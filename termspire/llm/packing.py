@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termspire.llm.common import table, text_of, trimmed
+from termspire.llm.common import in_frames, table, text_of
 from termspire.llm.tokenizer import default_path, encoder
 
 #: Rows of one length that are ranked together.
@@ -44,15 +44,12 @@ def tokenize(
                     row = (key, piece, start, stop - start, zlib.crc32(own))
                     rows.append((*row, np.frombuffer(own, "<u4").astype(int)) if keep_ids else row)
                     start, stop, piece = stop, stop + max_len, piece + 1
-            out = pd.DataFrame(rows, columns=names)
-            if batch["id"].dtype.kind in "iuf":
-                out["id"] = out["id"].astype("Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=names)
 
     source = docs.select(F.col(id_col).alias("id"), text_of().alias("text"))
     kind = dict(source.dtypes)["id"]
     shape = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return source.mapInPandas(trimmed(cut), shape).withColumnRenamed("id", id_col)
+    return in_frames(source, cut, shape).withColumnRenamed("id", id_col)
 
 
 def patterns(counts: dict[int, int], max_len: int, spread: int = 8) -> list[tuple[int, ...]]:
@@ -199,13 +196,10 @@ def pack(pieces: DataFrame, max_len: int = 1024, keys: tuple[str, ...] = ("doc_i
             k = np.searchsorted(starts, batch["length"].to_numpy() << 48 | rank, side="right") - 1
             batch["sequence_id"] = flat[k, 2] + rank - flat[k, 1]
             batch["offset"] = flat[k, 3]
-            for c in batch.columns:
-                if batch[c].dtype.kind == "f":
-                    batch[c] = batch[c].astype("Int64")
             yield batch[[*names, "sequence_id", "offset"]]
 
     shape = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes)
-    return ranked.mapInPandas(trimmed(place), f"{shape}, sequence_id long, offset long")
+    return in_frames(ranked, place, f"{shape}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", path: str | None = None, max_len: int = 1024, end_id: int = 2) -> DataFrame:

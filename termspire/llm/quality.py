@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termspire.llm.common import SPACE, share_bound, text_of, trimmed
+from termspire.llm.common import SPACE, in_frames, share_bound, text_of, trimmed
 
 #: Labelled documents that the model is fitted to, at most about; a documented bound, every document is scored.
 SAMPLE = 3000
@@ -289,9 +289,7 @@ def score(docs: DataFrame, model: Model | Prior, id_col: str = "doc_id") -> Data
             parts = (batch["t"].iloc[i : i + ROWS] for i in range(0, len(batch), ROWS))
             scores = np.concatenate([np.zeros(0), *(_scores(part.map(bytes).tolist(), model) for part in parts)])
             out = batch[["id", "held_out"]].assign(score=scores, predicted=(scores >= THRESHOLD).astype("int32"))
-            if out["id"].dtype.kind == "f":
-                out["id"] = out["id"].astype("Int64")
             yield out
 
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.encode(text_of(), "UTF-8").alias("t"))
-    return rows.mapInPandas(trimmed(work), f"id {dict(rows.dtypes)['id']}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+    return in_frames(rows, work, f"id {dict(rows.dtypes)['id']}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termspire.llm.common import text_of, trimmed
+from termspire.llm.common import in_frames, text_of, trimmed
 from termspire.llm.tokenizer import default_path, encoder
 
 
@@ -182,10 +182,6 @@ _TREE = "text string, lengths array<int>, counts array<int>"
 _COUNTS = "n_tokens long, n_tokens_edited long, n_chars_edited long, n_edits long, n_chars_encoded long"
 
 
-def _whole(ids: pd.Series) -> pd.Series:
-    return ids.astype("Int64") if ids.dtype.kind in "iuf" else ids
-
-
 def _rows(lists: pa.ListArray) -> Iterator[np.ndarray]:
     """Each row's values."""
     values, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_pylist()
@@ -262,11 +258,10 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", edits_col: str = "edit
                 tree = PretokenTree.of_text(text, enc)
                 before, n = tree.n_tokens, _applied(tree, edits)
                 out.append((key, before, tree.n_tokens, tree.n_chars, n, tree.encoded))
-            frame = pd.DataFrame(out, columns=["id", "n_tokens", "n_tokens_edited", "n_chars_edited", "n_edits", "n_chars_encoded"])
-            yield frame.assign(id=_whole(frame["id"]) if batch["id"].dtype.kind in "iuf" else frame["id"])
+            yield pd.DataFrame(out, columns=["id", "n_tokens", "n_tokens_edited", "n_chars_edited", "n_edits", "n_chars_encoded"])
 
     kind = dict(rows.dtypes)["id"]
-    return rows.mapInPandas(
-        count,
+    return in_frames(
+        rows, count,
         f"id {kind}, n_tokens long, n_tokens_edited long, n_chars_edited long, n_edits long, n_chars_encoded long",
     ).withColumnRenamed("id", id_col)

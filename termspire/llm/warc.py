@@ -40,7 +40,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: {record_uri(page_id)}",
         f"WARC-Date: {_DATE}",
-        f"WARC-Target-URI: {' '.join((url or '').split())}",
+        *([f"WARC-Target-URI: {' '.join(url.split())}"] if url is not None else []),
         f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Payload-Length: {len(payload)}",
     ]
@@ -209,13 +209,18 @@ def read_archives(archives: DataFrame, id_col: str = "page_id") -> DataFrame:
 
     Records are sought in the files by the sidecar index, each inflated by itself; digests of responses
     are computed from what is read, and a wrong one fails the job. A
-    revisit's payload is null.
+    revisit's payload is null. Rows leave an archive some PIECE bytes of payload at a time.
     """
 
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        out = dict(zip(("id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"), map(list, zip(*rows, strict=True)), strict=True))
+        # Beside nulls pandas would make doubles of ids, which round large ones.
+        return pd.DataFrame(out | {c: pd.array(out[c], "Int64") for c in ("id", "refers_to")})
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, index_path in zip(batch["path"], batch["index_path"], strict=True):
-                rows = []
+                rows, size = [], 0
                 with files.Reader(path) as file:
                     for entry in read_index(index_path):
                         head, whole = read_record(file, entry)
@@ -226,9 +231,13 @@ def read_archives(archives: DataFrame, id_col: str = "page_id") -> DataFrame:
                             if hashlib.sha1(payload).hexdigest() != digest or n != int(head["X-Payload-Length"]):
                                 raise ValueError("a payload doesn't match its digest")
                         refers = _page(head["WARC-Refers-To"]) if "WARC-Refers-To" in head else None
-                        rows.append((_page(head["WARC-Record-ID"]), head["WARC-Target-URI"], head["WARC-Type"], int(head["X-Payload-Length"]), digest, refers, payload))
-                out = pd.DataFrame(rows, columns=["id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"])
-                yield out.assign(id=out["id"].astype("Int64"), refers_to=out["refers_to"].astype("Int64"))
+                        rows.append((_page(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), head["WARC-Type"], int(head["X-Payload-Length"]), digest, refers, payload))
+                        size += len(payload or b"")
+                        if size >= PIECE:
+                            yield frame(rows)
+                            rows, size = [], 0
+                if rows:
+                    yield frame(rows)
 
     shape = "id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
     return archives.mapInPandas(work, shape).withColumnRenamed("id", id_col)
