@@ -16,7 +16,7 @@ from termspire.operators import scoring as S
 from termspire.operators.view import View
 from termspire.plans import runs
 from termspire.plans import tables as P
-from termspire.sources import corpus, sinks
+from termspire.sources import corpus, paged, sinks
 
 
 def _stop(spark: SparkSession, a: argparse.Namespace, lang: str) -> list[str]:
@@ -48,9 +48,14 @@ def _view(spark: SparkSession, a: argparse.Namespace) -> View:
 
 def build_index(spark, a):
     """Documents of each language, analysed, into an index."""
-    docs = corpus.read_corpus(spark, a.source) if not a.json else corpus.read_json_documents(spark, a.source, a.lang).withColumnRenamed("pat_id", "doc_id")
+    if a.source.startswith(("http://", "https://")):
+        url, _, name = a.source.rstrip("/").rpartition("/")
+        docs, langs = paged.read_paged_documents(spark, url, name, a.lang, slices=a.slices, pause=a.pause).withColumnRenamed("pat_id", "doc_id"), [a.lang]
+    elif a.json:
+        docs, langs = corpus.read_json_documents(spark, a.source, a.lang).withColumnRenamed("pat_id", "doc_id"), [a.lang]
+    else:
+        docs, langs = corpus.read_corpus(spark, a.source), list(STEMMERS)
     docs.write.mode("overwrite").parquet(f"{a.index}/docs")
-    langs = [a.lang] if a.json else list(STEMMERS)
     corpus.write_index(spark.read.parquet(f"{a.index}/docs"), a.index, by_language={lang: _tokens(spark, a, lang) for lang in langs})
     return View.open(spark, a.index, a.lang).by_field()
 
@@ -133,8 +138,10 @@ def parse(args: list[str]) -> argparse.Namespace:
     p.add_argument("stage", choices=sorted(STAGES))
     p.add_argument("--index", required=True)
     p.add_argument("--db", default=None, help="folder of the result tables")
-    p.add_argument("--source", help="what the index is built from")
+    p.add_argument("--source", help="what the index is built from: a folder, files of records, or http://service/index")
     p.add_argument("--json", action="store_true", help="the source holds JSON records")
+    p.add_argument("--slices", type=int, default=8, help="tasks that read a service")
+    p.add_argument("--pause", type=float, default=0.1, help="unit of the pauses between requests, in seconds")
     p.add_argument("--lang", default="en")
     p.add_argument("--fields", nargs="+", default=list(corpus.FIELDS))
     p.add_argument("--ipc", help="section,class,subclass,maingroup,subgroup; later parts may lack")

@@ -16,27 +16,29 @@ FIELDS = ("claims", "detd")
 LANGUAGES = ("de", "en", "fr")
 
 
-def read_json_documents(spark: SparkSession, path: str, lang: str) -> DataFrame:
-    """Source records with claims by language and a description: those that have text in ``lang``.
+def record_documents(records: DataFrame) -> DataFrame:
+    """Source records (lang, PN, CLM, DETD, DETDL, IPC) with claims in ``lang`` or a description in it: (pat_id, lang, claims, detd, ipc).
 
-    Arrays are joined by spaces after control characters and literal ``\\n`` become
-    spaces; codes are distinct. Columns: pat_id, lang, claims, detd, ipc.
+    Arrays are joined by spaces after control characters and literal ``\\n`` become spaces; codes are distinct.
     """
-    claims = f"CLM{lang.upper()}"
-    schema = f"PN string, {claims} array<string>, DETD array<string>, DETDL string, IPC array<string>"
     clean = lambda c: F.trim(F.regexp_replace(F.concat_ws(" ", F.transform(c, lambda x: F.regexp_replace(x, r"\p{Cntrl}|\\n", " "))), r"\s+", " "))
-    raw = spark.read.schema(schema).json(path)
-    own = (F.lower("DETDL") == lang) & F.col("DETD").isNotNull()
-    rows = raw.where(F.col(claims).isNotNull() | own).select(
-        F.col("PN").alias("pat_id"),
-        F.lit(lang).alias("lang"),
-        F.when(F.col(claims).isNotNull(), clean(F.col(claims))).alias("claims"),
+    own = (F.lower("DETDL") == F.col("lang")) & F.col("DETD").isNotNull()
+    rows = records.where(F.col("CLM").isNotNull() | own).select(
+        F.col("PN").alias("pat_id"), "lang",
+        F.when(F.col("CLM").isNotNull(), clean(F.col("CLM"))).alias("claims"),
         F.when(own, clean(F.col("DETD"))).alias("detd"),
         F.array_distinct(F.flatten(F.transform("IPC", lambda c: F.split(c, " ")))).alias("ipc"),
-    )
+    )
     return rows.where("pat_id is not null and (claims is not null or detd is not null)")
 
 
+def read_json_documents(spark: SparkSession, path: str, lang: str) -> DataFrame:
+    """Files of source records with claims by language and a description: those that have text in ``lang``."""
+    claims = f"CLM{lang.upper()}"
+    schema = f"PN string, {claims} array<string>, DETD array<string>, DETDL string, IPC array<string>"
+    return record_documents(spark.read.schema(schema).json(path).select(F.lit(lang).alias("lang"), "PN", F.col(claims).alias("CLM"), "DETD", "DETDL", "IPC"))
+
+
 def read_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``documents`` table in the engine's shape: (doc_id, lang, claims, detd, ipc).
 
