@@ -16,7 +16,7 @@ from termspire.operators import scoring as S
 from termspire.operators.view import View
 from termspire.plans import runs
 from termspire.plans import tables as P
-from termspire.sources import corpus, paged, sinks
+from termspire.sources import corpus, paged, segments, sinks, store
 
 
 def _stop(spark: SparkSession, a: argparse.Namespace, lang: str) -> list[str]:
@@ -36,7 +36,7 @@ def _code(a: argparse.Namespace) -> ipc.Code | None:
 
 
 def _docs(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    docs = spark.read.parquet(f"{a.index}/docs").where(F.col("lang") == a.lang)
+    docs = segments.read_rows(spark, a.index).where(F.col("lang") == a.lang)
     return docs.where(ipc.standard_restriction(F.col("ipc"), _code(a), a.separator)) if a.ipc else docs
 
 
@@ -46,20 +46,52 @@ def _view(spark: SparkSession, a: argparse.Namespace) -> View:
     return view.fields(a.fields) if set(a.fields) != set(corpus.FIELDS) else view
 
 
-def build_index(spark, a):
-    """Documents of each language, analysed, into an index."""
+def _source(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, list[str]]:
+    """The documents of a folder, of files of records or of a service, and the languages that are analysed."""
     if a.source.startswith(("http://", "https://")):
         url, _, name = a.source.rstrip("/").rpartition("/")
-        docs, langs = paged.read_paged_documents(spark, url, name, a.lang, slices=a.slices, pause=a.pause).withColumnRenamed("pat_id", "doc_id"), [a.lang]
-    elif a.json:
-        docs, langs = corpus.read_json_documents(spark, a.source, a.lang).withColumnRenamed("pat_id", "doc_id"), [a.lang]
-    else:
-        docs, langs = corpus.read_corpus(spark, a.source), list(STEMMERS)
-    docs.write.mode("overwrite").parquet(f"{a.index}/docs")
-    corpus.write_index(spark.read.parquet(f"{a.index}/docs"), a.index, by_language={lang: _tokens(spark, a, lang) for lang in langs})
+        return paged.read_paged_documents(spark, url, name, a.lang, slices=a.slices, pause=a.pause).withColumnRenamed("pat_id", "doc_id"), [a.lang]
+    if a.json:
+        return corpus.read_json_documents(spark, a.source, a.lang).withColumnRenamed("pat_id", "doc_id"), [a.lang]
+    return corpus.read_corpus(spark, a.source), list(STEMMERS)
+
+
+def build_index(spark, a):
+    """Documents of each language, analysed, into a new index."""
+    docs, langs = _source(spark, a)
+    store.remove(spark, f"{a.index}/docs")
+    segments.put_rows(docs, a.index, 0)
+    segments.write_index(segments.read_rows(spark, a.index), a.index, by_language={lang: _tokens(spark, a, lang) for lang in langs})
+    return View.open(spark, a.index, a.lang).by_field()
+
+
+def add_documents(spark, a):
+    """More documents, or new versions of some, as a segment of the index."""
+    docs, langs = _source(spark, a)
+    number = segments.latest(spark, a.index).next_number
+    segments.put_rows(docs, a.index, number)
+    own = spark.read.parquet(f"{a.index}/docs/number={number}")
+    segments.add_documents(own, a.index, by_language={lang: _tokens(spark, a, lang) for lang in langs})
+    return View.open(spark, a.index, a.lang).by_field()
+
+
+def delete_documents(spark, a):
+    """Documents go whose ids a file has, one a line."""
+    commit = segments.latest(spark, a.index)
+    ids = spark.read.text(a.source).select(F.nullif(F.trim("value"), F.lit("")).try_cast(commit.id_type).alias("doc_id")).where("doc_id is not null")
+    segments.delete_documents(ids, a.index)
+    segments.drop_rows(ids, a.index, commit.next_number)
     return View.open(spark, a.index, a.lang).by_field()
 
 
+def merge(spark, a):
+    """Small segments become one; what no reader needs any more goes with --vacuum."""
+    segments.merge_segments(spark, a.index, a.below)
+    if a.vacuum:
+        segments.vacuum(spark, a.index)
+    return segments.segment_sizes(spark, a.index).orderBy("seg")
+
+
 def dump_terms(spark, a):
     return runs.dump_terms(spark, a.db, _view(spark, a), a.lang, a.threshold, _stop(spark, a, a.lang), a.ipc)
 
@@ -74,7 +106,8 @@ def sentences(spark, a):
 
 def score(spark, a):
     view, tokens = _view(spark, a), _tokens(spark, a, a.lang)
-    return runs.score(spark, a.db, view, a.impl, a.what, a.lang, tuple(a.fields), None, a.ipc, tokens)
+    names = sorted(S.SCORERS) if a.impl == "ALL" else [a.impl]
+    return [runs.score(spark, a.db, view, name, a.what, a.lang, tuple(a.fields), None, a.ipc, tokens) for name in names][-1]
 
 
 def score_ics(spark, a):
@@ -126,7 +159,7 @@ def check_feedback(spark, a):
 
 #: Each command with the table that it writes, whose metadata row says so.
 STAGES = {
-    "index": (build_index, None), "dump-terms": (dump_terms, "terms"), "sample": (sample_terms, "scoring_terms"), "sentences": (sentences, "scoring_sentences"),
+    "index": (build_index, None), "add": (add_documents, None), "delete": (delete_documents, None), "merge": (merge, None), "dump-terms": (dump_terms, "terms"), "sample": (sample_terms, "scoring_terms"), "sentences": (sentences, "scoring_sentences"),
     "score": (score, "scoring_results"), "score-ics": (score_ics, "scoring_results"), "score-bm25": (score_bm25, "scoring_results_bm25"),
     "analyze-ics": (analyze_ics, "fb_docs"), "ipc-stats": (ipc_stats, "ipc_all"), "ipcs": (ipcs, None), "idx-stats": (idx_stats, "idx_stats"),
     "common-terms": (common_terms, "common_terms"), "term-filter": (term_filter, None), "feedback": (check_feedback, None),
@@ -140,6 +173,8 @@ def parse(args: list[str]) -> argparse.Namespace:
     p.add_argument("--db", default=None, help="folder of the result tables")
     p.add_argument("--source", help="what the index is built from: a folder, files of records, or http://service/index")
     p.add_argument("--json", action="store_true", help="the source holds JSON records")
+    p.add_argument("--below", type=int, help="documents of segments that are merged, at most; all of them without it")
+    p.add_argument("--vacuum", action="store_true")
     p.add_argument("--slices", type=int, default=8, help="tasks that read a service")
     p.add_argument("--pause", type=float, default=0.1, help="unit of the pauses between requests, in seconds")
     p.add_argument("--lang", default="en")
@@ -155,7 +190,7 @@ def parse(args: list[str]) -> argparse.Namespace:
     p.add_argument("--size", type=int, default=50)
     p.add_argument("--picks", type=int, nargs="+", default=[2, 4, 6])
     p.add_argument("--what", choices=("terms", "sentences"), default="terms")
-    p.add_argument("--impl", default="SCS", type=str.upper, choices=sorted(S.SCORERS))
+    p.add_argument("--impl", default="SCS", type=str.upper, choices=["ALL", *sorted(S.SCORERS)])
     p.add_argument("--least", type=int, default=10)
     p.add_argument("--most", type=int, default=500)
     p.add_argument("--band-high", type=float, default=0.1)
@@ -165,7 +200,7 @@ def parse(args: list[str]) -> argparse.Namespace:
     if language(a.lang) is None:
         p.error(f"no analyzer for {a.lang}")
     a.lang = language(a.lang)
-    for need, stages in (("db", [k for k, (_, t) in STAGES.items() if t]), ("query", ["analyze-ics", "feedback"]), ("source", ["index"])):
+    for need, stages in (("db", [k for k, (_, t) in STAGES.items() if t]), ("query", ["analyze-ics", "feedback"]), ("source", ["index", "add", "delete"])):
         if a.stage in stages and not getattr(a, need):
             p.error(f"{a.stage} needs --{need}")
     return a

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termspire.functions.analysis import simple_tokens
+from termspire.operators.joins import meet
 from termspire.operators.view import View
 from termspire.sources.store import stored
 
@@ -42,11 +43,10 @@ def teq_matches(view: View, terms: DataFrame) -> DataFrame:
     """(q_id, doc_id, n_match, n_unique): how many distinct query terms a document has in any visible field.
 
     The exact query wants all of them; each relaxation wants one less, down to one.
-    Queries are few beside postings: the plan joins on the term and Spark broadcasts
-    the queries if they are small.
+    Queries come to the documents' models, which are dealt by document, so pairs are counted where they are made.
     """
     n = terms.groupBy("q_id").agg(F.count("*").alias("n_unique"))
-    pairs = view.doc_model().select("term", "doc_id").join(terms.select("q_id", "term"), "term")
+    pairs = meet(view.doc_model().select("term", "doc_id"), terms.select("q_id", "term"), ["term"])
     found = pairs.groupBy("q_id", "doc_id").agg(F.count("*").alias("n_match"))
     return found.join(n, "q_id").select("q_id", "doc_id", "n_match", "n_unique")
 
@@ -61,8 +61,9 @@ def ctq_matches(view: View, terms: DataFrame, fields: tuple[str, ...], high: flo
     clauses = terms.select("q_id", "term", F.explode(F.array(*map(F.lit, fields))).alias("field"))
     clauses = clauses.join(view.field_terms().select("field", "term", "df"), ["field", "term"], "left").crossJoin(F.broadcast(cut))
     clauses = clauses.select("q_id", "field", "term", (F.coalesce("df", F.lit(0)) > F.col("cut")).alias("is_high"))
+    clauses = stored(clauses, "clauses")
     sizes = clauses.groupBy("q_id").agg(F.count_if(~F.col("is_high")).alias("n_low"), F.count_if("is_high").alias("n_high"))
-    hits = view.postings.select("field", "term", "doc_id").join(clauses, ["field", "term"])
+    hits = meet(view.postings.select("field", "term", "doc_id"), clauses, ["field", "term"])
     hits = hits.groupBy("q_id", "doc_id").agg(F.count_if(~F.col("is_high")).alias("low"), F.count_if("is_high").alias("high"))
     ok = F.when(F.col("n_low") > 0, F.col("low") >= 1).otherwise(F.col("high") == F.col("n_high"))
     return hits.join(sizes, "q_id").where(ok).select("q_id", "doc_id", "low", "high")
@@ -80,7 +81,8 @@ def matched(view: View, terms: DataFrame) -> DataFrame:
 
     ``n_match`` counts distinct terms in any visible field, ``score`` sums sqrt(tf) * idf^2 * norm over clauses,
     to six places. A document's fields are added up for each query term before queries meet them, so a pair of
-    query and document costs a row for each distinct term that they share, and one aggregate.
+    query and document costs a row for each distinct term that they share, and one aggregate. All of it is where the document's
+    bucket is: no pair is shuffled.
     """
     n = view.collection().select("n_docs")
     wanted = terms.select("term").distinct()
@@ -88,11 +90,11 @@ def matched(view: View, terms: DataFrame) -> DataFrame:
         view.field_terms().join(wanted, "term", "left_semi").crossJoin(F.broadcast(n))
         .select("field", "term", (1 + F.ln(F.col("n_docs") / (F.col("df") + 1))).alias("idf"))
     )
-    hits = view.postings.select("field", "term", "doc_id", "tf").join(idf, ["field", "term"]).join(view.field_lengths(), ["doc_id", "field"])
+    hits = meet(view.with_lengths().select("field", "term", "doc_id", "tf", "len"), stored(idf, "idf"), ["field", "term"])
     part = F.sqrt(F.col("tf").cast("double")) * F.col("idf") * F.col("idf") * norm(F.col("len"))
     by_doc = hits.groupBy("doc_id", "term").agg(F.sum(part).alias("part"))
     sizes = terms.groupBy("q_id").agg(F.count("*").alias("n_unique"))
-    found = by_doc.join(terms.select("q_id", "term"), "term").groupBy("q_id", "doc_id")
+    found = meet(by_doc, terms.select("q_id", "term"), ["term"]).groupBy("q_id", "doc_id")
     found = found.agg(F.count("*").alias("n_match"), F.round(F.sum("part"), 6).alias("score"))
     return found.join(sizes, "q_id").select("q_id", "doc_id", "n_match", "n_unique", "score")
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termspire.sources.corpus import read_index
+from termspire.sources.segments import latest, read_index
 from termspire.sources.store import stored
 
 
@@ -24,15 +24,16 @@ class View:
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, lang: str) -> View:
-        """The whole of a language in an index, with the index's statistics."""
-        own = lambda name: read_index(spark, path, name).where(F.col("lang") == lang).drop("lang")
+        """The whole of a language in an index, with the index's statistics; of one in several segments, with ``seg``."""
+        several = (commit := latest(spark, path)) is not None and len(commit.segments) > 1
+        own = lambda name: read_index(spark, path, name).where(F.col("lang") == lang).drop("lang", *["seg"] * (not several))
         return cls(own("postings"), {name: own(name) for name in ("field_terms", "lengths", "models")})
 
     def stored(self, name: str = "view") -> View:
         """The same view with its postings and statistics written once, for plans that read them in many places."""
-        v = View(stored(self.postings.select("doc_id", "field", "term", "tf"), f"{name}-postings"))
+        v = View(stored(self.postings.select("doc_id", "field", "term", "tf", *self._seg), f"{name}-postings"))
         return View(v.postings, {
-            "field_terms": stored(v.field_terms(), f"{name}-terms"), "lengths": stored(v.field_lengths(), f"{name}-lengths"),
+            "field_terms": stored(v._segment_terms(), f"{name}-terms"), "lengths": stored(v.field_lengths(), f"{name}-lengths"),
             "models": stored(v.doc_model(), f"{name}-models"),
         })
 
@@ -79,11 +80,20 @@ class View:
 
     # Statistics
 
-    def field_terms(self) -> DataFrame:
-        """(field, term, tf, df): a posting is a document's, so counting rows counts documents."""
+    @property
+    def _seg(self) -> list[str]:
+        return ["seg"] * ("seg" in self.postings.columns)
+
+    def _segment_terms(self) -> DataFrame:
+        """(field, term, tf, df[, seg]): a posting is a document's, so counting rows counts documents."""
         if "field_terms" in self.kept:
-            return self.kept["field_terms"].select("field", "term", "tf", "df")
-        return self.postings.groupBy("field", "term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+            return self.kept["field_terms"].select("field", "term", "tf", "df", *self._seg)
+        return self.postings.groupBy("field", "term", *self._seg).agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+
+    def field_terms(self) -> DataFrame:
+        """(field, term, tf, df), over all segments."""
+        rows = self._segment_terms()
+        return rows.groupBy("field", "term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")) if self._seg else rows
 
     def field_lengths(self) -> DataFrame:
         """(doc_id, field, len): tokens of each field."""
@@ -91,9 +101,16 @@ class View:
             return self.kept["lengths"].select("doc_id", "field", "len")
         return self.postings.groupBy("doc_id", "field").agg(F.sum("tf").alias("len"))
 
+    def with_lengths(self) -> DataFrame:
+        """Postings with ``len``, the tokens of their field: in the index they have it, a restricted view counts what it shows."""
+        if "lengths" in self.kept and "len" in self.postings.columns:
+            return self.postings
+        return self.postings.drop("len").join(self.field_lengths(), ["doc_id", "field"])
+
     def by_term(self) -> DataFrame:
-        """(term, tf, df): frequencies sum over fields, document frequencies take the largest field's."""
-        return self.field_terms().groupBy("term").agg(F.sum("tf").alias("tf"), F.max("df").alias("df"))
+        """(term, tf, df): frequencies sum over fields, document frequencies take each segment's largest field and sum over segments."""
+        rows = self._segment_terms().groupBy("term", *self._seg).agg(F.sum("tf").alias("tf"), F.max("df").alias("df"))
+        return rows.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")) if self._seg else rows
 
     def collection(self) -> DataFrame:
         """One row: ttf, n_docs, n_uniq."""
@@ -116,7 +133,7 @@ class View:
         return terms.join(docs, F.col("field").eqNullSafe(F.col("d_field"))).select("field", "ttf", "utf", "docs")
 
     def term_stats(self) -> DataFrame:
-        """(term, tf, df, rel_tf, rel_df): frequencies sum over fields, document frequencies take the largest field's."""
+        """(term, tf, df, rel_tf, rel_df) of :meth:`by_term`."""
         return self.by_term().crossJoin(F.broadcast(self.collection())).select(  # one row
             "term", "tf", "df", (F.col("tf") / F.col("ttf")).alias("rel_tf"), (F.col("df") / F.col("n_docs")).alias("rel_df")
         )

@@ -14,8 +14,8 @@ from termspire.operators import retrieval as R
 from termspire.operators import scoring as S
 from termspire.operators.view import View
 from termspire.plans import tables as P
-from termspire.sources import store
-from termspire.sources.corpus import FIELDS, counts, read_corpus, write_index
+from termspire.sources import segments, store
+from termspire.sources.corpus import FIELDS, counts, read_corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -127,9 +127,9 @@ def index_of(spark: SparkSession, sf_dir: str) -> str:
     key = (spark.sparkContext.applicationId, sf_dir)
     state = store.state(spark, f"{sf_dir}/documents.parquet")
     path, built = _BUILT.get(key, ("", ""))
-    if built != state or not store.exists(spark, f"{path}/models/_SUCCESS"):
+    if built != state or not store.exists(spark, f"{path}/commits"):
         path = store.fresh_path(spark, "index")
-        write_index(read_corpus(spark, sf_dir), path)
+        segments.write_index(read_corpus(spark, sf_dir), path)
         _BUILT[key] = (path, state)
     return path
 
@@ -139,6 +139,24 @@ def view(spark: SparkSession, sf_dir: str, lang: str = "en") -> View:
     return View.open(spark, index_of(spark, sf_dir), lang)
 
 
+def segmented(spark: SparkSession, sf_dir: str, merged: bool = False) -> View:
+    """The English documents in an index that grew: three in four first, then the rest and new versions of some, with the fields
+    changed over; then some were deleted."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}|{merged}")
+    state = store.state(spark, f"{sf_dir}/documents.parquet")
+    path, built = _BUILT.get(key, ("", ""))
+    if built != state or not store.exists(spark, f"{path}/commits"):
+        path, docs = store.fresh_path(spark, "segments"), read_corpus(spark, sf_dir).where("lang = 'en'").drop("ipc")
+        segments.write_index(docs.where("doc_id % 4 <> 3"), path)
+        changed = docs.where("doc_id % 20 = 0").select("doc_id", "lang", F.col("detd").alias("claims"), F.col("claims").alias("detd"))
+        segments.add_documents(docs.where("doc_id % 4 = 3").unionByName(changed), path)
+        segments.delete_documents(docs.where("doc_id % 31 = 7"), path)
+        if merged:
+            segments.merge_segments(spark, path)
+        _BUILT[key] = (path, state)
+    return View.open(spark, path, "en")
+
+
 def bench(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("q_id"), "text")
 
@@ -165,6 +183,27 @@ def idx_stats(spark, sf_dir):
     return view(spark, sf_dir).by_field()
 
 
+_GROWN = """, seg AS (
+  SELECT doc_id, term, tf, CASE WHEN doc_id % 20 <> 0 THEN field WHEN field = 'claims' THEN 'detd' ELSE 'claims' END AS field,
+         CASE WHEN doc_id % 4 = 3 OR doc_id % 20 = 0 THEN 2 ELSE 1 END AS s
+  FROM post WHERE doc_id % 31 <> 7)
+SELECT term, CAST(sum(tf) AS BIGINT) AS tf, CAST(sum(df) AS BIGINT) AS df, round(sum(df) / (SELECT count(DISTINCT doc_id) FROM seg)::double, 9) AS rel_df FROM (
+  SELECT s, term, sum(tf) AS tf, max(df) AS df FROM (SELECT <s> AS s, term, field, sum(tf) AS tf, count(*) AS df FROM seg GROUP BY ALL) GROUP BY ALL)
+GROUP BY term"""
+
+
+@query(_GROWN.replace("<s>", "s"))
+def segment_stats(spark, sf_dir):
+    """Of each segment the largest field counts, and segments add up."""
+    return segmented(spark, sf_dir).term_stats().select("term", "tf", "df", F.round("rel_df", 9).alias("rel_df"))
+
+
+@query(_GROWN.replace("<s>", "1"))
+def segment_merge(spark, sf_dir):
+    """After a merge all documents are in one segment."""
+    return segmented(spark, sf_dir, merged=True).term_stats().select("term", "tf", "df", F.round("rel_df", 9).alias("rel_df"))
+
+
 @query("SELECT term, CAST(tf AS BIGINT) AS tf, df, round(rel_tf, 9) AS rel_tf, round(rel_df, 9) AS rel_df FROM ts")
 def term_stats(spark, sf_dir):
     return view(spark, sf_dir).term_stats().select("term", "tf", "df", F.round("rel_tf", 9).alias("rel_tf"), F.round("rel_df", 9).alias("rel_df"))

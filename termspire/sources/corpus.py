@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termspire.functions.analysis import simple_tokens
-from termspire.sources import store
 
 FIELDS = ("claims", "detd")
 #: Languages that have an analyzer; documents of others are dropped.
@@ -93,38 +91,6 @@ def counts(docs: DataFrame, fields: Iterable[str] = FIELDS, tokens: Tokens | Map
     return rows.groupBy("lang", "doc_id", "field", "term").agg(F.count("*").alias("tf"))
 
 
-def write_index(
-    docs: DataFrame, path: str, fields: Iterable[str] = FIELDS, tokens: Tokens | Mapping[str, Tokens] = simple_tokens,
-    by_language: Mapping[str, Tokens] | None = None,
-) -> None:
-    """Postings and their statistics as Parquet, a folder a language.
-
-    Postings are dealt by ranges of (lang, term, doc_id), so files hold neighbouring terms and a
-    very common term fills as many files as it needs. Beside them stand field_terms (lang, field, term, tf, df),
-    lengths (lang, doc_id, field, len) and models (lang, doc_id, term, mtf). ``by_language`` analyses
-    each language's documents with an analyzer (and stop words) of its own; documents of other languages are left out.
-    """
-    fields = tuple(fields)
-    if by_language:
-        parts = [postings(docs.where(F.col("lang") == lang), fields, t) for lang, t in by_language.items()]
-        rows = reduce(DataFrame.unionByName, parts)
-    else:
-        rows = postings(docs, fields, tokens)
-    put = lambda df, name: df.write.mode("overwrite").partitionBy("lang").parquet(f"{path}/{name}")
-    put(rows.repartitionByRange("lang", "term", "doc_id").sortWithinPartitions("lang", "term", "doc_id"), "postings")
-    kept = docs.sparkSession.read.schema(rows.schema).parquet(f"{path}/postings")
-    put(kept.groupBy("lang", "field", "term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df")), "field_terms")
-    put(kept.groupBy("lang", "doc_id", "field").agg(F.sum("tf").alias("len")), "lengths")
-    put(kept.groupBy("lang", "doc_id", "term").agg(F.count("*").alias("mtf")), "models")
-
-
-def read_index(spark: SparkSession, path: str, name: str = "postings") -> DataFrame:
-    """A table of the index; fails if there is no complete index at ``path``."""
-    if not store.exists(spark, f"{path}/models/_SUCCESS"):
-        raise FileNotFoundError(f"no index at {path}")
-    return spark.read.parquet(f"{path}/{name}")
-
-
 def stopword_path(folder: str, pattern: str, lang: str) -> str:
     """The word list of a language: ``<pattern>_<lang>.txt``."""
     return f"{folder.rstrip('/')}/{pattern}_{lang.lower()}.txt"

@@ -66,3 +66,36 @@ def state(spark: SparkSession, path: str) -> str:
         f = files.next()
         found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
     return "\n".join(sorted(found))
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """The files and folders in a folder; none if it isn't there."""
+    p, fs = _path(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file as a whole, unless there is one already."""
+    p, fs = _path(spark, path)
+    if fs.exists(p):
+        return False
+    draft = p.suffix(f".{uuid.uuid4().hex}")
+    out = fs.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    # A rename never replaces a file on stores that follow Hadoop's rules.
+    done = not fs.exists(p) and fs.rename(draft, p)
+    if not done:
+        fs.delete(draft, False)
+    return done
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, whole."""
+    p, fs = _path(spark, path)
+    size = fs.getFileStatus(p).getLen()
+    stream = fs.open(p)
+    try:
+        return bytes(b & 0xFF for b in spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, int(size))).decode()
+    finally:
+        stream.close()

@@ -13,7 +13,7 @@ from termspire.operators import retrieval as R
 from termspire.operators import scoring as S
 from termspire.operators.view import View
 from termspire.plans import tables as P
-from termspire.sources import corpus, sinks
+from termspire.sources import corpus, segments, sinks
 
 
 @pytest.fixture(scope="module")
@@ -233,14 +233,14 @@ def test_sources_and_sinks(spark, tmp_path):
     assert corpus.stopword_path("/x/", "stop", "EN") == "/x/stop_en.txt"
     docs = spark.createDataFrame([(1, "en", "a b a", None), (2, "de", "Häuser", "b")], "doc_id long, lang string, claims string, detd string")
     with pytest.raises(FileNotFoundError):
-        corpus.read_index(spark, str(tmp_path / "idx"))
-    corpus.write_index(docs, str(tmp_path / "idx"))
-    back = {r.term: (r.tf, r.positions) for r in corpus.read_index(spark, str(tmp_path / "idx")).where("lang = 'en'").collect()}
+        segments.read_index(spark, str(tmp_path / "idx"))
+    segments.write_index(docs, str(tmp_path / "idx"))
+    back = {r.term: (r.tf, r.positions) for r in segments.read_index(spark, str(tmp_path / "idx")).where("lang = 'en'").collect()}
     assert back == {"a": (2, [0, 2]), "b": (1, [1])}
     opened = View.open(spark, str(tmp_path / "idx"), "en")
     assert tuple(opened.collection().first()) == (3, 1, 2) and opened.doc_model().count() == 2 and opened.stored().by_field().count() == 2
-    corpus.write_index(docs, str(tmp_path / "idx2"), by_language={"de": analysis.language_tokens("de", ["b"])})
-    assert [r.term for r in corpus.read_index(spark, str(tmp_path / "idx2")).collect()] == ["haus"]
+    segments.write_index(docs, str(tmp_path / "idx2"), by_language={"de": analysis.language_tokens("de", ["b"])})
+    assert [r.term for r in segments.read_index(spark, str(tmp_path / "idx2")).collect()] == ["haus"]
     new = spark.createDataFrame([("A", "claims", 3)], "section string, field string, count long")
     root = str(tmp_path / "db")
     assert not sinks.exists(spark, root, "ipc_docfieldcount")
@@ -297,13 +297,14 @@ def test_commands(spark, tmp_path):
     index, db = str(tmp_path / "idx"), str(tmp_path / "db")
     go = lambda *args: cli.run(spark, [args[0], "--index", index, "--db", db, "--stop-dir", str(tmp_path), "--analyzer", "bare", *args[1:]])
     assert go("index", "--source", str(tmp_path / "src")).where("field is null").first().docs == 20
-    assert corpus.read_index(spark, index).where("lang = 'en' and term = 'w0'").isEmpty() and not corpus.read_index(spark, index).where("lang = 'de' and term = 'w0'").isEmpty()
+    assert segments.read_index(spark, index).where("lang = 'en' and term = 'w0'").isEmpty() and not segments.read_index(spark, index).where("lang = 'de' and term = 'w0'").isEmpty()
     assert go("dump-terms", "--threshold", "0.01").where("term = 'w0'").isEmpty()
     n = go("sample", "--fields", "claims", "--size", "4", "--picks", "1", "2").count()
     assert n > 2 and go("sentences", "--fields", "claims").count() == n
     assert go("score", "--what", "sentences").where("impl = 'SCS' and score is not null").count() == n
     assert go("score-ics", "--least", "1", "--band-high", "1").where("icsconf_ref is not null").count() == n
     assert go("score", "--impl", "dcs").where("impl = 'DCS'").count() == n
+    assert go("score", "--impl", "all", "--fields", "claims").groupBy("impl").count().count() == 3
     assert go("score-bm25", "--amount", "3").count() >= n
     assert go("analyze-ics", "--query", "w2 w3", "--least", "1", "--band-high", "1").count() > 10
     assert go("ipc-stats").count() >= 1 and go("ipcs", "--ipc", "A").where("matched").count() >= 0 and go("idx-stats").count() == 3
