@@ -12,14 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from termspire.operators.joins import LIGHT, spread_join
 from termspire.sources.store import remove, shared_dir, stored
 
-__all__ = ["in_frames", "in_order", "read", "remove", "share_bound", "shared_dir", "spread_join", "table", "text_of", "trimmed"]
+__all__ = ["LIGHT", "in_frames", "in_order", "read", "remove", "share_bound", "shared_dir", "spread_join", "table", "text_of", "trimmed"]
 
-#: Keys of which :func:`spread_join` broadcasts the other side, at most.
-MOST_HEAVY = 10_000
-#: Rows of one key that are no matter.
-LIGHT = 1_000
 #: Hash values that :func:`share_bound` divides.
 SPACE = 1 << 62
 
@@ -29,21 +26,6 @@ def table(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return stored(df, name, compression)
 
 
-def spread_join(rows: DataFrame, side: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``side``, which has a row a key, without gathering the rows of a common key.
-
-    Keys with more than 1 / MOST_HEAVY of all rows are MOST_HEAVY at most, whatever the size of the table:
-    their part of ``side`` is broadcast and their rows stay where they are. All others are shuffled; none of them has
-    more than that share of the rows. ``how`` is inner, left or left_semi. Give stored tables: both are read more than once.
-    """
-    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
-    total = rows.agg(F.greatest(F.lit(LIGHT), F.count("*") / MOST_HEAVY).alias("_least"))
-    heavy = counts.crossJoin(F.broadcast(total)).where("_n > _least").select(key)  # one row
-    own = side.join(F.broadcast(heavy), key, "left_semi")
-    hot = rows.join(F.broadcast(heavy), key, "left_semi").join(F.broadcast(own), key, how)
-    return hot.unionByName(rows.join(F.broadcast(heavy), key, "left_anti").join(side, key, how))
-
-
 def in_order(rows: DataFrame, name: str, *keys: Column) -> DataFrame:
     """``rows`` written in ranges of ``keys``, with ``_part``: the number of the range, which rises with the keys.
 

@@ -46,10 +46,10 @@ def root(links, nodes):
 
 
 def test_components_of_hubs(spark, monkeypatch):
-    from termspire.llm import common
     from termspire.llm import components as module
+    from termspire.operators import joins
 
-    monkeypatch.setattr(common, "LIGHT", 3)
+    monkeypatch.setattr(joins, "LIGHT", 3)
     monkeypatch.setattr(module, "LIGHT", 3)
     edges = [(7, i) for i in range(100, 150)] + [(i, i + 1) for i in range(149, 160)] + [(5, 3), (500, 400), (500, 401), (500, 402), (500, 403)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -178,9 +178,10 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
 
 def test_spread_join(spark, monkeypatch):
     from termspire.llm import common
+    from termspire.operators import joins
 
-    monkeypatch.setattr(common, "LIGHT", 5)
-    monkeypatch.setattr(common, "MOST_HEAVY", 4)
+    monkeypatch.setattr(joins, "LIGHT", 5)
+    monkeypatch.setattr(joins, "MOST_HEAVY", 4)
     rng = random.Random(32)
     rows = spark.createDataFrame([(rng.choice([1, 1, 1, 2, 3, 4, 5, None]), i) for i in range(300)], "k long, x long")
     side = spark.createDataFrame([(1, "a"), (3, "b"), (9, "c")], "k long, y string")
@@ -234,7 +235,7 @@ def test_embedding_leaves_split_again(spark, monkeypatch):
     for name, value in (("SAMPLE", 40), ("LEAF", 20), ("MOST", 60), ("BLOCK", 50), ("FITTED", 1)):
         monkeypatch.setattr(embedding_dedup, name, value)
     seen = []
-    monkeypatch.setattr(embedding_dedup, "split_again", lambda at, v, f=embedding_dedup.split_again: seen.append((at, f(at, v))) or seen[-1][1])
+    monkeypatch.setattr(embedding_dedup, "split_again", lambda at, v, w, f=embedding_dedup.split_again: seen.append((at, f(at, v, w))) or seen[-1][1])
     rng = np.random.default_rng(6)
     rows = []
     for dim, start, n in ((32, 0, 500), (24, 1000, 300)):
@@ -266,11 +267,41 @@ def test_embedding_recall_by_dimension(dim):
     z = rng.standard_normal((1000, dim))
     z -= (z * x[:1000]).sum(axis=1, keepdims=True) * x[:1000]
     y = 0.981 * x[:1000] + (1 - 0.981**2) ** 0.5 * z / np.linalg.norm(z, axis=1, keepdims=True)
-    forest = embedding_dedup.fit(x, 150)
-    a, b = embedding_dedup.assign(x, forest), embedding_dedup.assign(y, forest)
-    assert np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b, strict=False)]) > 0.998
-    print(dim, np.mean([len(p) for p in a]), np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b, strict=False)]))
-    assert 10 < np.mean([len(p) for p in a]) < 60
+    shape = embedding_dedup.plan(np.log2(3000 / 150))
+    forest = embedding_dedup.fit(x, 150, shape)
+    a, b = embedding_dedup.assign(x, forest, shape.spill), embedding_dedup.assign(y, forest, shape.spill)
+    found = np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b, strict=False)])
+    print(dim, shape, np.mean([len(p) for p in a]), found)
+    assert found > 0.998 and np.mean([len(p) for p in a]) < 12
+
+
+def test_leaves_grow_slowly():
+    """A vector's leaves follow the plan, whose growth for four times the rows falls with the depth."""
+    planned = {d: p.trees * (1 + 0.8 * p.spill) ** d for d in range(0, 36, 2) for p in [embedding_dedup.plan(d)]}
+    print({d: round(planned[d + 2] / planned[d], 2) for d in planned if d + 2 in planned})
+    assert all(planned[d + 2] < (1.65 if d < 10 else 1.4 if d < 14 else 1.25 if d < 20 else 1.2) * planned[d] for d in range(4, 34, 2))
+    rng, leaves = np.random.default_rng(1), []
+    for k in (10, 40, 160):
+        x = rng.standard_normal((k * 60, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        shape = embedding_dedup.plan(np.log2(k))
+        forest = embedding_dedup.fit(x, 60, shape)
+        leaves.append(np.mean([len(p) for p in embedding_dedup.assign(x, forest, shape.spill)]))
+    print(leaves)
+    assert leaves[1] < 1.6 * leaves[0] and leaves[2] < 1.6 * leaves[1]
+
+
+def test_pairs_of_earlier_leaves(monkeypatch):
+    """One by one or as a product, the same pairs are left."""
+    rng = np.random.default_rng(2)
+    leaves = [np.unique(rng.integers(0, 40, rng.integers(1, 6))) for _ in range(90)]
+    earlier = embedding_dedup._earlier(leaves, 25)
+    near = rng.random((90, 90)) < 0.3
+    want = np.array([[near[i, j] and not (set(leaves[i][leaves[i] < 25]) & set(leaves[j][leaves[j] < 25])) for j in range(90)] for i in range(90)])
+    for few in (0, 25, 1000):
+        monkeypatch.setattr(embedding_dedup, "FEW", few)
+        assert (embedding_dedup._fresh(near, earlier, earlier) == want).all()
+    assert (embedding_dedup._fresh(near, earlier[:, :0], earlier[:, :0]) == near).all()
 
 
 def test_packing(spark):
