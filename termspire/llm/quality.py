@@ -20,6 +20,8 @@ RARE, LONGEST, LINES = SAMPLE // 4, 1 << 20, 500_000
 THRESHOLD = 0.7
 #: Text bytes whose lines are described at once (some 70 bytes of memory each), and rows of a batch whose texts are taken out at once.
 GROUP, ROWS = 1 << 19, 512
+#: Lines that are described at once (some 3 KB of memory each); a text of more lines, or of more than GROUP bytes, is gone through in slices.
+SLICE = 20_000
 BINS = 6
 
 _KINDS = ("lower", "upper", "digit", "space", "point", "mark", "bar", "symbol", "high")
@@ -75,6 +77,46 @@ def describe(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return f, n, lines
 
 
+def slices(text: bytes) -> Iterator[bytes]:
+    """``text`` in runs of whole lines, SLICE of them or GROUP bytes at most; a line is never cut."""
+    stops = np.append(np.flatnonzero(np.frombuffer(text, np.uint8) == 10), len(text))
+    at = start = 0
+    while at < len(stops):
+        end = max(at + 1, min(at + SLICE, int(np.searchsorted(stops, start + GROUP, side="right"))))
+        yield text[start : stops[end - 1]]
+        start, at = int(stops[end - 1]) + 1, end
+
+
+def forward(score: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """log sums over all labellings of the lines up to each one, by its label, for one long chain.
+
+    The chain is cut into as many blocks as a block has lines. All blocks go through their lines side by side, each with the 2 x 2 products of its
+    own lines' moves; then blocks are joined one after the other, so a chain of n lines takes two times the root of n steps.
+    """
+    n = len(score) - 1
+    out = np.empty_like(score)
+    out[0] = score[0]
+    if not n:
+        return out
+    m = int(np.ceil(np.sqrt(n)))
+    k = -(-n // m)
+    own = np.zeros((k * m, 2))
+    own[:n] = score[1:]
+    own = own.reshape(k, m, 2)
+    upto = np.empty((m, k, 2, 2))
+    upto[0] = t + own[:, 0, None, :]
+    for i in range(1, m):
+        before = upto[i - 1]
+        upto[i] = np.logaddexp(before[:, :, :1] + t[0], before[:, :, 1:] + t[1]) + own[:, i, None, :]
+    entry = np.empty((k, 2))
+    entry[0] = score[0]
+    for b in range(1, k):
+        entry[b] = np.logaddexp(entry[b - 1, 0] + upto[-1, b - 1, 0], entry[b - 1, 1] + upto[-1, b - 1, 1])
+    reached = np.logaddexp(entry[:, :1] + upto[:, :, 0], entry[:, 1:] + upto[:, :, 1])
+    out[1:] = reached.transpose(1, 0, 2).reshape(-1, 2)[:n]
+    return out
+
+
 class Model:
     """Weights of the field, with 0 for a bad and 1 for a good line."""
 
@@ -152,6 +194,34 @@ class Model:
         w = size + 1e-3
         return np.add.reduceat(good * w, first) / np.add.reduceat(w, first)
 
+    def long_share(self, text: bytes) -> float:
+        """:meth:`share` of one text in slices: only one number and the size of each line are kept for the whole of it."""
+        us, sizes = [], []
+        base = before = None
+
+        def describe_with(after: np.ndarray | None) -> None:
+            """``base`` between the lines that stand around it; these are dropped again."""
+            around = [x for x in (before, base, after) if x is not None]
+            x = self.features(np.concatenate(around), np.array([sum(map(len, around))]))
+            us.append((x @ self.weights)[before is not None : len(x) - (after is not None)])
+
+        for part in slices(text):
+            rows, size, _ = describe([part])
+            if base is not None:
+                describe_with(rows[:1])
+                before = base[-1:]
+            base = rows
+            sizes.append(size)
+        describe_with(None)
+        score = np.zeros((sum(map(len, us)), 2))
+        score[:, 1] = np.concatenate(us)
+        a = forward(score, self.transitions)
+        # The way back is the way there of the turned chain.
+        b = forward(score[::-1], self.transitions.T)[::-1] - score
+        good = np.exp(a[:, 1] + b[:, 1] - np.logaddexp(a[-1, 0], a[-1, 1]))
+        w = np.concatenate(sizes) + 1e-3
+        return float(good @ w / w.sum())
+
     def score(self, share: np.ndarray) -> np.ndarray:
         p = np.clip(share, 1e-6, 1 - 1e-6)
         return 1 / (1 + np.exp(-(self.calibration[0] + self.calibration[1] * np.log(p / (1 - p)))))
@@ -246,16 +316,30 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
 
 
 def _scores(raw: list[bytes], model: Model | Prior) -> np.ndarray:
-    """A score for each text, GROUP bytes at a time."""
+    """A score for each text, GROUP bytes or SLICE lines at a time."""
     scores = np.full(len(raw), model.value if isinstance(model, Prior) else 0.0)
     if isinstance(model, Prior):
         return scores
-    start, size = 0, 0
+    some: list[int] = []
+    size = lines = 0
+
+    def close() -> None:
+        nonlocal size, lines
+        if some:
+            scores[some] = model.score(model.share(*describe([raw[i] for i in some])))
+        some.clear()
+        size = lines = 0
+
     for i, t in enumerate(raw):
-        size += len(t) + 1
-        if size >= GROUP or i == len(raw) - 1:
-            scores[start : i + 1] = model.score(model.share(*describe(raw[start : i + 1])))
-            start, size = i + 1, 0
+        own = t.count(b"\n") + 1
+        if len(t) > GROUP or own > SLICE:
+            scores[i] = model.score(np.array([model.long_share(t)]))[0]
+            continue
+        if size + len(t) > GROUP or lines + own > SLICE:
+            close()
+        some.append(i)
+        size, lines = size + len(t), lines + own
+    close()
     return scores
 
 
@@ -280,7 +364,7 @@ def keep_good(docs: DataFrame, model: Model | Prior, text_col: str = "text", thr
 def score(docs: DataFrame, model: Model | Prior, id_col: str = "doc_id") -> DataFrame:
     """(id, held_out, score, predicted) of every row, from its whole text alone.
 
-    Null text is empty; a very long text is one chain, held whole. A :class:`Prior` gives every row the same
+    Null text is empty; a very long text is one chain, of which some numbers a line are held. A :class:`Prior` gives every row the same
     score. Rows that repeat score alike; other columns are ignored; an empty table gives no rows.
     """
 
