@@ -24,6 +24,8 @@ NEEDS = ("@", "[0-9]", "[0-9]", r"\+")
 TOKEN = r"(?<!\S)(?=[^\s0-9@]*+[0-9@])\S++"
 OTHER = len(KINDS)
 _BYTE = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+#: Scores that rise by no more than this change nothing any more.
+RISE = 0.01
 
 
 def _valid(kind: Column, value: Column) -> Column:
@@ -132,17 +134,19 @@ def instances(spans: DataFrame) -> DataFrame:
 
 
 def discover(
-    spans: DataFrame, rounds: int = 3, min_support: int = 3, min_confidence: float = 0.75
+    spans: DataFrame, rounds: int | None = None, min_support: int = 3, min_confidence: float = 0.75
 ) -> DataFrame:
     """Further spans (id, th, kind, start, end) that contexts of entities point at.
 
     A lexical pattern is the two words before an instance, or the two behind it; the graph has each distinct
-    pair of pattern and value. Seeds score 1. In each of ``rounds`` rounds a pattern's support for a kind is the number
-    of its values that score ``min_confidence`` or more, whether seeds or found in a round before, and its confidence
-    the sum of these scores over all of its values; with ``min_support`` and ``min_confidence`` it is trusted,
-    and its values score the best confidence of the patterns that they stand in. So found identifiers induce
-    patterns of the next round, which find more. Every round is a few aggregates and joins over the graph; common patterns
-    and values are joined by :func:`spread_join`. Candidates in a trusted pattern are the spans found.
+    pair of pattern and value. Seeds score 1. In each round a pattern's support for a kind is the number
+    of its values that are trusted to be of it, whether seeds or found in a round before, and its confidence
+    the sum of their scores over all of its values; with ``min_support`` and ``min_confidence`` it is trusted,
+    and so are its values, which score the best confidence that a pattern of theirs has had. So
+    found identifiers induce patterns of the next round, which find more. Rounds go on until no value is newly trusted and no score
+    rises by more than RISE, unless ``rounds`` says how many are wanted; values and scores only rise, so there is an end. Every round
+    is a few aggregates and joins over the graph; common patterns and values are joined by :func:`spread_join`. Candidates in a
+    trusted pattern are the spans found.
     """
     rows = table(instances(spans), "contexts")
     sided = F.array(F.struct(F.lit("<").alias("side"), F.col("left").alias("words")), F.struct(F.lit(">").alias("side"), F.col("right").alias("words")))
@@ -154,15 +158,22 @@ def discover(
     sizes = table(graph.groupBy("pattern").agg(F.count("*").alias("size")).where(F.col("size") >= min_support), "sizes")
     graph = table(spread_join(graph, sizes, "pattern").select("pattern", "value", "size"), "graph")
     scores, trust = table(seeds, "scores"), None
-    for _ in range(rounds):
-        known = spread_join(graph, scores.where(F.col("score") >= min_confidence), "value")
+    while True:
+        known = spread_join(graph, scores, "value")
         mass = known.groupBy("pattern", "kind").agg(F.count("*").alias("support"), F.sum("score").alias("mass"), F.max("size").alias("size"))
         mass = mass.withColumn("confidence", F.col("mass") / F.col("size")).where((F.col("support") >= min_support) & (F.col("confidence") >= min_confidence))
         best = mass.groupBy("pattern").agg(F.max(F.struct("confidence", -F.col("kind"))).alias("b"))
         trust = table(best.select("pattern", F.col("b.confidence").alias("confidence"), (-F.col("b.col2")).alias("kind")), "patterns")
         found = spread_join(graph, trust, "pattern").groupBy("value").agg(F.max(F.struct(F.col("confidence").alias("score"), -F.col("kind"))).alias("b"))
-        found = found.select("value", (-F.col("b.col2")).alias("kind"), "b.score").join(seeds.select("value"), "value", "left_anti")
-        scores = table(seeds.unionByName(found.select("value", "kind", "score")), "scores")
+        found = found.select("value", (-F.col("b.col2")).alias("kind"), "b.score").unionByName(scores.withColumn("old", F.col("score")), allowMissingColumns=True)
+        best = found.groupBy("value").agg(F.max(F.struct("score", -F.col("kind"))).alias("b"), F.max("old").alias("old"), F.max(F.struct("old", "kind")).alias("was"))
+        seed = F.col("was.old") == 1.0
+        kind = F.when(seed, F.col("was.kind")).otherwise(-F.col("b.col2"))
+        scores = table(best.select("value", kind.alias("kind"), "b.score", (F.col("b.score") - F.coalesce("old", F.lit(0.0))).alias("rise")), "scores")
+        rounds = None if rounds is None else rounds - 1
+        if rounds == 0 or scores.where(F.col("rise") > RISE).isEmpty():
+            break
+        scores = scores.drop("rise")
     open_ = table(placed.where("seed is null").select("id", "th", "start", "end", "pattern"), "candidates")
     hits = spread_join(open_, trust, "pattern").groupBy("id", "th", "start", "end").agg(F.max(F.struct("confidence", -F.col("kind"))).alias("b"))
     return hits.select("id", "th", (-F.col("b.col2")).alias("kind"), "start", "end")

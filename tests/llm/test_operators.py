@@ -870,7 +870,22 @@ def test_pii_found_entities_induce_patterns(spark):
     assert 100 in first and 300 not in first
 
 
-def plain_spans(rows, rounds=3, support=3, confidence=0.75):
+def test_pii_goes_on_until_nothing_is_found(spark):
+    """Each round's identifiers stand in a context of their own, which points at the next ones; the eighth round's are found."""
+    rows, seeds, rounds = [], [f"+1 555 010 {1000 + i}" for i in range(20)], 7
+    for k in range(rounds):
+        # A pattern is trusted once the six identifiers of the level before are; then it points at six more.
+        own = [*seeds, *(f"7{k - 1}-{3000 + i}" for i in range(6 * (k > 0))), *(f"7{k}-{3000 + i}" for i in range(6))]
+        rows += [(1000 * k + i, f"see entry {chr(97 + k) * 2} {value} {chr(97 + k)}{chr(97 + i)} and so on") for i, value in enumerate(own)]
+    got = {r.doc_id: len(r.spans) for r in pii.find_pii(frame(spark, rows)).collect()}
+    assert set(got.values()) == {1}
+    assert {key: len(own) for key, own in plain_spans(rows).items()} == got
+    spans = pii.matches(frame(spark, rows).selectExpr("doc_id as id", "text", "xxhash64(text) as th"))
+    early = {r.id // 1000 for r in pii.discover(spans.where(pii._valid(F.col("kind"), F.col("value"))), rounds=3).collect()}
+    assert early == {0, 1, 2}
+
+
+def plain_spans(rows, support=3, confidence=0.75):
     """All spans of each row, by loops over texts, tokens and pairs."""
     items = []
     for key, text in rows:
@@ -909,7 +924,7 @@ def plain_spans(rows, rounds=3, support=3, confidence=0.75):
                 if seed is not None:
                     seeds[value] = max(seed, seeds.get(value, 0))
     scores, trust = {v: (k, 1.0) for v, k in seeds.items()}, {}
-    for _ in range(rounds):
+    while True:
         trust = {}
         for pattern, values in pairs.items():
             best = []
@@ -919,12 +934,14 @@ def plain_spans(rows, rounds=3, support=3, confidence=0.75):
                     best.append((sum(own) / len(values), -kind))
             if best:
                 trust[pattern] = max(best)
-        scores = {v: (k, 1.0) for v, k in seeds.items()}
+        fresh = {v: (c, -k) for v, (k, c) in scores.items()}
         for pattern, (c, k) in trust.items():
             for v in pairs[pattern] - set(seeds):
-                old = scores.get(v)
-                scores[v] = max([(c, k)] + ([(old[1], -old[0])] if old else []))[::-1]
-                scores[v] = (-scores[v][0], scores[v][1])
+                fresh[v] = max((c, k), fresh.get(v, (0, 0)))
+        done = all(c - scores.get(v, (0, 0))[1] <= pii.RISE for v, (c, _) in fresh.items())
+        scores = {v: (-k, c) for v, (c, k) in fresh.items()}
+        if done:
+            break
     out = {}
     for key, a, z, _, seed, l, r in items:
         if seed is not None:
