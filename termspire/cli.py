@@ -101,7 +101,7 @@ def sample_terms(spark, a):
 
 
 def sentences(spark, a):
-    return runs.extract_sentences(spark, a.db, _docs(spark, a), a.fields[0], a.lang)
+    return runs.extract_sentences(spark, a.db, _docs(spark, a), a.fields[0], a.lang, learned=a.learned)
 
 
 def score(spark, a):
@@ -175,6 +175,7 @@ def parse(args: list[str]) -> argparse.Namespace:
     p.add_argument("--json", action="store_true", help="the source holds JSON records")
     p.add_argument("--below", type=int, help="documents of segments that are merged, at most; all of them without it")
     p.add_argument("--vacuum", action="store_true")
+    p.add_argument("--learned", action="store_true", help="sentences by a model of the texts' abbreviations and sentence starts")
     p.add_argument("--slices", type=int, default=8, help="tasks that read a service")
     p.add_argument("--pause", type=float, default=0.1, help="unit of the pauses between requests, in seconds")
     p.add_argument("--lang", default="en")

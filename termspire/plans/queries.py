@@ -12,6 +12,7 @@ from termspire.functions import termfilters as tf
 from termspire.functions.analysis import STEMMERS, analyze, bare_tokens, language_tokens, simple_tokens, word_count
 from termspire.operators import retrieval as R
 from termspire.operators import scoring as S
+from termspire.operators import sentences as sent
 from termspire.operators.view import View
 from termspire.plans import tables as P
 from termspire.sources import segments, store
@@ -522,6 +523,54 @@ def sentence_terms_join(spark, sf_dir):
     return pairs.join(terms, pairs.term_ref == terms.term).select("item_id", "term_ref", "sentence", "bin")
 
 
+# Sentences by a model of abbreviations and sentence starts that is learned from all fields and languages.
+_LEARNED = _INDEX[: _INDEX.index("tok AS (")] + r"""toks AS (
+  SELECT lang, doc_id, field, string_split(s, ' ') AS a FROM (
+    SELECT lang, doc_id, field, trim(regexp_replace(lower(t), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS s
+    FROM (SELECT lang, doc_id, unnest(['claims', 'detd']) AS field, unnest([claims, detd]) AS t FROM corpus)) WHERE s <> ''),
+raw AS (SELECT lang, doc_id, field, a, unnest(range(len(a))) AS pos, unnest(a) AS t FROM toks),
+plc AS (
+  SELECT lang, doc_id, field, pos, t, regexp_replace(t, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g') AS word,
+         regexp_matches(t, '\.[)\]}"''»”’]*$') AS stop, regexp_matches(t, '[!?][)\]}"''»”’]*$') AS mark,
+         regexp_replace(coalesce(a[pos + 2], ''), '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g') AS next FROM raw),
+cnt AS (SELECT lang, word, count(*)::double AS c, count(*) FILTER (stop)::double AS e FROM plc WHERE word <> '' GROUP BY ALL),
+tot AS (SELECT lang, sum(c) AS n, sum(e) AS stops FROM cnt GROUP BY lang),
+abbr AS (
+  SELECT lang, word FROM (
+    SELECT *, stops / n AS p, length(replace(word, '.', ''))::double AS l, length(word) AS w FROM cnt JOIN tot USING (lang))
+  WHERE e > 0 AND NOT regexp_matches(word, '^(\p{L}|\p{N}+)$') AND 0.3 <= exp(-l) * (w - l + 1) * pow(l, -(c - e)) * 2 * (
+    e * ln(0.99) + (c - e) * ln(0.01) - e * ln(p) - CASE WHEN c = e THEN 0 ELSE (c - e) * ln(1 - p) END)),
+sure AS (
+  SELECT lang, next AS word, count(*)::double AS k FROM plc
+  WHERE next <> '' AND (mark OR stop AND NOT regexp_matches(word, '^(\p{L}|\p{N}+)$') AND (lang, word) NOT IN (SELECT (lang, word) FROM abbr)) GROUP BY ALL),
+brk AS (SELECT lang, sum(k) AS a FROM sure GROUP BY lang),
+start AS (
+  SELECT lang, word FROM (SELECT *, c AS b FROM sure JOIN cnt USING (lang, word) JOIN brk USING (lang) JOIN tot USING (lang))
+  WHERE n > a AND k / a > b / n AND 30 <= 2 * (
+    k * ln(k / a) + CASE WHEN a = k THEN 0 ELSE (a - k) * ln(1 - k / a) END
+    + CASE WHEN b = k THEN 0 ELSE (b - k) * ln((b - k) / (n - a)) END + CASE WHEN n - a = b - k THEN 0 ELSE (n - a - b + k) * ln(1 - (b - k) / (n - a)) END
+    - b * ln(b / n) - (n - b) * ln(1 - b / n))),
+stops AS (
+  SELECT *, (mark OR stop AND NOT (regexp_matches(word, '^\p{L}$') OR ((lang, word) IN (SELECT (lang, word) FROM abbr) OR regexp_matches(word, '^\p{N}+$'))
+    AND (lang, next) NOT IN (SELECT (lang, word) FROM start))) AS ends FROM plc),
+numbered AS (
+  SELECT *, coalesce(sum(ends::int) OVER (PARTITION BY lang, doc_id, field ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS i FROM stops)
+"""
+
+
+@query(base=_LEARNED, sql="SELECT lang, doc_id, field, CAST(i AS INT) AS i, string_agg(t, ' ' ORDER BY pos) AS sentence FROM numbered GROUP BY lang, doc_id, field, i")
+def learned_sentences(spark, sf_dir):
+    docs = read_corpus(spark, sf_dir)
+    return sent.split(docs, sent.learn(docs))
+
+
+@query(base=_LEARNED, sql="SELECT lang, word, 'abbreviation' AS kind FROM abbr UNION ALL SELECT lang, word, 'starter' AS kind FROM start")
+def sentence_model(spark, sf_dir):
+    model = sent.learn(read_corpus(spark, sf_dir))
+    named = lambda df, kind: df.select("lang", "word", F.lit(kind).alias("kind"))
+    return named(model.abbreviations, "abbreviation").unionByName(named(model.starters, "starter"))
+
+
 # A sentence ends with a mark and a space once white space is folded.
 _SENT = r""", folded AS (
   SELECT doc_id, field, unnest(string_split(regexp_replace(trim(regexp_replace(lower(t), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' '), '([.!?]) ', '\1' || chr(10), 'g'), chr(10))) AS sentence

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from termspire.functions.analysis import simple_tokens
 from termspire.operators import retrieval as R
 from termspire.operators import scoring as S
+from termspire.operators import sentences as sent
 from termspire.operators.view import View
 from termspire.plans import tables as P
 from termspire.sources import sinks
@@ -47,10 +48,13 @@ def term_id(field: str, lang: str, ipc: str | None = None):
     return F.md5(F.concat_ws("|", F.lit(field), F.lit(lang), F.lit(ipc or ""), "term", F.col("bin").cast("string")))
 
 
-def extract_sentences(spark: SparkSession, root: str, docs: DataFrame, field: str, lang: str, seed: str = "0") -> DataFrame:
-    """A sentence for each scoring term of the field, into ``scoring_sentences``; fails if a term has none."""
+def extract_sentences(spark: SparkSession, root: str, docs: DataFrame, field: str, lang: str, seed: str = "0", learned: bool = False) -> DataFrame:
+    """A sentence for each scoring term of the field, into ``scoring_sentences``; fails if a term has none.
+
+    ``learned`` sentences are those of a model of the field's texts.
+    """
     terms = P.scoring_terms(sinks.read(spark, root, "scoring_terms"), lang).where(F.col("field") == field)
-    found = P.sentences(docs, terms, (field,), seed)
+    found = P.sentences(docs, terms, (field,), seed, model=sent.learn(docs, (field,)) if learned else None)
     P.check_sentences(found, terms)
     rows = found.select("term", "sentence").join(terms.select("term", "id"), "term")
     return sinks.insert(rows.select("sentence", F.col("id").alias("term_ref")), root, "scoring_sentences", ignore=True)

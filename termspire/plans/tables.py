@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from termspire.functions import ipc
 from termspire.functions.analysis import sentence_list, simple_tokens
+from termspire.operators.sentences import Model, split
 from termspire.operators.view import View
 
 
@@ -105,14 +106,18 @@ def by_key(counts: DataFrame, key: str) -> DataFrame:
     return counts.orderBy(F.col(key).cast("double"), key)
 
 
-def sentences(docs: DataFrame, terms: DataFrame, fields: Iterable[str] = ("claims", "detd"), seed: str = "0", most: int = 500) -> DataFrame:
+def sentences(docs: DataFrame, terms: DataFrame, fields: Iterable[str] = ("claims", "detd"), seed: str = "0", most: int = 500, model: Model | None = None) -> DataFrame:
     """(field, term, doc_id, sentence): for each term and field one sentence of one of at most ``most`` documents with it.
 
     Of a term's documents the first ``most`` in a seeded hash order are candidates, and another hash picks one. Of its
     sentences that contain the term in a token, a single one is taken, of up to three any, else one of the longest n / 3.5.
+    Sentences are those of ``model``, if there is one, else they're cut by punctuation.
     """
-    parts = [F.struct(F.lit(f).alias("field"), sentence_list(F.col(f)).alias("s")) for f in fields]
-    rows = docs.select("doc_id", F.explode(F.array(*parts)).alias("p")).select("doc_id", "p.field", F.explode("p.s").alias("sentence"))
+    if model:
+        rows = split(docs, model, tuple(fields)).select("doc_id", "field", "sentence")
+    else:
+        parts = [F.struct(F.lit(f).alias("field"), sentence_list(F.col(f)).alias("s")) for f in fields]
+        rows = docs.select("doc_id", F.explode(F.array(*parts)).alias("p")).select("doc_id", "p.field", F.explode("p.s").alias("sentence"))
     rows = rows.withColumn("token", F.explode(F.array_distinct(simple_tokens(F.col("sentence")))))
     # Distinct tokens are cut into pieces of the lengths that terms have, and pieces meet terms by equality:
     # a token makes no more pieces than characters times lengths.

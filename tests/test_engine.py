@@ -301,6 +301,7 @@ def test_commands(spark, tmp_path):
     assert go("dump-terms", "--threshold", "0.01").where("term = 'w0'").isEmpty()
     n = go("sample", "--fields", "claims", "--size", "4", "--picks", "1", "2").count()
     assert n > 2 and go("sentences", "--fields", "claims").count() == n
+    assert go("sentences", "--fields", "claims", "--learned").count() == n
     assert go("score", "--what", "sentences").where("impl = 'SCS' and score is not null").count() == n
     assert go("score-ics", "--least", "1", "--band-high", "1").where("icsconf_ref is not null").count() == n
     assert go("score", "--impl", "dcs").where("impl = 'DCS'").count() == n
