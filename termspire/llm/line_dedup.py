@@ -16,6 +16,16 @@ MIN_WORDS = 50
 COMMON = 1_000
 
 
+def once(docs: DataFrame) -> DataFrame:
+    """``docs`` (id, th, text) with one row of those that repeat id and text: their copies meet as hashes, before any line is made of them."""
+    again = table(docs.groupBy("id", "th").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("rid"), F.col("th").alias("rth")), "repeated-rows")
+    if again.isEmpty():
+        return docs
+    same = F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth"))
+    # Partial aggregates leave a row a task of each.
+    return docs.join(again, same, "left_anti").unionByName(docs.join(again, same, "left_semi").groupBy("id", "th").agg(F.first("text").alias("text")))
+
+
 def lines_of(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(id, th, pos, n, from, upto, h, g, anchor, anchor_at): the lines with words, their places in words, two hashes, and fingerprints.
 
@@ -24,13 +34,12 @@ def lines_of(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     fingerprint stands in one row, at the first run that chooses it, and other rows have none.
     """
     lines = (
-        docs.select("id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+        once(docs).select("id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
         .withColumn("line", F.trim("line", F.lit(" \t\r\x0b\x0c")))
         .withColumn("n", F.regexp_count("line", F.lit(WORDS)).cast("long"))
         .where("n > 0")
         .select("id", "th", "pos", "n", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
         .repartition("id", "th")
-        .dropDuplicates(["id", "th", "pos"])
     )
     text = Window.partitionBy("id", "th")
     lines = lines.withColumn("upto", F.sum("n").over(text.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
@@ -239,10 +248,11 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", min_words: int = MIN
     rows = docs.select(*names).toDF("id", "text", *(f"x{i}" for i in range(len(extra))))
     rows = rows.withColumn("th", F.xxhash64("text")).withColumn("n", F.regexp_count(text_of(), F.lit(WORDS)).cast("long"))
     # Texts go through one join, by id and hash; copies are told by hashes alone.
-    long = rows.where(F.col("n") >= min_words).select("id", "th", F.xxhash64(F.lit(1), "text").alias("th2"))
+    long = rows.where(F.col("n") >= min_words).select("id", "th", F.struct("th", F.xxhash64(F.lit(1), "text").alias("th2")).alias("k"))
+    long = table(long, "long-texts")
     order = F.struct(F.col("id").isNull().alias("z"), "id")
-    first = long.groupBy("th", "th2").agg(F.min(order).alias("f"), F.max(order).alias("l")).where("f <> l").drop("l")
-    copies = long.join(first, ["th", "th2"]).where(~F.col("id").eqNullSafe(F.col("f.id")))
+    first = long.groupBy("k").agg(F.min(order).alias("f"), F.max(order).alias("l")).where("f <> l").drop("l")
+    copies = spread_join(long, table(first, "first-texts"), "k").where(~F.col("id").eqNullSafe(F.col("f.id")))
     copies = table(copies.select(F.col("id").alias("gid"), F.col("th").alias("gth")).distinct(), "copies")
     gone = repeated_words(rows.where(F.col("n") >= min_words).select("id", "th", "text"), copies, min_words).toDF("gid", "gth", "starts")
     gone = gone.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True)

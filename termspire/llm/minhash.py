@@ -306,7 +306,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", n: int = 5, percent
     # A bucket's hash tells its band; sketches stay behind until pairs are known.
     members = classes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    members = table(members.join(shared.select("bucket"), "bucket"), "members")
+    members = table(spread_join(members, table(shared.select("bucket"), "shared-buckets"), "bucket", "left_semi"), "members")
 
     # Only texts of documents that share a bucket are ever compared.
     nodes = table(members.select("node").distinct(), "nodes")
@@ -322,7 +322,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", n: int = 5, percent
         now = members.join(comp, "node") if r else members.withColumn("comp", F.col("node"))
         key = F.struct(F.xxhash64("node", F.lit(r)) if r else F.lit(0).cast("long"), "node", "comp")
         hubs = now.groupBy("bucket").agg(F.min(key).alias("hub"))
-        pairs = now.join(hubs, "bucket").where("comp <> hub.comp")
+        pairs = spread_join(now, table(hubs, "hubs"), "bucket").where("comp <> hub.comp")
         pairs = pairs.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, (F.least(pairs.a, pairs.b) == tried.lo) & (F.greatest(pairs.a, pairs.b) == tried.hi), "left_anti")

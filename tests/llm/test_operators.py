@@ -91,6 +91,18 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_repeated_rows_are_one(spark):
+    """However often a row repeats, lines are made of it once, and all of its copies change alike."""
+    rng = random.Random(12)
+    text = "\n".join(prose(rng, 30) for _ in range(4))
+    rows = [(1, text)] * 3000 + [(None, text)] * 2000 + [(2, text + "\nmore")] + [(3, "other")] * 5
+    docs = frame(spark, rows).repartition(7)
+    keyed = docs.selectExpr("doc_id as id", "xxhash64(text) as th", "text")
+    assert line_dedup.once(keyed).count() == 4 and line_dedup.lines_of(keyed).count() == 14
+    got = {(r.doc_id, r.text): r.n for r in line_dedup.dedup_lines(docs).groupBy("doc_id", "text").agg(F.count("*").alias("n")).collect()}
+    assert got == {(1, text): 3000, (None, ""): 2000, (2, "more"): 1, (3, "other"): 5}
+
+
 def plain_passages(rows):
     """(text, words, removed words) of each (id, text), by a set of all runs of 50 words that were seen."""
     seen, want = set(), {}
