@@ -319,7 +319,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", n: int = 5, percent
     found, tried = None, None
     comp = nodes.withColumn("comp", F.col("node"))
     for r in range(STAR_ROUNDS):
-        now = members.join(comp, "node") if r else members.withColumn("comp", F.col("node"))
+        now = table(members.join(comp, "node"), "members") if r else members.withColumn("comp", F.col("node"))
         key = F.struct(F.xxhash64("node", F.lit(r)) if r else F.lit(0).cast("long"), "node", "comp")
         hubs = now.groupBy("bucket").agg(F.min(key).alias("hub"))
         pairs = spread_join(now, table(hubs, "hubs"), "bucket").where("comp <> hub.comp")
