@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termspire.llm.common import in_frames, spread_join, table, text_of, trimmed
+from termspire.llm.common import spread_join, table, text_of, trimmed
 from termspire.llm.components import components
 
 #: 42 bands of 6 of 252 minima miss a pair of similarity 0.8 once in 300,000 times.
@@ -134,7 +134,9 @@ def sketch(docs: DataFrame, n: int) -> DataFrame:
                 out["sketch"] = list(sketcher.sketches(low))
                 yield out
 
-    return in_frames(docs, work, "id long, n_shingles long, digest binary, bands array<long>, sketch array<long>")
+    # Ids go through as text: pandas would make doubles of whole numbers beside nulls, which round large ones.
+    out = docs.withColumn("id", F.col("id").cast("string")).mapInPandas(trimmed(work), "id string, n_shingles long, digest binary, bands array<long>, sketch array<long>")
+    return out.withColumn("id", F.col("id").cast("long"))
 
 
 def similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
@@ -306,7 +308,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", n: int = 5, percent
     # A bucket's hash tells its band; sketches stay behind until pairs are known.
     members = classes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    members = table(spread_join(members, table(shared.select("bucket"), "shared-buckets"), "bucket", "left_semi"), "members")
+    members = table(members.join(shared.select("bucket"), "bucket"), "members")
 
     # Only texts of documents that share a bucket are ever compared.
     nodes = table(members.select("node").distinct(), "nodes")
@@ -319,10 +321,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", n: int = 5, percent
     found, tried = None, None
     comp = nodes.withColumn("comp", F.col("node"))
     for r in range(STAR_ROUNDS):
-        now = table(members.join(comp, "node"), "members") if r else members.withColumn("comp", F.col("node"))
+        now = members.join(comp, "node") if r else members.withColumn("comp", F.col("node"))
         key = F.struct(F.xxhash64("node", F.lit(r)) if r else F.lit(0).cast("long"), "node", "comp")
         hubs = now.groupBy("bucket").agg(F.min(key).alias("hub"))
-        pairs = spread_join(now, table(hubs, "hubs"), "bucket").where("comp <> hub.comp")
+        pairs = now.join(hubs, "bucket").where("comp <> hub.comp")
         pairs = pairs.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, (F.least(pairs.a, pairs.b) == tried.lo) & (F.greatest(pairs.a, pairs.b) == tried.hi), "left_anti")
