@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 
 from termspire.functions import ipc
 from termspire.functions.analysis import sentence_list, simple_tokens
+from termspire.operators.joins import SMALL, spread_join
 from termspire.operators.sentences import Model, split
 from termspire.operators.view import View
+from termspire.sources.store import stored
+
+#: The first documents of an order that all terms look at, as a multiple of those that each wants.
+EARLY = 40
 
 
 def term_dump(view: View, threshold: float, stop: Iterable[str] = ()) -> DataFrame:
@@ -106,6 +111,49 @@ def by_key(counts: DataFrame, key: str) -> DataFrame:
     return counts.orderBy(F.col(key).cast("double"), key)
 
 
+def _seeded(seed: str) -> Column:
+    """Documents in a seeded hash order."""
+    return F.md5(F.concat(F.lit(seed), F.col("doc_id").cast("string")))
+
+
+def _containing(tokens: DataFrame, terms: DataFrame) -> DataFrame:
+    """(token, term), stored: which terms each distinct token contains.
+
+    Tokens are cut into pieces of the lengths that terms have, and pieces meet terms by equality: a token makes no more
+    pieces than characters times lengths.
+    """
+    lengths = terms.agg(F.sort_array(F.collect_set(F.length("term"))).alias("ls"))
+    each = tokens.select("token").distinct().crossJoin(F.broadcast(lengths))  # one row
+    each = each.select("token", F.explode("ls").alias("l")).where(F.length("token") >= F.col("l"))
+    starts = F.sequence(F.lit(1), F.length("token") - F.col("l") + 1)
+    pieces = each.select("token", F.explode(F.transform(starts, lambda i: F.substr("token", i, F.col("l")))).alias("term"))
+    return stored(pieces.join(terms, "term").select("token", "term").distinct(), "tokens-with-terms")
+
+
+def _hits(tokens: DataFrame, inside: DataFrame) -> DataFrame:
+    """(field, term, doc_id), with repeats: documents that have a token which contains the term."""
+    side = stored(inside.groupBy("token").agg(F.collect_list("term").alias("terms")), "terms-by-token")
+    met = tokens.join(F.broadcast(side), "token") if side.count() <= SMALL else spread_join(tokens, side, "token")
+    return met.select("field", F.explode("terms").alias("term"), "doc_id")
+
+
+def _first_hits(tokens: DataFrame, inside: DataFrame, fields: tuple[str, ...], seed: str, most: int) -> DataFrame:
+    """(field, term, doc_id), distinct: at least the first ``most`` documents, in the seeded order, of each term and field.
+
+    That order is the same for all terms, so terms that are common enough find all of theirs among its first documents;
+    only the others look at the rest.
+    """
+    n = tokens.agg(F.count_distinct("doc_id")).first()[0]  # one row
+    if n <= EARLY * most:
+        return _hits(tokens, inside).distinct()
+    bound = f"{EARLY * most * 2**32 // n:08x}"
+    early = stored(_hits(tokens.where(_seeded(seed) < bound), inside).distinct(), "early-hits")
+    settled = stored(early.groupBy("field", "term").agg(F.count("*").alias("n")).where(F.col("n") >= most).select("field", "term"), "settled")
+    done = settled.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") == len(fields))
+    late = _hits(tokens, inside.join(done, "term", "left_anti")).join(settled, ["field", "term"], "left_anti").distinct()
+    return early.join(settled, ["field", "term"], "left_semi").select("field", "term", "doc_id").unionByName(late)
+
+
 def sentences(docs: DataFrame, terms: DataFrame, fields: Iterable[str] = ("claims", "detd"), seed: str = "0", most: int = 500, model: Model | None = None) -> DataFrame:
     """(field, term, doc_id, sentence): for each term and field one sentence of one of at most ``most`` documents with it.
 
@@ -113,27 +161,25 @@ def sentences(docs: DataFrame, terms: DataFrame, fields: Iterable[str] = ("claim
     sentences that contain the term in a token, a single one is taken, of up to three any, else one of the longest n / 3.5.
     Sentences are those of ``model``, if there is one, else they're cut by punctuation.
     """
-    if model:
-        rows = split(docs, model, tuple(fields)).select("doc_id", "field", "sentence")
-    else:
-        parts = [F.struct(F.lit(f).alias("field"), sentence_list(F.col(f)).alias("s")) for f in fields]
-        rows = docs.select("doc_id", F.explode(F.array(*parts)).alias("p")).select("doc_id", "p.field", F.explode("p.s").alias("sentence"))
-    rows = rows.withColumn("token", F.explode(F.array_distinct(simple_tokens(F.col("sentence")))))
-    # Distinct tokens are cut into pieces of the lengths that terms have, and pieces meet terms by equality:
-    # a token makes no more pieces than characters times lengths.
-    lengths = terms.agg(F.sort_array(F.collect_set(F.length("term"))).alias("ls"))
-    tokens = rows.select("token").distinct().crossJoin(F.broadcast(lengths))  # one row
-    tokens = tokens.select("token", F.explode("ls").alias("l")).where(F.length("token") >= F.col("l"))
-    starts = F.sequence(F.lit(1), F.length("token") - F.col("l") + 1)
-    pieces = tokens.select("token", F.explode(F.transform(starts, lambda i: F.substr("token", i, F.col("l")))).alias("term")).distinct()
-    inside = pieces.join(terms.select("term").distinct(), "term")
-    hits = rows.join(inside, "token").select("field", "term", "doc_id", "sentence").distinct()
+    fields, terms = tuple(fields), stored(terms.select("term").distinct(), "sentence-terms")
+    # Sentences end at spaces, so a field's tokens are those of its sentences, and texts needn't go along with them.
+    parts = [F.struct(F.lit(f).alias("field"), F.array_distinct(simple_tokens(F.col(f))).alias("t")) for f in fields]
+    tokens = stored(docs.select("doc_id", F.explode(F.array(*parts)).alias("p")).select("doc_id", "p.field", F.explode("p.t").alias("token")), "sentence-tokens")
+    hits = _first_hits(tokens, _containing(tokens, terms), fields, seed, most)
     group = Window.partitionBy("field", "term")
-    order = F.md5(F.concat(F.lit(seed), F.col("doc_id").cast("string")))
     again = F.md5(F.concat(F.lit(seed), "term", F.col("doc_id").cast("string")))
-    docs_ = hits.select("field", "term", "doc_id").distinct().withColumn("r", F.row_number().over(group.orderBy(order, "doc_id"))).where(F.col("r") <= most)
+    docs_ = hits.withColumn("r", F.row_number().over(group.orderBy(_seeded(seed), "doc_id"))).where(F.col("r") <= most)
     first = docs_.withColumn("p", F.row_number().over(group.orderBy(again, "doc_id"))).where("p = 1").select("field", "term", "doc_id")
-    own = hits.join(first, ["field", "term", "doc_id"])
+    first = stored(first, "sentence-documents")
+    # Only the picked documents are cut into sentences.
+    few = docs.join(first.select("doc_id").distinct(), "doc_id", "left_semi")
+    if model:
+        rows = split(few, model, fields).select("doc_id", "field", "sentence")
+    else:
+        parts = [F.struct(F.lit(f).alias("field"), sentence_list(F.col(f)).alias("s")) for f in fields]
+        rows = few.select("doc_id", F.explode(F.array(*parts)).alias("p")).select("doc_id", "p.field", F.explode("p.s").alias("sentence"))
+    inside = F.exists(simple_tokens(F.col("sentence")), lambda t: F.contains(t, F.col("term")))
+    own = rows.join(first, ["field", "doc_id"]).where(inside).select("field", "term", "doc_id", "sentence").distinct()
     own = own.withColumn("r", F.row_number().over(group.orderBy(F.desc(F.size(F.split("sentence", " "))), "sentence")))
     own = own.withColumn("n", F.count("*").over(group))
     own = own.where(F.col("r") <= F.when(F.col("n") <= 3, F.col("n")).otherwise(F.floor(F.col("n") / 3.5)))

@@ -9,6 +9,7 @@ import pytest
 
 from termspire.operators import joins
 from termspire.operators import sentences as S
+from termspire.plans import tables as P
 
 SHAPE = "doc_id long, lang string, claims string, detd string"
 
@@ -117,3 +118,30 @@ def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "en", "one. two", ""), (2, "fr", None, " . ! "), (3, "en", "?", "x")], SHAPE)
     got = sorted((r.doc_id, r.field, r.i, r.sentence) for r in S.split(docs, S.learn(docs)).collect())
     assert got == [(1, "claims", 0, "one."), (1, "claims", 1, "two"), (2, "detd", 0, "."), (2, "detd", 1, "!"), (3, "claims", 0, "?"), (3, "detd", 0, "x")]
+
+
+def test_texts_do_not_go_along_with_each_token(spark):
+    """One sentence of 3,000 words: a copy of it for each word would be 90 MB to shuffle."""
+    rng = random.Random(8)
+    text = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(3000))
+    docs = spark.createDataFrame([(1, "en", text, None)], "doc_id long, lang string, claims string, detd string")
+    terms = spark.createDataFrame([(text[:4],), ("absent",)], "term string")
+    written = lambda: sum(e.totalShuffleWrite() for e in (found.apply(i) for found in [spark.sparkContext._jsc.sc().statusStore().executorList(False)] for i in range(found.size())))
+    before = written()
+    got = P.sentences(docs, terms).collect()
+    assert [tuple(r) for r in got] == [("claims", text[:4], 1, text)]
+    assert written() - before < 5e6
+
+
+def test_common_terms_find_their_documents_early(spark, monkeypatch):
+    """Terms with enough documents among the first ones of the order give what a look at all documents gives."""
+    rng = random.Random(9)
+    docs = [(i, "en", f"word{i % 7} common{'s' * (i % 3)} here. x{rng.randint(0, 40)} there", "common. rare" if i % 29 == 0 else None) for i in range(400)]
+    docs = spark.createDataFrame(docs, "doc_id long, lang string, claims string, detd string")
+    terms = spark.createDataFrame([(w,) for w in ("common", "word3", "rare", "x7", "o", "absent")], "term string")
+    run = lambda: sorted(map(str, P.sentences(docs, terms, most=2).collect()))
+    monkeypatch.setattr(P, "EARLY", 1000)
+    whole = run()
+    for early in (1, 4):
+        monkeypatch.setattr(P, "EARLY", early)
+        assert run() == whole
