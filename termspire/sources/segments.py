@@ -30,8 +30,11 @@ TABLES = {
     "lengths": ("doc_id", "field", "doc_id id, field STRING, len BIGINT"),
     "field_terms": ("term", "term", "field STRING, term STRING, tf BIGINT, df BIGINT"),
 }
-#: Documents that a bucket is meant to have, at most.
-BUCKET = 50_000
+#: Documents and bytes of text that a bucket is meant to have, at most: a task sorts and counts a bucket's postings, and adds up
+#: its documents' pairs with queries, in memory.
+BUCKET, BUCKET_BYTES = 5_000, 8 << 20
+#: Buckets that Spark allows, unless it's told otherwise.
+MOST_BUCKETS = 100_000
 
 
 class Conflict(Exception):
@@ -115,6 +118,13 @@ def _postings(docs: DataFrame, fields: Iterable[str], tokens: Tokens | Mapping[s
     return reduce(DataFrame.unionByName, [postings(dealt.where(F.col("lang") == lang), fields, t) for lang, t in by_language.items()])
 
 
+def _buckets(docs: DataFrame, fields: tuple[str, ...]) -> int:
+    """Buckets that grow in number and not in size."""
+    size = reduce(Column.__add__, [F.coalesce(F.octet_length(f), F.lit(0)).cast("long") for f in fields])
+    docs_, bytes_ = docs.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()  # one row
+    return max(docs.sparkSession.sparkContext.defaultParallelism, min(MOST_BUCKETS, max(-(-docs_ // BUCKET), -(-bytes_ // BUCKET_BYTES))))
+
+
 def write_index(
     docs: DataFrame, path: str, fields: Iterable[str] = FIELDS, tokens: Tokens | Mapping[str, Tokens] = simple_tokens,
     by_language: Mapping[str, Tokens] | None = None, buckets: int | None = None,
@@ -124,17 +134,17 @@ def write_index(
     Tables: postings (doc_id, field, term, tf, positions, len), field_terms (field, term, tf, df), lengths (doc_id, field, len) and
     models (doc_id, term, mtf), each with lang and seg. ``by_language`` analyses each language's documents with an analyzer (and
     stop words) of its own; documents of other languages are left out. ``buckets`` are as many as Spark has cores, or more for many
-    documents; they stay the same for the life of the index.
+    documents or much text; they stay the same for the life of the index.
     """
-    spark = docs.sparkSession
-    n = buckets or max(spark.sparkContext.defaultParallelism, -(-docs.count() // BUCKET))
+    spark, fields = docs.sparkSession, tuple(fields)
+    n = buckets or _buckets(docs, fields)
     new = Commit(0, n, dict(docs.dtypes)["doc_id"].upper(), 1, (_name(0),))
     for name in TABLES:
         spark.sql(f"DROP TABLE IF EXISTS {_table(spark, path, name, new)}")
         store.remove(spark, f"{path}/{name}")
     for name in ("commits", "deleted"):
         store.remove(spark, f"{path}/{name}")
-    _write(_postings(docs, tuple(fields), tokens, by_language, n), path, new.segments[0], new)
+    _write(_postings(docs, fields, tokens, by_language, n), path, new.segments[0], new)
     return _commit(spark, path, new)
 
 

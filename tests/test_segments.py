@@ -172,3 +172,16 @@ def test_commands_on_segments(spark, tmp_path):
     assert {r.doc_id for r in docs} == {*range(12), 50} - {4} and {r.doc_id: r.claims for r in docs}[3] == "changed"
     assert go("merge", "--vacuum").count() == 1
     assert go("idx-stats", "--db", str(tmp_path / "db")).where("field is null").first().docs == 12
+
+
+def test_buckets_grow_in_number_and_not_in_size(spark, tmp_path, monkeypatch):
+    """A task holds a bucket's postings: more text is more buckets, not larger ones."""
+    monkeypatch.setattr(segments, "BUCKET_BYTES", 1_000, raising=False)
+    rng = random.Random(5)
+    docs = {i: (" ".join(rng.choices(WORDS, k=30)), None) for i in range(60)}
+    bytes_ = sum(len(a) for a, _ in docs.values())
+    assert segments.write_index(frame(spark, docs), str(tmp_path / "idx")).buckets == -(-bytes_ // 1_000) > 4
+    n = lambda docs: segments._buckets(docs, ("claims", "detd"))
+    assert n(frame(spark, docs).limit(0)) == 4  # as many as cores
+    short = spark.range(6 * segments.BUCKET).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit(None).cast("string").alias("claims"), F.lit("").alias("detd"))
+    assert n(short) == 6
