@@ -35,6 +35,8 @@ TABLES = {
 BUCKET, BUCKET_BYTES = 5_000, 8 << 20
 #: Buckets that Spark allows, unless it's told otherwise.
 MOST_BUCKETS = 100_000
+#: How many times its buckets an index must need for a merge to deal it anew.
+OUTGROWN = 1.5
 
 
 class Conflict(Exception):
@@ -118,11 +120,30 @@ def _postings(docs: DataFrame, fields: Iterable[str], tokens: Tokens | Mapping[s
     return reduce(DataFrame.unionByName, [postings(dealt.where(F.col("lang") == lang), fields, t) for lang, t in by_language.items()])
 
 
-def _buckets(docs: DataFrame, fields: tuple[str, ...]) -> int:
+def _planned(docs: int, bytes_: int) -> int:
     """Buckets that grow in number and not in size."""
+    return min(MOST_BUCKETS, max(-(-docs // BUCKET), -(-bytes_ // BUCKET_BYTES)))
+
+
+def _buckets(docs: DataFrame, fields: tuple[str, ...]) -> int:
+    """Planned buckets, but as many as cores at least."""
     size = reduce(Column.__add__, [F.coalesce(F.octet_length(f), F.lit(0)).cast("long") for f in fields])
     docs_, bytes_ = docs.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()  # one row
-    return max(docs.sparkSession.sparkContext.defaultParallelism, min(MOST_BUCKETS, max(-(-docs_ // BUCKET), -(-bytes_ // BUCKET_BYTES))))
+    return max(docs.sparkSession.sparkContext.defaultParallelism, _planned(docs_, bytes_))
+
+
+def _grown(spark: SparkSession, path: str, commit: Commit) -> int:
+    """Buckets for what counts now: as many as there are, or as planned where that is ``OUTGROWN`` times as many.
+
+    Live tokens come from the lengths and bytes of a token from the terms as they were stored, so that no posting is read.
+    """
+    docs, tokens = read_index(spark, path, "lengths").agg(F.count_distinct("doc_id"), F.coalesce(F.sum("len"), F.lit(0))).first()  # one row
+    known = _table(spark, path, "field_terms", commit)
+    spark.catalog.refreshTable(known)
+    terms = spark.table(known).where(F.col("seg").isin(*commit.segments))
+    a_token = terms.agg(F.sum(F.col("tf") * (F.octet_length("term") + 1)) / F.sum("tf")).first()[0] or 0  # one row
+    planned = _planned(docs, int(tokens * a_token))
+    return planned if planned >= OUTGROWN * commit.buckets else commit.buckets
 
 
 def write_index(
@@ -134,7 +155,7 @@ def write_index(
     Tables: postings (doc_id, field, term, tf, positions, len), field_terms (field, term, tf, df), lengths (doc_id, field, len) and
     models (doc_id, term, mtf), each with lang and seg. ``by_language`` analyses each language's documents with an analyzer (and
     stop words) of its own; documents of other languages are left out. ``buckets`` are as many as Spark has cores, or more for many
-    documents or much text; they stay the same for the life of the index.
+    documents or much text; they stay the same until :func:`merge_segments` finds them outgrown.
     """
     spark, fields = docs.sparkSession, tuple(fields)
     n = buckets or _buckets(docs, fields)
@@ -188,7 +209,8 @@ def delete_documents(ids: DataFrame, path: str) -> Commit:
 def merge_segments(spark: SparkSession, path: str, below: int | None = None) -> Commit:
     """Live documents of all segments, or of those with fewer than ``below`` documents, as one new segment without tombstones.
 
-    Postings are copied, not analysed again. Old files stay for readers that are at work, until :func:`vacuum`.
+    Postings are copied, not analysed again. Old files stay for readers that are at work, until :func:`vacuum`. Additions make buckets
+    larger; where all segments are merged and the buckets were outgrown, postings are dealt to more of them.
     """
     old = _known(spark, path)
     sizes = {r["seg"]: r["n_docs"] for r in segment_sizes(spark, path).collect()}  # a row a segment
@@ -198,10 +220,11 @@ def merge_segments(spark: SparkSession, path: str, below: int | None = None) ->
     # Segments that came after a chosen one may hold newer versions of its documents, and tombstones say so by number.
     seg = _name(old.next_number)
     rows = read_index(spark, path).where(F.col("seg").isin(*chosen)).drop("len", "seg")
-    _write(rows, path, seg, old)
     left = tuple(s for s in old.segments if s not in chosen)
+    new = old if left else replace(old, buckets=_grown(spark, path, old))
+    _write(rows if new.buckets == old.buckets else rows.repartition(new.buckets, "doc_id"), path, seg, new)
     dirty = tuple(s for s in old.dirty if s in left)
-    return _commit(spark, path, replace(old, version=old.version + 1, next_number=old.next_number + 1, segments=(*left, seg), dirty=dirty, deleted=old.deleted if dirty else ()))
+    return _commit(spark, path, replace(new, version=old.version + 1, next_number=old.next_number + 1, segments=(*left, seg), dirty=dirty, deleted=old.deleted if dirty else ()))
 
 
 def vacuum(spark: SparkSession, path: str) -> list[str]:
