@@ -51,22 +51,31 @@ def teq_matches(view: View, terms: DataFrame) -> DataFrame:
     return found.join(n, "q_id").select("q_id", "doc_id", "n_match", "n_unique")
 
 
-def ctq_matches(view: View, terms: DataFrame, fields: tuple[str, ...], high: float = HIGH) -> DataFrame:
-    """(q_id, doc_id, low, high): clauses (field, term) split by document frequency.
-
-    With a clause of low frequency at least one such must match, and the rest only score;
-    with none, all clauses must match.
-    """
+def ctq_clauses(view: View, terms: DataFrame, fields: tuple[str, ...], high: float = HIGH) -> DataFrame:
+    """(q_id, field, term, is_high): a query's clauses, of high frequency in more than this share of documents or not; stored."""
     cut = view.collection().select(F.ceil(F.col("n_docs") * high).alias("cut"))
     clauses = terms.select("q_id", "term", F.explode(F.array(*map(F.lit, fields))).alias("field"))
     clauses = clauses.join(view.field_terms().select("field", "term", "df"), ["field", "term"], "left").crossJoin(F.broadcast(cut))
-    clauses = clauses.select("q_id", "field", "term", (F.coalesce("df", F.lit(0)) > F.col("cut")).alias("is_high"))
-    clauses = stored(clauses, "clauses")
-    sizes = clauses.groupBy("q_id").agg(F.count_if(~F.col("is_high")).alias("n_low"), F.count_if("is_high").alias("n_high"))
+    return stored(clauses.select("q_id", "field", "term", (F.coalesce("df", F.lit(0)) > F.col("cut")).alias("is_high")), "clauses")
+
+
+def _by_frequency(clauses: DataFrame) -> DataFrame:
+    """(q_id, n_unique, n_low, n_high): distinct terms, and clauses of each kind."""
+    counts = F.count_if(~F.col("is_high")).alias("n_low"), F.count_if("is_high").alias("n_high")
+    return clauses.groupBy("q_id").agg(F.count_distinct("term").alias("n_unique"), *counts)
+
+
+def _fits() -> Column:
+    """With a clause of low frequency at least one such must match, and the rest only score; with none, all clauses must match."""
+    return F.when(F.col("n_low") > 0, F.col("low") >= 1).otherwise(F.col("high") == F.col("n_high"))
+
+
+def ctq_matches(view: View, terms: DataFrame, fields: tuple[str, ...], high: float = HIGH) -> DataFrame:
+    """(q_id, doc_id, low, high): how many clauses (field, term) of low and high document frequency match, of documents that :func:`_fits` keeps."""
+    clauses = ctq_clauses(view, terms, fields, high)
     hits = meet(view.postings.select("field", "term", "doc_id"), clauses, ["field", "term"])
     hits = hits.groupBy("q_id", "doc_id").agg(F.count_if(~F.col("is_high")).alias("low"), F.count_if("is_high").alias("high"))
-    ok = F.when(F.col("n_low") > 0, F.col("low") >= 1).otherwise(F.col("high") == F.col("n_high"))
-    return hits.join(sizes, "q_id").where(ok).select("q_id", "doc_id", "low", "high")
+    return hits.join(_by_frequency(clauses), "q_id").where(_fits()).select("q_id", "doc_id", "low", "high")
 
 
 def norm(length: Column) -> Column:
@@ -76,13 +85,13 @@ def norm(length: Column) -> Column:
     return p * (1 + F.floor((x / p - 1) * 8 + 1e-9) / 8)
 
 
-def matched(view: View, terms: DataFrame) -> DataFrame:
-    """(q_id, doc_id, n_match, n_unique, score): every document with a term of the query.
+def matched(view: View, terms: DataFrame, clauses: DataFrame | None = None) -> DataFrame:
+    """(q_id, doc_id, n_match, n_unique, score): every document with a term of the query; with ``clauses`` those of :func:`ctq_matches` only.
 
     ``n_match`` counts distinct terms in any visible field, ``score`` sums sqrt(tf) * idf^2 * norm over clauses,
     to six places. A document's fields are added up for each query term before queries meet them, so a pair of
     query and document costs a row for each distinct term that they share, and one aggregate. All of it is where the document's
-    bucket is: no pair is shuffled.
+    bucket is: no pair is shuffled. How frequent a clause is depends on its field and term alone, so clauses are counted in the same pass.
     """
     n = view.collection().select("n_docs")
     wanted = terms.select("term").distinct()
@@ -90,13 +99,19 @@ def matched(view: View, terms: DataFrame) -> DataFrame:
         view.field_terms().join(wanted, "term", "left_semi").crossJoin(F.broadcast(n))
         .select("field", "term", (1 + F.ln(F.col("n_docs") / (F.col("df") + 1))).alias("idf"))
     )
-    hits = meet(view.with_lengths().select("field", "term", "doc_id", "tf", "len"), stored(idf, "idf"), ["field", "term"])
+    sizes = terms.groupBy("q_id").agg(F.count("*").alias("n_unique")) if clauses is None else _by_frequency(clauses)
+    counts = {}
+    if clauses is not None:
+        idf = idf.join(clauses.select("field", "term", "is_high").distinct(), ["field", "term"], "left")
+        counts = {"low": F.count_if(~F.col("is_high")), "high": F.count_if("is_high")}
+    idf = stored(idf, "idf")
+    hits = meet(view.with_lengths().select("field", "term", "doc_id", "tf", "len"), idf, ["field", "term"])
     part = F.sqrt(F.col("tf").cast("double")) * F.col("idf") * F.col("idf") * norm(F.col("len"))
-    by_doc = hits.groupBy("doc_id", "term").agg(F.sum(part).alias("part"))
-    sizes = terms.groupBy("q_id").agg(F.count("*").alias("n_unique"))
+    by_doc = hits.groupBy("doc_id", "term").agg(F.sum(part).alias("part"), *(c.alias(name) for name, c in counts.items()))
     found = meet(by_doc, terms.select("q_id", "term"), ["term"]).groupBy("q_id", "doc_id")
-    found = found.agg(F.count("*").alias("n_match"), F.round(F.sum("part"), 6).alias("score"))
-    return found.join(sizes, "q_id").select("q_id", "doc_id", "n_match", "n_unique", "score")
+    found = found.agg(F.count("*").alias("n_match"), F.round(F.sum("part"), 6).alias("score"), *(F.sum(name).alias(name) for name in counts))
+    found = found.join(sizes, "q_id")
+    return (found.where(_fits()) if counts else found).select("q_id", "doc_id", "n_match", "n_unique", "score")
 
 
 def tfidf(view: View, terms: DataFrame) -> DataFrame:
@@ -149,11 +164,10 @@ def feedback(view: View, terms: DataFrame, spec: FeedbackSpec, fields: tuple[str
     their id fill what is missing. A query without any hit is filled as well.
     """
     least = spec.most if spec.fixed else spec.least
-    found = matched(view, terms)
     if query_type(spec.kind) == "CTQ":
-        found = found.join(ctq_matches(view, terms, fields), ["q_id", "doc_id"], "left_semi").withColumn("level", F.lit(0))
+        found = matched(view, terms, ctq_clauses(view, terms, fields)).withColumn("level", F.lit(0))
     else:
-        found = found.withColumn("level", (F.col("n_unique") - F.col("n_match")).cast("int"))
+        found = matched(view, terms).withColumn("level", (F.col("n_unique") - F.col("n_match")).cast("int"))
     if spec.unbounded:
         return found.select("q_id", "doc_id", "level")
     query = Window.partitionBy("q_id")
